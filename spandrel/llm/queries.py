@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import exact_dedup, jaccard_join, packing, pii
+from . import bpe, exact_dedup, jaccard_join, maxscore, packing, pii, toxicity
 from .common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -20,13 +25,21 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_fit_packing, op4_pii, op8_ngram_jaccard_join, op10_exact_dedup)}
-ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_pii, op6_exact_top_k, op8_ngram_jaccard_join, op9_byte_level_bpe, op10_exact_dedup)}
+ORACLES: dict[str, str] = {"op6_exact_top_k": maxscore.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
