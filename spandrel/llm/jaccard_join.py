@@ -14,9 +14,9 @@ postings and probing what they hold. As an element stands for several shingles a
 share does not make a long list; only sets that are near each other meet.
 
 Sets with equal shingles are one class from the start. In each list all members are first compared with the list's
-smallest member only (a star, linear in the list). What is connected then needs no more work; a list that still holds
-several components is compared completely, in tiles of bounded size that emit spanning edges, never all pairs. Lists with
-the same members are compared once. Keys travel packed in arrays, in a number of groups that follows the input's size.
+smallest member only (a star, linear in the list). Lists with the same smallest member form one family. What is connected
+then needs no more work; a family that still holds several components is compared completely, in tiles of bounded size
+that emit spanning edges, never all pairs. Keys travel packed in arrays, in a number of groups that follows the input's size.
 
 Defined cases: a text that is null or has no words has an empty set, is linked with nothing and is its own component; a
 null id takes part like others but never names a component unless all ids are null; repeated rows are in one component
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from spandrel.operators.components import connected_roots
 
 from .common import checkpoint, plan_bytes
-from .shingles import U, WordHashes, mix, set_signature, shingle_set
+from .shingles import U, mix, set_signature, shingle_set
 
 PROBE_COST = 3.0
 SEEDS = 3
@@ -105,12 +105,11 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     """(__id, sig, n): a row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for b in batches:
-            sets = [(len(s), set_signature(s)) for s in (shingle_set(t, width, words) for t in _texts(b, 1))]
+            sets = [(len(s), set_signature(s)) for s in (shingle_set(t, width) for t in _texts(b, 1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[0] for x in sets], pa.int64())], ["__id", "sig", "n"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("t"))
+    src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     return src.mapInArrow(run, "__id long, sig long, n long")
 
 
@@ -119,7 +118,7 @@ def packed_keys(docs: DataFrame, text_col: str, width: int, levels: Levels, grou
     num, den, cost = levels.num, levels.den, levels.probe_cost
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own, keys, sigs, held, seen = WordHashes(), Levels(num, den, cost), [], [], 0, set()
+        own, keys, sigs, held, seen = Levels(num, den, cost), [], [], 0, set()
 
         def flush() -> pa.RecordBatch:
             k, s = np.concatenate(keys), np.repeat(np.array(sigs, np.int64), [len(x) for x in keys])
@@ -132,7 +131,7 @@ def packed_keys(docs: DataFrame, text_col: str, width: int, levels: Levels, grou
 
         for b in batches:
             for t in _texts(b, 0):
-                s = shingle_set(t, width, words)
+                s = shingle_set(t, width)
                 sig = set_signature(s) if len(s) else 0
                 if not len(s) or sig in seen:  # copies within a flush post once
                     continue
@@ -148,32 +147,24 @@ def packed_keys(docs: DataFrame, text_col: str, width: int, levels: Levels, grou
         if held:
             yield flush()
 
-    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "p long, keys binary, sigs binary")
+    return docs.select(F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, "p long, keys binary, sigs binary")
 
 
 def scan_lists(packed: DataFrame) -> DataFrame:
-    """Stars and lists: (kind 0, member, hub) and, for lists of three and more, (kind 1, list, member)."""
+    """(u, v): each member u of an inverted list with the list's smallest member v, distinct within a group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(x, U) for x in pdf["keys"]])
         sigs = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sigs"]])
         order = np.lexsort((sigs, keys))
         keys, sigs = keys[order], sigs[order]
-        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sigs[1:] != sigs[:-1])))
-        keys, sigs = keys[fresh], sigs[fresh]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        sizes = np.diff(np.append(starts, len(keys)))
-        which = np.repeat(np.arange(len(starts)), sizes)
-        hub = sigs[starts][which]
-        star = (hub != sigs)
+        hub = np.repeat(sigs[starts], np.diff(np.append(starts, len(keys))))
+        star = hub != sigs
         pairs = np.unique(np.stack([sigs[star], hub[star]], axis=1), axis=0) if star.any() else np.empty((0, 2), np.int64)
-        names = (np.add.reduceat(mix(sigs.view(U), 12), starts) + mix(sizes.astype(U), 13)).view(np.int64) if len(starts) else np.empty(0, np.int64)
-        long = sizes[which] > 2
-        lists = np.unique(np.stack([names[which][long], sigs[long]], axis=1), axis=0) if long.any() else np.empty((0, 2), np.int64)
-        both = np.concatenate([pairs, lists])
-        return pd.DataFrame({"kind": np.repeat([0, 1], [len(pairs), len(lists)]), "a": both[:, 0], "b": both[:, 1]})
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return packed.groupBy("p").applyInPandas(run, "kind long, a long, b long")
+    return packed.groupBy("p").applyInPandas(run, "u long, v long").distinct()
 
 
 def needed_sets(docs: DataFrame, text_col: str, width: int, needed: DataFrame) -> DataFrame:
@@ -189,14 +180,14 @@ def needed_sets(docs: DataFrame, text_col: str, width: int, needed: DataFrame) -
     shared = docs.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bitmap, out, held = WordHashes(), shared.value.view(U), [], 0
+        bitmap, out, held = shared.value.view(U), [], 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1].view(np.int64) for x in out], pa.list_(pa.int64()))], ["sig", "items"])
 
         for b in batches:
             for t in _texts(b, 0):
-                s = shingle_set(t, width, words)
+                s = shingle_set(t, width)
                 sig = set_signature(s) if len(s) else 0
                 u = sig & 0xFFFFFFFFFFFFFFFF
                 if len(s) and (int(bitmap[(u >> 6) & (FILTER_WORDS - 1)]) >> (u & 63)) & 1:
@@ -208,7 +199,7 @@ def needed_sets(docs: DataFrame, text_col: str, width: int, needed: DataFrame) -
         if out:
             yield flush()
 
-    sets = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "sig long, items array<long>")
+    sets = docs.select(F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, "sig long, items array<long>")
     return sets.groupBy("sig").agg(F.first("items").alias("items")).join(needed, "sig", "left_semi")
 
 
@@ -258,18 +249,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row per input row: id, n_shingles, component_id. Links: |A and B| * den >= |A or B| * num."""
     groups = max(64, plan_bytes(docs) >> 22)
     rows = checkpoint(set_rows(docs, id_col, text_col, width))
-    scanned = checkpoint(scan_lists(packed_keys(docs, text_col, width, Levels(num, den), groups)))
-    pairs = scanned.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    lists = scanned.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("sig")).distinct()
+    pairs = checkpoint(scan_lists(packed_keys(docs, text_col, width, Levels(num, den), groups)))
     needed = checkpoint(pairs.select(F.col("u").alias("sig")).union(pairs.select("v")).distinct())
     sets = checkpoint(needed_sets(docs, text_col, width, needed))
     x = sets.select(F.col("sig").alias("u"), F.col("items").alias("x"))
     y = sets.select(F.col("sig").alias("v"), F.col("items").alias("y"))
     stars = pairs.join(x, "u").join(y, "v").filter(_similar(F.col("x"), F.col("y"), num, den)).select("u", "v")
     roots = checkpoint(connected_roots(stars))
-    labelled = lists.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("list", "sig", F.coalesce("root", "sig").alias("label"))
+    families = pairs.select(F.col("v").alias("list"), F.col("u").alias("sig"))
+    families = families.unionByName(families.groupBy("list").agg(F.first("list").alias("sig")))
+    labelled = families.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("list", "sig", F.coalesce("root", "sig").alias("label"))
     open_lists = labelled.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
-    open_lists = open_lists.filter("lo <> hi").select("list", F.ceil(F.col("members") / TILE).alias("tiles"))
+    open_lists = open_lists.filter("lo <> hi and members > 2").select("list", F.ceil(F.col("members") / TILE).alias("tiles"))
     rest = checkpoint(compare_lists(labelled.join(open_lists, "list"), sets, num, den))
     over = rest
     for side in ("u", "v"):
