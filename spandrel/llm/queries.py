@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, jaccard_join, maxscore, packing, pii, toxicity
+from . import bpe, exact_dedup, jaccard_join, maxscore, packing, pii, quality, token_counts, toxicity, warc
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_with_edits(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -25,10 +29,19 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -41,5 +54,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_pii, op6_exact_top_k, op8_ngram_jaccard_join, op9_byte_level_bpe, op10_exact_dedup)}
-ORACLES: dict[str, str] = {"op6_exact_top_k": maxscore.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_toxicity, op3_best_fit_packing, op4_pii, op5_quality_classifier, op6_exact_top_k, op7_warc, op8_ngram_jaccard_join, op9_byte_level_bpe, op10_exact_dedup,
+    )
+}
+ORACLES: dict[str, str] = {"op6_exact_top_k": maxscore.ORACLE, "op7_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
