@@ -19,7 +19,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spandrel-"))
-    return df.checkpoint(eager=True)
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")  # a checkpoint hands on its plan's constraints, and those of a loop multiply in the driver
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
 
 
 def connected_roots(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -40,5 +46,5 @@ def connected_roots(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     roots = steps[-1].select(F.col("u").alias("node"), F.col("p").alias("root"))
     for parent in reversed(steps[:-1]):
         up = roots.select(F.col("node").alias("p"), F.col("root"))
-        roots = parent.join(up, "p", "left").select(F.col("u").alias("node"), F.coalesce("root", "p").alias("root"))
+        roots = checkpoint(parent.join(up, "p", "left").select(F.col("u").alias("node"), F.coalesce("root", "p").alias("root")))
     return roots
