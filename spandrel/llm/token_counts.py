@@ -19,13 +19,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import machines
+from .bpe import compile_pattern, load_ranks
 
 #: Characters behind its end that a pre-token's match may depend on.
 AHEAD = 2
 LEAF = 64
 
 
+class PieceCounts(dict):
+    """Pre-token -> its number of tokens, by the ``tiktoken`` library; kept in two generations of a bounded size."""
+
+    def __init__(self, ranks_path: str, pattern: str, limit: int = 400_000):
+        import tiktoken
+
+        super().__init__()
+        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={}).encode_ordinary
+        self.split = compile_pattern(pattern).findall
+        self.limit, self.older = limit, {}
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        n = self.older.get(piece)
+        if n is None:
+            n = len(self.encode(piece))
+        if len(piece) <= 64:
+            self[piece] = n
+        return n
+
+
+_counts: dict[tuple[str, str], PieceCounts] = {}
+
+
+def piece_counts(ranks_path: str, pattern: str) -> PieceCounts:
+    """The worker's counts, kept from task to task."""
+    if (ranks_path, pattern) not in _counts:
+        _counts[ranks_path, pattern] = PieceCounts(ranks_path, pattern)
+    return _counts[ranks_path, pattern]
+
+
 class SumTree:
     """Sums of (characters, tokens) over a list of leaves; a leaf's row changes in O(log leaves)."""
 
@@ -176,14 +209,13 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, edits: Colu
     src = docs.select(F.col(id_col), text.alias("t"), (standard_edits(text) if edits is None else edits).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = machines(ranks_path, pattern)
-        count = lambda piece: len(encoder[piece]) >> 2
+        known = piece_counts(ranks_path, pattern)
         for b in batches:
             out = []
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 for t, edits_of in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    doc = Document(t, encoder.findall, count)
+                    doc = Document(t, known.split, known.__getitem__)
                     before, pieces = doc.tokens, doc.encoded
                     for e in edits_of or []:
                         doc.edit(e["start"] or 0, e["end"] or 0, e["put"] or "")
