@@ -4,5 +4,359 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spandrel.functions import scalars as S
+from spandrel.operators import analytics as A
+from spandrel.operators import resolve as R
+from spandrel.operators import views as V
+from spandrel.operators.components import checkpoint
+from spandrel.operators.graph import Graph, first_nodes, valid_edges
+from spandrel.plans import fixtures as X
+from spandrel.plans import golden, snippets
+from spandrel.schema import EDGE_COLUMNS, NODE_COLUMNS
+from spandrel.sources import export, scan
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+GN, GE = f"gn as ({X.CATALOG_NODES})", f"ge as ({X.CATALOG_EDGES})"
+FOCUS = "n3"
+CLASS_NODE = "r0.n0"
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def catalog_query(name: str, body: str) -> Callable:
+    """A query over the catalogue graph, whose oracle may use gn (nodes) and ge (edges)."""
+    return lambda f: query(name, f"with {GN}, {GE} {body}")(lambda spark, d: f(X.catalog(spark, d)))
+
+
+# ---- store -----------------------------------------------------------------------------------------------------------
+
+
+@query("nodes_dedup", f"with {GN} select * from gn")
+def _nodes_dedup(spark: SparkSession, d: str) -> DataFrame:
+    n = X.catalog(spark, d).nodes
+    again = n.withColumns({"name": F.upper("name"), "line": F.col("line") + 7, "seq": F.lit(2)})
+    return first_nodes(again.unionByName(n.withColumn("seq", F.lit(1)))).select(*NODE_COLUMNS)
+
+
+@query("edges_dedup", f"with {GE} select source, target, kind from ge")
+def _edges_dedup(spark: SparkSession, d: str) -> DataFrame:
+    g = X.catalog(spark, d)
+    dangling = g.edges.select("source", F.lit("nowhere").alias("target"), "kind").unionByName(g.edges.select(F.lit("nowhere").alias("source"), "target", "kind"))
+    return valid_edges(g.edges.unionByName(g.edges).unionByName(dangling), g.nodes)
+
+
+@query("transition_edges", f"select distinct source, target, kind from ({X.TRANSITIONS}) x")
+def _transition_edges(spark: SparkSession, d: str) -> DataFrame:
+    g = X.of_edges(spark, d, X.TRANSITIONS)
+    return valid_edges(g.edges, g.nodes)
+
+
+KIND_COUNTS = ", ".join(f"count(*) filter (where kind = '{k}') as {k}_count" for k in ("module", "class", "struct", "function", "method", "property", "constant"))
+catalog_query("graph_stats", f"select count(*) as node_count, {KIND_COUNTS}, count(*) filter (where is_external) as external_count, (select count(*) from ge) as edge_count from gn")(lambda g: g.stats())
+
+SIDES = ", ".join(f"{a}.{c} as {end}_{c}" for a, end in (("s", "source"), ("t", "target")) for c in NODE_COLUMNS if c != "id")
+JOINED = f"select e.source, e.target, e.kind, {SIDES} from ge e join gn s on s.id = e.source join gn t on t.id = e.target"
+catalog_query("edges_with_endpoints", JOINED)(lambda g: g.edges_with_endpoints())
+catalog_query("node_lookup", f"select * from gn where id = '{CLASS_NODE}'")(lambda g: g.get_node(CLASS_NODE))
+catalog_query("node_detail_in", f"{JOINED} where e.target = '{CLASS_NODE}'")(lambda g: V.node_detail(g, CLASS_NODE)["incoming"])
+catalog_query("node_detail_out", f"{JOINED} where e.source = '{CLASS_NODE}'")(lambda g: V.node_detail(g, CLASS_NODE)["outgoing"])
+
+# ---- degrees ---------------------------------------------------------------------------------------------------------
+
+DEGREES = """d as (select id, (select count(*) from ge where target = id) as in_degree, (select count(*) from ge where source = id) as out_degree from gn),
+c as (select *, cast(in_degree + out_degree as double) / cast((select case when count(*) > 1 then 2 * (count(*) - 1) else 1 end from gn) as double) as coupling_score from d)"""
+catalog_query("degree_metrics", f", {DEGREES} select id, in_degree, out_degree from d")(lambda g: A.degrees(g))
+catalog_query("coupling_score", f", {DEGREES} select * from c")(lambda g: A.coupling(g))
+catalog_query("top_coupled", f", {DEGREES} select * from c order by coupling_score desc, id limit 10")(lambda g: A.top_coupled(g))
+catalog_query("max_coupled", f", {DEGREES} select id, coupling_score from c order by coupling_score desc, id limit 1")(lambda g: A.max_coupled(g))
+
+
+@query("trade_coupling", f"with gn as ({X.endpoints(X.TRADE.format(most=2))}), ge as ({X.TRADE.format(most=2)}), {DEGREES} select * from c")
+def _trade_coupling(spark: SparkSession, d: str) -> DataFrame:
+    return A.coupling(X.trade(spark, d, 2))
+
+
+COPURCHASE_N = f"gn as ({X.endpoints(X.COPURCHASE)} union {X.ALL_CUSTOMERS}), ge as ({X.COPURCHASE})"
+
+
+@query("orphans", f"with {COPURCHASE_N} select id from gn where not exists (select 1 from ge where source = id or target = id)")
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    return A.orphans(X.copurchase(spark, d))
+
+
+# ---- recursion -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "dit_chain",
+    f"""with recursive gn as ({X.endpoints(X.REPLIES)} union {X.TURNS}), ge as ({X.REPLIES}),
+    w as (select id, cast(0 as bigint) as depth, id as pt from gn union all select w.id, w.depth + 1, ge.target from w join ge on ge.source = w.pt)
+    select id, max(depth) as depth_of_inheritance from w group by id""",
+)
+def _dit(spark: SparkSession, d: str) -> DataFrame:
+    return A.inheritance_depth(X.replies(spark, d))
+
+
+REACH = f"""with recursive {COPURCHASE_N},
+    b as (select source as x, target as y from ge union select target, source from ge),
+    w as (select id, id as pt from gn union select w.id, b.y from w join b on b.x = w.pt),
+    c as (select pt as id, min(id) as component_id from w group by pt), s as (select component_id, count(*) as size from c group by component_id)"""
+
+
+@query("components", f"{REACH} select id, component_id from c")
+def _components(spark: SparkSession, d: str) -> DataFrame:
+    return A.components(X.copurchase(spark, d))
+
+
+@query("component_sizes", f"{REACH} select component_id, size from s")
+def _component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return A.component_sizes(X.copurchase(spark, d))
+
+
+@query("component_nth", f"{REACH} select id from c where component_id = (select component_id from s order by size desc, component_id limit 1 offset 2)")
+def _component_nth(spark: SparkSession, d: str) -> DataFrame:
+    return V.show_component(X.copurchase(spark, d), 2).nodes.select("id")
+
+
+def scc_oracle(most: int) -> str:
+    return f"""with recursive ge as ({X.TRADE.format(most=most)}),
+    w as (select source as a, target as b from ge union select w.a, ge.target from w join ge on ge.source = w.b),
+    m as (select p.a as id, min(p.b) as other, count(*) as n from w p join w q on p.a = q.b and p.b = q.a where p.a <> p.b group by p.a)
+    select id, least(id, other) as cycle_id from m"""
+
+
+for _most in (1, 2):
+    query(f"scc_cycles_{_most}", scc_oracle(_most))(lambda spark, d, most=_most: A.cycles(X.trade(spark, d, most)))
+query("cycle_nodes", f"select id from ({scc_oracle(2)}) x")(lambda spark, d: A.cycle_nodes(X.trade(spark, d, 2)))
+
+
+def focus_oracle(edges: str, start: str, depth: int, result: str) -> str:
+    return f"""with recursive ge as ({edges}), gn as ({X.endpoints(edges)}),
+    b as (select source as x, target as y from ge union select target, source from ge),
+    w as (select id, cast(0 as bigint) as distance from gn where id = '{start}' union select b.y, w.distance + 1 from w join b on b.x = w.id where w.distance < {depth}),
+    f as (select id, min(distance) as distance from w group by id) {result}"""
+
+
+for _k in (1, 2, 3):
+    query(f"focus_{_k}", focus_oracle(X.TRADE.format(most=1), FOCUS, _k, "select id, distance from f"))(lambda spark, d, k=_k: A.within_hops(X.trade(spark, d, 1), FOCUS, k))
+
+
+@query(
+    "focus_edges_2",
+    focus_oracle(X.TRADE.format(most=1), FOCUS, 2, "select distinct source, target, kind from ge where source in (select id from f) and target in (select id from f)"),
+)
+def _focus_edges(spark: SparkSession, d: str) -> DataFrame:
+    return A.focus(X.trade(spark, d, 1), FOCUS, 2).edges
+
+
+@query("focus_missing", focus_oracle(X.TRADE.format(most=1), "nowhere", 2, "select id from f"))
+def _focus_missing(spark: SparkSession, d: str) -> DataFrame:
+    return A.focus(X.trade(spark, d, 1), "nowhere", 2).nodes.select("id")
+
+
+# ---- diff ------------------------------------------------------------------------------------------------------------
+
+DIFFS = {
+    "added_nodes": f"({X.endpoints(X.SNAP_NEW)}) except ({X.endpoints(X.SNAP_OLD)})",
+    "removed_nodes": f"({X.endpoints(X.SNAP_OLD)}) except ({X.endpoints(X.SNAP_NEW)})",
+    "added_edges": f"(select source, target, kind from ({X.SNAP_NEW}) a) except (select source, target, kind from ({X.SNAP_OLD}) b)",
+    "removed_edges": f"(select source, target, kind from ({X.SNAP_OLD}) a) except (select source, target, kind from ({X.SNAP_NEW}) b)",
+}
+for _name, _text in DIFFS.items():
+    query(f"diff_{_name}", _text)(lambda spark, d, name=_name: A.diff(*X.snapshots(spark, d))[name])
+query("diff_summary", " union all ".join(f"select '{k}' as change, count(*) as n from ({t}) {k}" for k, t in DIFFS.items()))(lambda spark, d: A.diff_summary(*X.snapshots(spark, d)))
+query(
+    "diff_view",
+    f"""select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id is null then 'removed' else 'kept' end as change
+    from ({X.endpoints(X.SNAP_OLD)}) a full join ({X.endpoints(X.SNAP_NEW)}) b on a.id = b.id""",
+)(lambda spark, d: A.diff_view(*X.snapshots(spark, d)))
+
+# ---- views -----------------------------------------------------------------------------------------------------------
+
+NODE_FILTER = {"kinds": ["class", "function", "method"], "externals": False, "search": "n1", "path": "geo/"}
+FILTERED = "v as (select * from gn where kind in ('class', 'function', 'method') and not is_external and (lower(name) like '%n1%' or lower(id) like '%n1%') and file like 'geo/%')"
+BETWEEN = "source in (select id from v) and target in (select id from v)"
+catalog_query("filter_nodes", f", {FILTERED} select * from v")(lambda g: V.filter_nodes(g, **NODE_FILTER))
+catalog_query("filter_nodes_coupling", f", {DEGREES} select gn.* from gn join c using (id) where coupling_score >= 0.002")(lambda g: V.filter_nodes(g, metrics=A.coupling(g), coupling_from=0.002))
+catalog_query("filter_edges", ", v as (select * from gn where not (kind = 'function')) select * from ge where kind <> 'contains' and " + BETWEEN)(
+    lambda g: V.filter_edges(g, V.filter_nodes(g, kinds=["module", "class", "struct", "method", "constant"]))
+)
+catalog_query("visible_subgraph", f", {FILTERED} select * from ge where kind = 'contains' and {BETWEEN}")(lambda g: V.visible_subgraph(g, ["contains"], **NODE_FILTER).edges)
+catalog_query("hide_node", f"select * from ge where source <> '{CLASS_NODE}' and target <> '{CLASS_NODE}'")(lambda g: V.hide_node(g, CLASS_NODE).edges)
+
+DEGREE = "d as (select id, count(*) as n from (select source as id from ge union all select target from ge) x group by id)"
+catalog_query(
+    "display_degree",
+    f""", {DEGREE} select gn.id, coalesce(n, 1) as degree, sqrt(cast(coalesce(n, 1) as double)) as value,
+    1 + 4 * sqrt(cast(coalesce(n, 1) as double) / cast((select greatest(max(n), 1) from d) as double)) as mass from gn left join d on d.id = gn.id""",
+)(lambda g: V.display_degree(g))
+catalog_query(
+    "display_kind",
+    """select id, case when kind = 'module' and file = '' then case when regexp_full_match(trim(name), '[A-Z_][A-Z0-9_]+') then 'constant' when regexp_matches(trim(name), '^[A-Z]') then 'class' else 'function' end
+    else kind end as shown from (select id, case when kind in ('constant', 'module') then 'module' else kind end as kind, case when kind = 'module' then '' else file end as file, name from gn) x""",
+)(lambda g: g.nodes.select("id", F.when(F.col("kind").isin("constant", "module"), "module").otherwise(F.col("kind")).alias("k"), F.when(F.col("kind") == "module", "").otherwise(F.col("file")).alias("f"), "name").select("id", S.display_kind(F.col("k"), F.col("f"), F.col("name")).alias("shown")))
+catalog_query(
+    "display_label",
+    """, l as (select id, case when kind = 'method' and len(string_split(id, '.')) >= 2 then string_split(id, '.')[-2] || '::' || string_split(id, '.')[-1] else name end as label from gn)
+    select id, case when length(label) > 12 then substring(label, 1, 11) || '…' else label end as label from l""",
+)(lambda g: g.nodes.select("id", S.truncate_label(S.make_label(F.col("id"), F.col("kind"), F.col("name")), 12).alias("label")))
+catalog_query(
+    "display_nodes",
+    """select id, case when kind = 'module' then 'hexagon' when kind = 'class' then 'square' when kind = 'struct' then 'diamond' when kind = 'constant' then 'triangleDown' else 'dot' end as shape,
+    case kind when 'module' then '#3498DB' when 'class' then '#E74C3C' when 'struct' then '#F1C40F' when 'function' then '#2ECC71' when 'method' then '#9B59B6' when 'property' then '#1ABC9C' else '#E67E22' end as background,
+    case kind when 'module' then 'fichier' when 'class' then 'class' when 'struct' then 'struct' when 'function' then 'fonction' when 'method' then 'méthode' else kind end as kind_name from gn""",
+)(lambda g: V.display_nodes(g).select("id", "shape", "background", "kind_name"))
+
+TOP = "case when contains(id, '::') then string_split(id, '::')[1] else string_split(id, '.')[1] end"
+catalog_query("cluster_top_level", f"select {TOP} as cluster, count(*) as n from gn group by 1 having count(*) >= 2")(lambda g: V.clusters(g))
+catalog_query("duplicate_names", "select name, count(*) as n from gn group by name having count(*) > 1")(lambda g: V.duplicate_names(g))
+PREFIXES = """, p as (select string_split(file, '/') as a from gn where file <> ''), k as (select a, unnest(range(1, len(a) + 1)) as i from p),
+    t as (select array_to_string(a[1:i], '/') as path, a[i] as name, array_to_string(a[1:i - 1], '/') as parent, i < len(a) as d from k)"""
+catalog_query("fs_tree_rollup", f"{PREFIXES} select path, name, parent, bool_or(d) as is_dir, count(*) as n from t group by 1, 2, 3")(lambda g: V.fs_tree(g))
+catalog_query("fs_children", f"{PREFIXES} select path, name, parent, bool_or(d) as is_dir, count(*) as n from t where parent = 'geo' group by 1, 2, 3")(lambda g: V.fs_children(g, "geo"))
+
+ROOTS = "r as (select id, name, file from gn where id not in (select target from ge where kind = 'contains'))"
+catalog_query("containment_roots", f", {ROOTS} select id, name, file from r")(lambda g: V.containment_roots(g).select("id", "name", "file"))
+catalog_query(
+    "virtual_folders",
+    f""", {ROOTS}, p as (select id, name, string_split(file, '/') as a from r where len(string_split(file, '/')) >= 2), k as (select a, unnest(range(1, len(a))) as i from p)
+    select distinct case when i > 1 then '__vdir__/' || array_to_string(a[1:i - 1], '/') end as parent, '__vdir__/' || array_to_string(a[1:i], '/') as child, a[i] as child_name, true as is_virtual from k
+    union all select '__vdir__/' || array_to_string(a[1:len(a) - 1], '/'), id, name, false from p""",
+)(lambda g: V.virtual_folders(g))
+# Containment is three levels deep here, so the oracle weighs level by level.
+catalog_query(
+    "subtree_weight",
+    """, h as (select source as parent, target as child from ge where kind = 'contains'), n as (select gn.id, (select count(*) from h where parent = gn.id) as kids, name from gn),
+    m as (select id, kids, case when kids = 0 then power(greatest(72, length(name) * 8 + 24), 2) else greatest(72, length(name) * 9 + 24) * 54.0 end / 2000.0 as least_units from n),
+    w0 as (select id, greatest(1.0, least_units) as weight from m where kids = 0),
+    w1 as (select m.id, greatest(sum(w0.weight), max(least_units)) as weight from m join h on h.parent = m.id join w0 on w0.id = h.child group by m.id, m.kids having count(*) = max(m.kids)),
+    w01 as (select * from w0 union all select * from w1),
+    w2 as (select m.id, greatest(sum(w01.weight), max(least_units)) as weight from m join h on h.parent = m.id join w01 on w01.id = h.child where m.id not in (select id from w1) group by m.id)
+    select id, round(weight, 6) as weight from (select * from w01 union all select * from w2) x""",
+)(lambda g: V.subtree_weights(V.structure(g, folders=False)).select("id", F.round("weight", 6).alias("weight")))
+
+# ---- resolution ------------------------------------------------------------------------------------------------------
+
+
+def _registry_nodes(g: Graph) -> DataFrame:
+    return g.nodes.withColumn("seq", F.format_string("%020d|%s", F.col("line"), F.col("id")))
+
+
+REGISTRY = """reg as (select name as key, id, line from gn union all select string_split(id, '.')[-1], id, line from gn where string_split(id, '.')[-1] <> name)"""
+catalog_query("registry", f", {REGISTRY} select key, id from reg")(lambda g: R.registry(_registry_nodes(g)).select("key", "id"))
+KIND_SQL = """case when trim(string_split({c}, '::')[-1]) = '' then 'module' when strlen(trim(string_split({c}, '::')[-1])) > 1 and regexp_full_match(trim(string_split({c}, '::')[-1]), '[\\p{{Lu}}_0-9]+') then 'constant'
+    when regexp_matches(trim(string_split({c}, '::')[-1]), '^\\p{{Lu}}') then 'class' when contains({c}, '::') or contains({c}, '.') then 'module' else 'function' end"""
+RESOLVED = f"""with {GN}, {REGISTRY}, refs as ({X.REFS}), pairs as (select distinct module_id, name, string_split(name, '::')[-1] as short from refs),
+    c as (select p.module_id, p.name, reg.id, row_number() over (partition by p.module_id, p.name order by case when starts_with(reg.id, p.module_id) and k.n > 1 then 0 else 1 end, reg.line, reg.id) as r
+          from pairs p join reg on reg.key = p.name join (select key, count(*) as n from reg group by key) k on k.key = p.name),
+    s as (select p.module_id, p.name, reg.id, row_number() over (partition by p.module_id, p.name order by reg.line, reg.id) as r
+          from pairs p join reg on reg.key = p.short where p.short <> p.name and not starts_with(reg.id, '__ext__.')),
+    t as (select p.module_id, p.name, coalesce(c.id, s.id, '__ext__.' || p.short) as target, case when c.id is null and s.id is null then {KIND_SQL.format(c="p.name")} end as kind
+          from pairs p left join c on c.module_id = p.module_id and c.name = p.name and c.r = 1 left join s on s.module_id = p.module_id and s.name = p.name and s.r = 1)"""
+
+
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    refs = X.sql(spark, d, X.REFS)
+    return refs, R.resolve_names(refs, checkpoint(_registry_nodes(X.catalog(spark, d))))
+
+
+@query("resolve_refs", f"{RESOLVED} select ref_id, refs.module_id, refs.name, target from refs join t using (module_id, name)")
+def _resolve_refs(spark: SparkSession, d: str) -> DataFrame:
+    refs, found = _resolved(spark, d)
+    return refs.join(found, ["module_id", "name"]).select("ref_id", "module_id", "name", "target")
+
+
+@query("external_nodes", f"{RESOLVED} select target as id, substring(target, 9) as name, min_by(kind, ref_id) as kind, true as is_external from refs join t using (module_id, name) where kind is not null group by target")
+def _external_nodes(spark: SparkSession, d: str) -> DataFrame:
+    refs, found = _resolved(spark, d)
+    rows = refs.join(found, ["module_id", "name"]).select("target", "kind", F.format_string("%020d", "ref_id").alias("seq"))
+    return R.external_nodes(rows).select("id", "name", "kind", "is_external")
+
+
+LINKS = """l as (select concat('page', page_id) as module_id, regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)), '^/', '') as path from pages), u as (select distinct module_id, path from l)"""
+
+
+@query("import_edges", f"with {LINKS} select module_id as source, '__ext__.' || string_split(path, '::')[-1] as target, 'external_dep' as kind from u")
+def _import_edges(spark: SparkSession, d: str) -> DataFrame:
+    nodes = checkpoint(_registry_nodes(X.catalog(spark, d)))
+    return R.import_targets(X.links(spark, d), nodes).select(F.col("module_id").alias("source"), "target", F.col("edge").alias("kind"))
+
+
+@query("external_dep_kinds", f"with {LINKS} select path, {KIND_SQL.format(c='path')} as kind from (select distinct path from u) x")
+def _external_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return X.links(spark, d).select("path", S.infer_external_kind(F.col("path")).alias("kind")).distinct()
+
+
+# ---- scalars ---------------------------------------------------------------------------------------------------------
+
+
+def _values(rows: list[tuple], names: list[str]) -> str:
+    return f"select * from (values {', '.join('(' + ', '.join(golden.literal(v) for v in r) + ')' for r in rows)}) t({', '.join(names)})"
+
+
+for _name, (_function, _rows) in golden.SCALARS.items():
+
+    def _scalar(spark: SparkSession, d: str, function=_function, rows=_rows) -> DataFrame:
+        return spark.createDataFrame([(r[0],) for r in rows], "input string").select("input", getattr(S, function)(F.col("input")).alias("output"))
+
+    query(_name, _values(_rows, ["input", "output"]))(_scalar)
+catalog_query("dot_ids", "select id, 'n_' || regexp_replace(id, '[^\\p{L}\\p{N}]', '_', 'g') as dot_id from gn")(lambda g: g.nodes.select("id", S.safe_dot_id(F.col("id")).alias("dot_id")))
+catalog_query("edge_colors", "select distinct kind, case kind when 'contains' then '#BDC3C7' when 'uses_type' then '#1ABC9C' when 'external_dep' then '#E67E22' end as color from ge")(
+    lambda g: g.edges.select("kind", S.edge_color(F.col("kind")).alias("color")).distinct()
+)
+
+# ---- extraction ------------------------------------------------------------------------------------------------------
+
+for _lang, _sources in snippets.ALL.items():
+
+    def _facts(spark: SparkSession, d: str, sources=_sources) -> DataFrame:
+        return scan.extract_facts(scan.sources_frame(spark, sources))
+
+    query(f"extract_{_lang}_nodes", _values(golden.NODES[_lang], ["id", "name", "kind", "line"]))(
+        lambda spark, d, f=_facts: f(spark, d).filter("fact = 'node'").select(F.col("a").alias("id"), F.col("b").alias("name"), F.col("c").alias("kind"), "line")
+    )
+    query(f"extract_{_lang}_references", _values(golden.REFERENCES[_lang], ["fact", "a", "b", "c"]))(
+        lambda spark, d, f=_facts: f(spark, d).filter("fact not in ('node', 'edge', 'error')").select("fact", "a", "b", "c").distinct()
+    )
+    query(f"resolve_{_lang}_edges", _values(golden.EDGES[_lang], EDGE_COLUMNS))(lambda spark, d, f=_facts: R.build_graph(checkpoint(f(spark, d))).edges.select(*EDGE_COLUMNS))
+
+# ---- sinks -----------------------------------------------------------------------------------------------------------
+
+NODE_COLOR = "case kind when 'module' then '#4A90D9' when 'class' then '#E74C3C' when 'struct' then '#1ABC9C' when 'function' then '#2ECC71' when 'method' then '#F39C12' when 'property' then '#9B59B6' else '#E67E22' end"
+LIGHT = "case kind when 'module' then '#AED0F0' when 'class' then '#F7B7B2' when 'struct' then '#A2DDD6' when 'function' then '#A3E9C5' when 'method' then '#FAD7A0' when 'property' then '#D2B4DE' else '#FAD3A2' end"
+catalog_query(
+    "export_dot_lines",
+    f"""select 1 as part, '    n_' || regexp_replace(id, '[^\\p{{L}}\\p{{N}}]', '_', 'g') || ' [label="' || replace(name || ' [' || kind || ']', '"', '\\"') || '", color="' || {NODE_COLOR} || '", style=filled, fillcolor="' || {LIGHT} || '"];' as line from gn
+    union all select 2, '    n_' || regexp_replace(source, '[^\\p{{L}}\\p{{N}}]', '_', 'g') || ' -> n_' || regexp_replace(target, '[^\\p{{L}}\\p{{N}}]', '_', 'g') || ' [label="' || kind || '", color="' ||
+    case kind when 'contains' then '#BDC3C7' when 'uses_type' then '#1ABC9C' else '#E67E22' end || '"];' from ge""",
+)(lambda g: export.dot_lines(g))
+catalog_query("export_json_roundtrip", "select * from gn")(lambda g: Graph.from_serializable(g.to_serializable()).nodes.select(*NODE_COLUMNS))
+
+
+@query("analysis_summary")
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    return A.analyze(X.trade(spark, d, 2)).summary()
+
+
+@query("treemap")
+def _treemap(spark: SparkSession, d: str) -> DataFrame:
+    return V.treemap(V.structure(X.catalog(spark, d)))
+
+
+@query("collapsed_folders")
+def _collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return V.collapse_chains(V.virtual_folders(X.catalog(spark, d)))
