@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spandrel.operators.components import checkpoint
+
+__all__ = ["checkpoint", "crc_mod", "crc_mod_py", "plan_bytes", "release", "table"]
+
 #: Runs of these code points count as one space, and separate words.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -16,12 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder that all executors share and go on from there, so that a lost executor costs a reread."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spandrel-"))
-    return df.checkpoint(eager=True)
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that nothing refers to any more (it acts when the driver collects garbage)."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def plan_bytes(df: DataFrame) -> int:

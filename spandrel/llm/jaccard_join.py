@@ -3,7 +3,8 @@
 Sets whose sizes allow the similarity meet at one *level* (a range of sizes; each set visits its own level and the next).
 At a level at most ``d`` shingles may differ. Shingles are dealt by hash into a few more than ``d`` parts, and each
 part's content becomes one element. Every differing shingle spoils one part at most, so two similar sets share all but
-``d`` elements, and among the first ``d + c`` non-empty elements of either at least ``c``.
+``d`` elements of either, and at least ``c`` of them are among the first ``d + c`` of both, in any order that depends on
+the elements alone. Elements of many shingles come first: they say the most.
 
 * Small sets (light): all subsets of the fixed size ``c = 2`` of those elements are join keys. They are selective, and few
   while ``d`` is small.
@@ -13,10 +14,10 @@ The boundary is the level from which ``subsets > elements * probe_cost``, i.e. w
 postings and probing what they hold. As an element stands for several shingles at once, a passage that many documents
 share does not make a long list; only sets that are near each other meet.
 
-Sets with equal shingles are one class from the start. In each list all members are first compared with the list's
-smallest member only (a star, linear in the list). Lists with the same smallest member form one family. What is connected
-then needs no more work; a family that still holds several components is compared completely, in tiles of bounded size
-that emit spanning edges, never all pairs. Keys travel packed in arrays, in a number of groups that follows the input's size.
+Sets with equal shingles are one class from the start. Lists with the same smallest member form one family. The members of
+a family larger than a tile are first compared with that smallest member only (a star, linear in the family); if that
+connects them, they need no more work. All other families are compared completely, in tiles of bounded size that emit
+spanning edges, never all pairs. Keys travel packed in arrays, in a number of groups that follows the input's size.
 
 Defined cases: a text that is null or has no words has an empty set, is linked with nothing and is its own component; a
 null id takes part like others but never names a component unless all ids are null; repeated rows are in one component
@@ -37,13 +38,15 @@ from pyspark.sql import functions as F
 
 from spandrel.operators.components import connected_roots
 
-from .common import checkpoint, plan_bytes
+from .common import checkpoint, plan_bytes, release
 from .shingles import U, mix, set_signature, shingle_set
 
 PROBE_COST = 3.0
+#: Parts beyond those that must be posted, as a share of them.
+SPARE = 0.25
 SEEDS = 3
 FLUSH = 2_000_000
-TILE = 512
+TILE = 1024
 FILTER_WORDS = 1 << 19
 
 
@@ -65,7 +68,7 @@ class Levels:
             self.of((self.upper[-1] if self.upper else 0) + 1)
         d = 2 * self.upper[level] * (self.den - self.num) // (self.den + self.num)
         c = 2 if math.comb(d + 2, 2) <= self.probe_cost * (d + 1) else 1
-        return d, c, d + c + max(1, math.ceil(0.1 * (d + 1)))
+        return d, c, d + c + max(1, math.ceil(SPARE * (d + 1)))
 
 
 def set_keys(s: np.ndarray, levels: Levels) -> np.ndarray:
@@ -80,9 +83,12 @@ def set_keys(s: np.ndarray, levels: Levels) -> np.ndarray:
             part = mix(s, 100 + seed) % U(parts)
             order = np.argsort(part, kind="stable")
             p = part[order]
-            starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))[: d + c + 1]
-            sums = np.add.reduceat(content[order], starts)[: d + c]
-            elements = mix(sums ^ mix(p[starts[: d + c]], 1000 + level * SEEDS + seed), 8)
+            starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+            sums = np.add.reduceat(content[order], starts)
+            elements = mix(sums ^ mix(p[starts], 1000 + level * SEEDS + seed), 8)
+            if len(elements) > d + c:
+                size = np.diff(np.append(starts, len(p)))
+                elements = elements[np.lexsort((elements, -size))[: d + c]]
             if c == 2:
                 i, j = np.triu_indices(len(elements), 1)
                 out.append(mix(mix(elements[i], 9) + elements[j], 10))
@@ -248,24 +254,30 @@ def compare_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """A row per input row: id, n_shingles, component_id. Links: |A and B| * den >= |A or B| * num."""
     groups = max(64, plan_bytes(docs) >> 22)
+    spark = docs.sparkSession
     rows = checkpoint(set_rows(docs, id_col, text_col, width))
     pairs = checkpoint(scan_lists(packed_keys(docs, text_col, width, Levels(num, den), groups)))
+    release(spark)
     needed = checkpoint(pairs.select(F.col("u").alias("sig")).union(pairs.select("v")).distinct())
     sets = checkpoint(needed_sets(docs, text_col, width, needed))
+    release(spark)
+    large = checkpoint(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= TILE).select("v"))
     x = sets.select(F.col("sig").alias("u"), F.col("items").alias("x"))
     y = sets.select(F.col("sig").alias("v"), F.col("items").alias("y"))
-    stars = pairs.join(x, "u").join(y, "v").filter(_similar(F.col("x"), F.col("y"), num, den)).select("u", "v")
-    roots = checkpoint(connected_roots(stars))
+    stars = pairs.join(large, "v", "left_semi").join(x, "u").join(y, "v").filter(_similar(F.col("x"), F.col("y"), num, den)).select("u", "v")
+    roots = pairs.select(F.col("u").alias("node"), F.col("u").alias("root")).limit(0) if large.isEmpty() else connected_roots(stars)
+    roots = checkpoint(roots)
     families = pairs.select(F.col("v").alias("list"), F.col("u").alias("sig"))
     families = families.unionByName(families.groupBy("list").agg(F.first("list").alias("sig")))
     labelled = families.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("list", "sig", F.coalesce("root", "sig").alias("label"))
     open_lists = labelled.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
-    open_lists = open_lists.filter("lo <> hi and members > 2").select("list", F.ceil(F.col("members") / TILE).alias("tiles"))
+    open_lists = open_lists.filter("lo <> hi").select("list", F.ceil(F.col("members") / TILE).alias("tiles"))
     rest = checkpoint(compare_lists(labelled.join(open_lists, "list"), sets, num, den))
+    release(spark)
     over = rest
     for side in ("u", "v"):
         over = over.join(roots.select(F.col("node").alias(side), F.col("root").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
-    top = connected_roots(over)
+    top = checkpoint(connected_roots(over))
     step = roots.select(F.col("node").alias("sig"), F.col("root").alias("r1"))
     last = top.select(F.col("node").alias("r"), F.col("root").alias("r2"))
     found = rows.join(step, "sig", "left").withColumn("r", F.coalesce("r1", "sig")).join(last, "r", "left").withColumn("r", F.coalesce("r2", "r"))
