@@ -107,7 +107,7 @@ class Lexicon:
 
 
 def _rates(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> DataFrame:
-    """(columns..., rate, hits, words) for docs (columns..., t)."""
+    """(columns..., __rate, __hits, __words) for docs (columns..., __text)."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +116,10 @@ def _rates(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> DataFrame:
             texts = b.column(b.num_columns - 1)
             rows = [lex.rate(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
             out = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out[0], pa.float64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], [*b.schema.names[:-1], "rate", "hits", "words"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out[0], pa.float64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], [*b.schema.names[:-1], "__rate", "__hits", "__words"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, "t").mapInArrow(run, f"{kinds}, rate double, hits long, words long")
+    return docs.select(*[f"`{c}`" for c in columns], "__text").mapInArrow(run, f"{kinds}, __rate double, __hits long, __words long")
 
 
 def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
@@ -191,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if neg.get(e, 0) / n0 <= 0.2 * pos.get(e, 0) / n1 or not neg.get(e) and not pos.get(e):
             weights.setdefault(e, 1.0)
     lexicon = Lexicon(weights)
-    rates = _rates(sample, lexicon, ["y"]).select("y", "rate").collect()  # max_rows at most
+    rates = _rates(sample.withColumnRenamed("t", "__text"), lexicon, ["y"]).select("y", F.col("__rate").alias("rate")).collect()  # max_rows at most
     toxic = sorted(r["rate"] for r in rates if r["y"] == 1 and r["rate"] > 0)
     clean = sorted(r["rate"] for r in rates if r["y"] == 0)
     if toxic:
@@ -202,12 +202,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, held_out, score, predicted, hits."""
-    rows = _rates(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t")), lexicon, [id_col])
-    value = F.when(F.col("rate") > 0, 1 / (1 + F.lit(3 / 7) * F.pow(lexicon.cut / F.col("rate"), 2))).otherwise(0.0)
-    return rows.select(id_col, (crc_mod(id_col, 3) == 1).alias("held_out"), value.alias("score"), (value >= 0.7).cast("int").alias("predicted"), "hits")
+    rows = _rates(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")), lexicon, [id_col])
+    value = F.when(F.col("__rate") > 0, 1 / (1 + F.lit(3 / 7) * F.pow(lexicon.cut / F.col("__rate"), 2))).otherwise(0.0)
+    return rows.select(id_col, (crc_mod(id_col, 3) == 1).alias("held_out"), value.alias("score"), (value >= 0.7).cast("int").alias("predicted"), F.col("__hits").alias("hits"))
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below 0.7, with all their columns."""
-    rows = _rates(docs.withColumn("t", F.col(text_col).cast("string")), lexicon, docs.columns)
-    return rows.filter((F.col("rate") < lexicon.cut)).select(*docs.columns)
+    rows = _rates(docs.withColumn("__text", F.col(text_col).cast("string")), lexicon, docs.columns)
+    return rows.filter(F.col("__rate") < lexicon.cut).select(*docs.columns)
