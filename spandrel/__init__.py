@@ -1 +1,19 @@
 """Spark-first analytics over typed dependency graphs and the source trees they come from."""
+
+from __future__ import annotations
+
+import os
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where it is not installed: its folder goes onto their path.
+
+    Where executors see other disks than the driver, install it there or pass it by ``--py-files``.
+    """
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
