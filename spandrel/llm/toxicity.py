@@ -164,9 +164,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Lexicon(seeds)
-    pos = {r["entry"]: r["n"] for r in _counted(sample.filter("y = 1"), None).filter(F.col("n") >= support).collect()}
+    counted = checkpoint(_counted(sample.filter("y = 1"), None).filter(F.col("n") >= support))
+    prior, chance = n1 / (n1 + n0), math.log(max(1, counted.count()) / 0.01)
+    # No entry of fewer toxic documents can be better than chance, so only these come to the driver.
+    least = math.ceil(chance / -math.log(prior))
+    pos = {r["entry"]: r["n"] for r in counted.filter((F.col("n") >= least) | F.col("entry").isin(list(seeds))).collect()}
     neg = {r["entry"]: r["n"] for r in _counted(sample.filter("y = 0"), set(pos) | set(seeds)).collect()}
-    prior, chance = n1 / (n1 + n0), math.log(max(1, len(pos)) / 0.01)
 
     def gain(p: int, q: int) -> float:
         """How much better a share of its own explains p toxic and q clean documents, where it is far over the prior."""
