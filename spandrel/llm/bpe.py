@@ -67,7 +67,7 @@ def compile_pattern(pattern: str) -> re.Pattern:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 1_000_000):
         self.ranks, self.limit = ranks, limit
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -173,7 +173,7 @@ class Transducer:
             step = moves.get(state << 8 | x)
             if step is None:
                 step = self._move(state, x)
-                if len(moves) > 4 * self.limit:  # one very long pre-token: go on from a fresh table
+                if len(moves) > 3 * self.limit // 2:  # one very long pre-token: go on from a fresh table
                     here = self.states[step[0]]
                     self._reset()
                     moves = self.moves
@@ -192,7 +192,7 @@ class Transducer:
 class Encoder(dict):
     """Pre-token -> its ids as little-endian 32-bit words; ``encode`` joins those of a text."""
 
-    def __init__(self, ranks_path: str, pattern: str, limit: int = 200_000):
+    def __init__(self, ranks_path: str, pattern: str, limit: int = 300_000):
         super().__init__()
         self.machine = Transducer(load_ranks(ranks_path))
         self.findall = compile_pattern(pattern).findall
