@@ -89,7 +89,8 @@ def set_keys(s: np.ndarray, levels: Levels) -> np.ndarray:
             if len(elements) > d + c:
                 size = np.diff(np.append(starts, len(p)))
                 elements = elements[np.lexsort((elements, -size))[: d + c]]
-            if c == 2:
+            if c == 2:  # by value, so that a pair's key is the same in every set that holds the pair
+                elements = np.sort(elements)
                 i, j = np.triu_indices(len(elements), 1)
                 out.append(mix(mix(elements[i], 9) + elements[j], 10))
             else:

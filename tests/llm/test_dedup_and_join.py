@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from spandrel.llm import exact_dedup, jaccard_join
@@ -63,3 +64,17 @@ def test_keep_one_and_nothing(docs, nothing):
 def test_light_and_heavy_levels():
     levels = jaccard_join.Levels(90, 100)
     assert [levels.shape(levels.of(n))[1] for n in (10, 20, 30, 500)] == [2, 2, 2, 1]
+
+
+@pytest.mark.parametrize("num, den", [(80, 100), (90, 100), (60, 100)])
+def test_similar_short_sets_share_a_key(num, den):
+    r = np.random.default_rng(3)
+    levels, pairs = jaccard_join.Levels(num, den), 0
+    for _ in range(20_000):
+        a = np.unique(r.integers(0, 1 << 63, int(r.integers(5, 26)), dtype=np.uint64))
+        b = np.unique(np.append(a[int(r.integers(0, 3)) :], r.integers(0, 1 << 63, int(r.integers(0, 3)), dtype=np.uint64)))
+        both = len(np.intersect1d(a, b))
+        if len(np.setxor1d(a, b)) and den * both >= num * (len(a) + len(b) - both):
+            pairs += 1
+            assert len(np.intersect1d(jaccard_join.set_keys(a, levels), jaccard_join.set_keys(b, levels)))
+    assert pairs > 3000
