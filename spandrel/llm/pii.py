@@ -1,14 +1,15 @@
 """Personal data: pattern spans, and terms that give protected entities away, with DataFrame functions only.
 
 Base spans are emails, IPv4 addresses, payment cards (Luhn) and phone numbers. Around them the corpus decides: for every
-entity e (the matched text) and every word t near a mention of it, pointwise mutual information
-``PMI(e;t) = log2(n_et * N / (n_e * n_t))`` over documents is set against the information of the entity itself,
-``IC(e) = log2(N / n_e)``. ``PMI / IC`` is the share of e that t discloses. Words over ``generalise_at`` are
-generalised to their shape, words over ``remove_at`` removed, if at least ``support`` documents show the pair.
+entity e (the matched text) and every word t, however short and wherever it stands, of a document that mentions e,
+pointwise mutual information ``PMI(e;t) = log2(n_et * N / (n_e * n_t))`` over documents is set against the information of
+the entity itself, ``IC(e) = log2(N / n_e)``. ``PMI / IC`` is the share of e that t discloses. Words over
+``generalise_at`` are generalised to their shape, words over ``remove_at`` removed, at every place in each document that
+mentions e. One document is enough to show a pair; ``support`` asks for more.
 
-Counting n_t needs words of all documents, but only of words that stand near some entity; their hashes modulo 1,048,576
-make a table of a proven bound that is broadcast to leave other words out before anything is shuffled. Pairs are joined
-back salted, since one entity may be in a third of all documents.
+Counting n_t needs words of all documents, but only of words that stand beside some entity; their hashes modulo 1,048,576
+make a table of a proven bound that is broadcast to leave other words out before anything is shuffled, and again before
+pairs are joined back. Words are compared by 64-bit hashes.
 
 Defined cases: a null or empty text has no spans; repeated rows get equal spans each; documents without spans keep their
 text; a null id is an id like any other. Offsets count code points, the end is exclusive.
@@ -77,58 +78,79 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.coalesce(F.when(text.rlike(HINTS[k]), located(text, PATTERNS[k], k, lambda v, k=k: _valid(k, v))), none) for k in KINDS])
 
 
-def near_words(text: Column, spans: Column, reach: int = 64, least: int = 3) -> Column:
-    """Words within ``reach`` code points of a span, as an array of (entity, term, b, e) with places in the text."""
+def _words(text: Column, inside: str = "") -> Column:
+    """Hashes of the distinct lower-cased words of a text; ``inside``: what counts as a letter besides, in words left out."""
+    words = F.array_distinct(F.split(text, rf"[^\p{{L}}\p{{M}}{inside}]++"))
+    words = F.filter(words, lambda w: (w != "") & ~F.contains(w, F.lit("\0")))
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.lower(w))))
 
-    def side(s: Column, lo: Column, hi: Column) -> Column:
-        part = F.substr(text, lo + 1, hi - lo)
-        whole = lambda w: (F.length(w["v"]) >= least) & ((w["b"] > lo) | (lo == 0)) & ((w["e"] < hi) | (hi == F.length(text)))
-        words = F.filter(located(part, WORD, "term", None, lo), whole)
-        return F.transform(words, lambda w: F.struct(F.xxhash64(F.lower(s["v"])).alias("entity"), F.lower(w["v"]).alias("term"), w["b"].alias("b"), w["e"].alias("e")))
 
-    def around(s: Column) -> Column:
-        left = side(s, F.greatest(s["b"] - reach, F.lit(0)), s["b"])
-        return F.concat(left, side(s, s["e"], F.least(s["e"] + reach, F.length(text))))
+def other_words(text: Column, spans: Column) -> Column:
+    """Hashes of the distinct words of a text that touch no span."""
+
+    def step(acc: Column, s: Column) -> Column:
+        part = F.translate(F.substr(text, acc["at"] + 1, s["b"] - acc["at"]), "\0", " ")
+        return F.struct(F.greatest(acc["at"], s["e"]).alias("at"), F.when(s["b"] >= acc["at"], F.concat(acc["out"], F.array(part))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    done = lambda acc: F.concat(acc["out"], F.array(F.translate(F.substr(text, acc["at"] + 1, F.length(text)), "\0", " ")))
+    places = F.array_sort(F.transform(spans, lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"))))
+    return _words(F.array_join(F.aggregate(places, start, step, done), "\0"), r"\x00")
 
-    words = F.flatten(F.transform(spans, around))
-    return F.filter(words, lambda w: ~F.exists(spans, lambda s: (w["b"] < s["e"]) & (w["e"] > s["b"])))
 
+def _bucket(term: str) -> Column:
+    return F.pmod(F.col(term), F.lit(BUCKETS)).cast("int").alias("bucket")
 
-def disclosing_pairs(docs: DataFrame, near: DataFrame, text_col: str = "text", support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.98) -> DataFrame:
-    """(entity, term, share, action) of all pairs over the threshold. ``near``: a row per document with ``words``."""
+
+def disclosing_pairs(docs: DataFrame, near: DataFrame, text_col: str = "text", support: int = 1, generalise_at: float = 0.9, remove_at: float = 0.98) -> DataFrame:
+    """(entity, term, share, action) of all pairs over the threshold. ``near``: a row per document with ``entities`` and ``words``."""
     total = docs.count()
-    docs_with = lambda part: near.select(F.explode(F.array_distinct(F.transform("words", part))).alias("x"))
-    counted = lambda rows, name, n: rows.groupBy(F.col("x").alias(name)).agg(F.count(F.lit(1)).alias(n))
-    pairs = docs_with(lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))).groupBy("x.entity", "x.term").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = pairs.filter(F.col("n_et") >= support).join(counted(docs_with(lambda w: w["entity"]), "entity", "n_e"), "entity")
+    counted = lambda rows, name, n: rows.groupBy(name).agg(F.count(F.lit(1)).alias(n))
+    pairs = near.select(F.explode("entities").alias("entity"), "words").select("entity", F.explode("words").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
+    pairs = pairs.join(counted(near.select(F.explode("entities").alias("entity")), "entity", "n_e"), "entity")
     info = F.log2(total / F.col("n_e"))
     share = lambda n: F.when(info > 0, F.log2(F.col("n_et") * total / (F.col("n_e") * F.col(n))) / info).otherwise(0.0)
-    # A term is in no fewer documents than those that show it near some entity: what fails with these fails for good.
-    close = counted(docs_with(lambda w: w["term"]), "term", "n_near")
+    # A term is in no fewer documents than those that show it beside some entity: what fails with these fails for good.
+    close = counted(near.select(F.explode("words").alias("term")), "term", "n_near")
     pairs = checkpoint(pairs.join(close, "term").filter(share("n_near") >= generalise_at).drop("n_near"))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int").alias("bucket")
-    wanted = F.broadcast(pairs.select(bucket(F.col("term"))).distinct())  # BUCKETS rows at most
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{M}]++"), lambda w: F.length(w) >= 3))
-    terms = docs.select(F.explode(words).alias("term")).withColumn("bucket", bucket(F.col("term"))).join(wanted, "bucket", "left_semi")
-    terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    scored = pairs.join(terms, "term").withColumn("share", share("n_t")).filter(F.col("share") >= generalise_at)
+    wanted = F.broadcast(pairs.select(_bucket("term")).distinct())  # BUCKETS rows at most
+    terms = docs.select(F.explode(_words(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).withColumn("bucket", _bucket("term")).join(wanted, "bucket", "left_semi")
+    scored = pairs.join(counted(terms, "term", "n_t"), "term").withColumn("share", share("n_t")).filter(F.col("share") >= generalise_at)
     return scored.select("entity", "term", "share", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"))
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, **thresholds) -> DataFrame:
+def term_spans(text: Column, spans: Column, hits: Column) -> Column:
+    """(b, e, action) of each word of a text that is among ``hits`` (term, action) and touches no span."""
+    term = lambda v: F.xxhash64(F.lower(v))
+    found = located(text, WORD, "term", lambda v: F.exists(hits, lambda h: h["term"] == term(v)))
+    found = F.filter(found, lambda w: ~F.exists(spans, lambda s: (w["b"] < s["e"]) & (w["e"] > s["b"])))
+    action = lambda w: F.get(F.filter(hits, lambda h: h["term"] == term(w["v"])), F.lit(0))["action"]
+    return F.transform(found, lambda w: F.struct(w["b"].alias("b"), w["e"].alias("e"), action(w).alias("action")))
+
+
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """A row per input row: __id, __hash (of the text), base (SPAN), terms (array of b, e, action)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("t")).withColumn("base", base_spans(F.col("t")))
-    rows = rows.withColumn("words", F.when(F.size("base") > 0, near_words(F.col("t"), F.col("base"))))
-    rows = checkpoint(rows.drop("t"))
+    some = F.size("base") > 0
+    rows = rows.withColumns(
+        {
+            "t": F.when(some, F.col("t")),
+            "entities": F.when(some, F.array_distinct(F.transform("base", lambda s: F.xxhash64(F.lower(s["v"]))))),
+            "words": F.when(some, other_words(F.col("t"), F.col("base"))),
+        }
+    )
+    rows = checkpoint(rows.withColumn("__key", F.coalesce(F.col("__id").cast("string"), F.lit("null"))))
     near = rows.filter(F.size("words") > 0)
     found = checkpoint(disclosing_pairs(docs, near, text_col, **thresholds))
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    key = F.coalesce(F.col("__id").cast("string"), F.lit("null"))
-    mentions = near.select(key.alias("__key"), "__hash", F.explode("words").alias("w")).select("__key", "__hash", "w.*").withColumn("salt", F.pmod(F.xxhash64("__key", "__hash"), F.lit(salts)).cast("int"))
-    hits = mentions.join(salted, ["entity", "term", "salt"]).groupBy("__key", "__hash", "b", "e").agg(F.max("action").alias("action"))
-    hits = hits.groupBy("__key", "__hash").agg(F.sort_array(F.collect_set(F.struct("b", "e", "action"))).alias("terms"))
-    return rows.drop("words").withColumn("__key", key).join(hits, ["__key", "__hash"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<b:int,e:int,action:string>>"))).drop("__key")
+    wanted = F.broadcast(found.select(_bucket("term")).distinct())  # BUCKETS rows at most
+    mentions = near.select("__key", "__hash", "entities", F.explode("words").alias("term")).withColumn("bucket", _bucket("term")).join(wanted, "bucket", "left_semi")
+    hits = mentions.select("__key", "__hash", F.explode("entities").alias("entity"), "term").join(found, ["entity", "term"]).groupBy("__key", "__hash", "term").agg(F.max("action").alias("action"))
+    hits = hits.groupBy("__key", "__hash").agg(F.collect_list(F.struct("term", "action")).alias("hits"))
+    terms = F.when(F.size("hits") > 0, term_spans(F.col("t"), F.col("base"), F.col("hits")))
+    rows = rows.drop("entities", "words").join(hits, ["__key", "__hash"], "left")
+    return rows.select("__id", "__hash", "base", F.coalesce(terms, F.array().cast("array<struct<b:int,e:int,action:string>>")).alias("terms"))
 
 
 def _joined(spans: Column) -> Column:

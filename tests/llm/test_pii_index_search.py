@@ -112,3 +112,29 @@ def test_members_end_with_zero():
     for data in (b"", b"x" * 10, bytes(range(256)) * 70_000):
         assert warc.member(data)[-1] == 0
         assert b"".join(c for _, _, c in warc.members(warc.member(data) * 2)) == data * 2
+
+
+def test_pii_terms_anywhere_in_the_document(spark):
+    """Terms far from the mention, pairs of a single document and short words, next to a plain count."""
+    import math
+
+    far = " plain words of no weight" * 20
+    rows = [(i, f"Zorblat news{far} by zq@mail.example.org{far} signed Zorblat é") for i in range(5)]
+    rows += [(10, f"Li Vexo wrote{far} to li@one.example.org today"), (11, f"äli@two.example.org{far} news of Quorn"), (12, "Zorblat\0alone")]
+    rows += [(100 + i, f"news wrote today signed by to x{far}") for i in range(60)]
+    docs = {i: (t, [m.span() for m in re.finditer(PLAIN["email"], t)]) for i, t in rows}
+    words = {i: [m for m in re.finditer(r"[^\W\d_]+", t) if not any(m.start() < e and m.end() > b for b, e in s)] for i, (t, s) in docs.items()}
+    entities = {i: {t[b:e].lower() for b, e in s} for i, (t, s) in docs.items()}
+    every = {i: {w.lower() for w in re.findall(r"[^\W\d_]+", t)} for i, (t, _) in docs.items()}
+    n_e = lambda e: sum(e in x for x in entities.values())
+
+    def share(e, t):
+        n_et = sum(e in entities[i] and t in {m.group().lower() for m in words[i]} for i in docs)
+        return math.log2(n_et * len(docs) / (n_e(e) * sum(t in x for x in every.values()))) / math.log2(len(docs) / n_e(e))
+
+    expected = {i: [f"email:{b}:{e}" for b, e in docs[i][1]] + [f"term:{m.start()}:{m.end()}" for m in words[i] if any(share(e, m.group().lower()) >= 0.9 for e in entities[i])] for i in docs}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.report(d).collect()} == {i: ",".join(x) for i, x in expected.items()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert not any("Zorblat" in clean[i] for i in range(5)) and "Li" not in clean[10] and "Vexo" not in clean[10] and "Quorn" not in clean[11]
+    assert clean[12] == rows[7][1] and clean[100] == rows[8][1]
