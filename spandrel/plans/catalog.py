@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 GN, GE = f"gn as ({X.CATALOG_NODES})", f"ge as ({X.CATALOG_EDGES})"
+WHOLE_GE = f"ge as ({X.WHOLE_CATALOG_EDGES})"
 FOCUS = "n3"
 CLASS_NODE = "r0.n0"
 
@@ -38,8 +40,14 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def catalog_query(name: str, body: str) -> Callable:
-    """A query over the catalogue graph, whose oracle may use gn (nodes) and ge (edges)."""
-    return lambda f: query(name, f"with {GN}, {GE} {body}")(lambda spark, d: f(X.catalog(spark, d)))
+    """A query over the catalogue graph, whose oracle may use gn (nodes) and ge (edges); over edges, one more from all rows."""
+
+    def add(f: Callable) -> Query:
+        if re.search(r"\bge\b", body):
+            query(f"whole_{name}", f"with {GN}, {WHOLE_GE} {body}")(lambda spark, d: f(X.catalog(spark, d, X.WHOLE_CATALOG_EDGES)))
+        return query(name, f"with {GN}, {GE} {body}")(lambda spark, d: f(X.catalog(spark, d)))
+
+    return add
 
 
 # ---- store -----------------------------------------------------------------------------------------------------------
@@ -185,6 +193,47 @@ query(
     from ({X.endpoints(X.SNAP_OLD)}) a full join ({X.endpoints(X.SNAP_NEW)}) b on a.id = b.id""",
 )(lambda spark, d: A.diff_view(*X.snapshots(spark, d)))
 
+# ---- the same from all rows ------------------------------------------------------------------------------------------
+
+
+def _whole_trade(spark: SparkSession, d: str) -> Graph:
+    return X.of_edges(spark, d, X.WHOLE_TRADE)
+
+
+def _whole_copurchase(spark: SparkSession, d: str) -> Graph:
+    return X.copurchase(spark, d, X.WHOLE_COPURCHASE)
+
+
+def _whole_snapshots(spark: SparkSession, d: str) -> tuple[Graph, Graph]:
+    return X.snapshots(spark, d, X.WHOLE_SNAP_OLD, X.WHOLE_SNAP_NEW)
+
+
+def whole_oracle(of: str) -> str:
+    """The SQL of a query, over the blocks of all rows."""
+    blocks = [(X.COPURCHASE, X.WHOLE_COPURCHASE), (X.SNAP_OLD, X.WHOLE_SNAP_OLD), (X.SNAP_NEW, X.WHOLE_SNAP_NEW), *((X.TRADE.format(most=m), X.WHOLE_TRADE) for m in (1, 2))]
+    text = ORACLES[of]
+    for part, whole in blocks:
+        text = text.replace(part, whole)
+    return text
+
+
+query("whole_trade_coupling", whole_oracle("trade_coupling"))(lambda spark, d: A.coupling(_whole_trade(spark, d)))
+query("whole_orphans", whole_oracle("orphans"))(lambda spark, d: A.orphans(_whole_copurchase(spark, d)))
+# The recursive SQL of components writes all pairs of a component; these are compared with a plain search in the tests.
+query("whole_components")(lambda spark, d: A.components(_whole_copurchase(spark, d)))
+query("whole_component_sizes")(lambda spark, d: A.component_sizes(_whole_copurchase(spark, d)))
+query("whole_component_nth")(lambda spark, d: V.show_component(_whole_copurchase(spark, d), 0).nodes.select("id"))
+query("whole_scc_cycles", whole_oracle("scc_cycles_2"))(lambda spark, d: A.cycles(_whole_trade(spark, d)))
+query("whole_cycle_nodes", whole_oracle("cycle_nodes"))(lambda spark, d: A.cycle_nodes(_whole_trade(spark, d)))
+for _k in (1, 2, 3):
+    query(f"whole_focus_{_k}", whole_oracle(f"focus_{_k}"))(lambda spark, d, k=_k: A.within_hops(_whole_trade(spark, d), FOCUS, k))
+query("whole_focus_edges_2", whole_oracle("focus_edges_2"))(lambda spark, d: A.focus(_whole_trade(spark, d), FOCUS, 2).edges)
+query("whole_focus_missing", whole_oracle("focus_missing"))(lambda spark, d: A.focus(_whole_trade(spark, d), "nowhere", 2).nodes.select("id"))
+for _name in DIFFS:
+    query(f"whole_diff_{_name}", whole_oracle(f"diff_{_name}"))(lambda spark, d, name=_name: A.diff(*_whole_snapshots(spark, d))[name])
+query("whole_diff_summary", whole_oracle("diff_summary"))(lambda spark, d: A.diff_summary(*_whole_snapshots(spark, d)))
+query("whole_diff_view", whole_oracle("diff_view"))(lambda spark, d: A.diff_view(*_whole_snapshots(spark, d)))
+
 # ---- views -----------------------------------------------------------------------------------------------------------
 
 NODE_FILTER = {"kinds": ["class", "function", "method"], "externals": False, "search": "n1", "path": "geo/"}
@@ -352,6 +401,11 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
     return A.analyze(X.trade(spark, d, 2)).summary()
 
 
+@query("whole_analysis_summary")
+def _whole_summary(spark: SparkSession, d: str) -> DataFrame:
+    return A.analyze(_whole_trade(spark, d)).summary()
+
+
 @query("treemap")
 def _treemap(spark: SparkSession, d: str) -> DataFrame:
     return V.treemap(V.structure(X.catalog(spark, d)))

@@ -76,6 +76,13 @@ from lineitem where l_quantity >= 48 and l_shipdate {when}
 SNAP_OLD = SNAP.format(when="< timestamp '1998-06-01 00:00:00'")
 SNAP_NEW = SNAP.format(when=">= timestamp '1997-06-01 00:00:00'")
 
+# The same graphs from all rows: no filter on values, no cap on ranks.
+LINE_FILTER = " where l_quantity >= 48 and l_discount >= 0.075"
+WHOLE_CATALOG_EDGES = CATALOG_EDGES.replace(LINE_FILTER, "")
+WHOLE_COPURCHASE = COPURCHASE.replace(LINE_FILTER, "")
+WHOLE_TRADE = TRADE.replace(" where r <= {most}", "")
+WHOLE_SNAP_OLD, WHOLE_SNAP_NEW = (t.replace("l_quantity >= 48 and ", "") for t in (SNAP_OLD, SNAP_NEW))
+
 REFS = """
 select o_orderkey as ref_id, concat('r', n_regionkey, '.n', n_nationkey) as module_id,
        case o_orderkey % 4 when 0 then c_mktsegment when 1 then s_name when 2 then concat('crate::', s_name)
@@ -105,8 +112,8 @@ def plain_nodes(ids: DataFrame) -> DataFrame:
     )
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(sql(spark, sf_dir, CATALOG_NODES), sql(spark, sf_dir, CATALOG_EDGES))
+def catalog(spark: SparkSession, sf_dir: str, edges: str = CATALOG_EDGES) -> Graph:
+    return Graph(sql(spark, sf_dir, CATALOG_NODES), sql(spark, sf_dir, edges))
 
 
 def of_edges(spark: SparkSession, sf_dir: str, edges: str, more: str = "") -> Graph:
@@ -121,8 +128,8 @@ ALL_CUSTOMERS = "select concat('c', c_custkey) as id from customer"
 TURNS = "select concat('c', conv_id, '.t', turn) as id from conversations"
 
 
-def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
-    return of_edges(spark, sf_dir, COPURCHASE, ALL_CUSTOMERS)
+def copurchase(spark: SparkSession, sf_dir: str, edges: str = COPURCHASE) -> Graph:
+    return of_edges(spark, sf_dir, edges, ALL_CUSTOMERS)
 
 
 def trade(spark: SparkSession, sf_dir: str, most: int) -> Graph:
@@ -133,8 +140,8 @@ def replies(spark: SparkSession, sf_dir: str) -> Graph:
     return of_edges(spark, sf_dir, REPLIES, TURNS)
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> tuple[Graph, Graph]:
-    return of_edges(spark, sf_dir, SNAP_OLD), of_edges(spark, sf_dir, SNAP_NEW)
+def snapshots(spark: SparkSession, sf_dir: str, old: str = SNAP_OLD, new: str = SNAP_NEW) -> tuple[Graph, Graph]:
+    return of_edges(spark, sf_dir, old), of_edges(spark, sf_dir, new)
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
