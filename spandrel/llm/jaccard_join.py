@@ -108,16 +108,20 @@ def _texts(batch: pa.RecordBatch, k: int) -> Iterator:
         yield from column.slice(at, 256).to_pylist()
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(__id, sig, n): a row per document."""
+    """(__id, hash, sig, n): a row per document; ``hash`` is that of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [(len(s), set_signature(s)) for s in (shingle_set(t, width) for t in _texts(b, 1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[0] for x in sets], pa.int64())], ["__id", "sig", "n"])
+            sets = [(len(s), set_signature(s)) for s in (shingle_set(t, width) for t in _texts(b, 2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[0] for x in sets], pa.int64())], ["__id", "hash", "sig", "n"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    return src.mapInArrow(run, "__id long, sig long, n long")
+    src = docs.select(F.col(id_col).cast("long").alias("__id"), _text_hash(text_col).alias("hash"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    return src.mapInArrow(run, "__id long, hash long, sig long, n long")
 
 
 def packed_keys(docs: DataFrame, text_col: str, width: int, levels: Levels, groups: int) -> DataFrame:
@@ -252,8 +256,8 @@ def compare_lists(lists: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     return tiled.groupBy("list", "x", "y").applyInPandas(run, "u long, v long")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """A row per input row: id, n_shingles, component_id. Links: |A and B| * den >= |A or B| * num."""
+def members(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """(__id, hash, n, r): a row per input row; r names its component, except in texts without words (n = 0)."""
     groups = max(64, plan_bytes(docs) >> 22)
     spark = docs.sparkSession
     rows = checkpoint(set_rows(docs, id_col, text_col, width))
@@ -281,15 +285,29 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = checkpoint(connected_roots(over))
     step = roots.select(F.col("node").alias("sig"), F.col("root").alias("r1"))
     last = top.select(F.col("node").alias("r"), F.col("root").alias("r2"))
-    found = rows.join(step, "sig", "left").withColumn("r", F.coalesce("r1", "sig")).join(last, "r", "left").withColumn("r", F.coalesce("r2", "r"))
-    found = found.select("__id", "n", "r").filter("n > 0")
+    found = rows.filter("n > 0").join(step, "sig", "left").withColumn("r", F.coalesce("r1", "sig")).join(last, "r", "left").withColumn("r", F.coalesce("r2", "r"))
+    return found.select("__id", "hash", "n", "r").unionByName(rows.filter("n = 0").select("__id", "hash", "n", F.lit(None).cast("long").alias("r")))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """A row per input row: id, n_shingles, component_id. Links: |A and B| * den >= |A or B| * num."""
+    rows = members(docs, id_col, text_col, width, num, den)
+    found = rows.filter("n > 0")
     names = found.groupBy("r").agg(F.min("__id").alias("component_id"))
     empty = rows.filter("n = 0").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.col("__id").alias("component_id"))
     return found.join(names, "r").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with the document of smallest id of each component; texts without words stay."""
-    kept = near_components(docs, id_col, text_col, width, num, den).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    """``docs`` with one document of smallest id of each component (a null id only if all are null); texts without words stay.
+
+    The mark of what stays is the id with the hash of the text, and of rows equal in both one stays.
+    """
+    rows = members(docs, id_col, text_col, width, num, den)
+    first = rows.filter("n > 0").groupBy("r").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "hash")).alias("x"))
     mark = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("__mark")
-    return docs.withColumn("__mark", mark(id_col)).join(kept.select(mark(id_col)).distinct(), "__mark", "left_semi").select(*docs.columns)
+    kept = first.select(mark("x.__id"), F.col("x.hash").alias("__hash"), F.lit(True).alias("__one"))
+    kept = kept.unionByName(rows.filter("n = 0").select(mark("__id"), F.col("hash").alias("__hash"), F.lit(False).alias("__one")).distinct())
+    own = docs.withColumns({"__mark": mark(id_col), "__hash": _text_hash(text_col)}).join(kept, ["__mark", "__hash"])
+    own = own.withColumn("__row", F.when(F.col("__one"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return own.dropDuplicates(["__mark", "__hash", "__row"]).select(*docs.columns)

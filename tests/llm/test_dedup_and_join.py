@@ -78,3 +78,11 @@ def test_similar_short_sets_share_a_key(num, den):
             pairs += 1
             assert len(np.intersect1d(jaccard_join.set_keys(a, levels), jaccard_join.set_keys(b, levels)))
     assert pairs > 3000
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    base = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcd"]
+    near = lambda t: t + " more"
+    rows = [(None, base[0]), (None, near(base[0])), (None, base[1]), (3, near(base[1])), (5, base[2]), (5, near(base[2])), (5, base[2].upper()), (6, base[3]), (6, base[3]), (None, ""), (None, None), (5, " ")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, (r.text or "").lower()[:2].strip()) for r in kept) == Counter({(None, "a0"): 1, (3, "b0"): 1, (5, "c0"): 1, (6, "d0"): 1, (None, ""): 2, (5, ""): 1})
