@@ -4,6 +4,9 @@ In each round every node points at its neighbour of smallest pseudo-random rank
 between the nodes pointed at. Stars collapse in two rounds and paths shrink by a constant factor, so rounds grow with the
 logarithm of the graph, never with its diameter. Nothing but a row count reaches the driver; each round is cut off by a
 reliable checkpoint. A node with a very large degree only meets partial aggregates and joins that AQE can split.
+
+The row count of a level sizes what follows: a level runs in as many tasks as its rows need, and a table of ``SMALL`` rows
+at most is broadcast instead of shuffled.
 """
 
 from __future__ import annotations
@@ -13,12 +16,26 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tables of this many rows of two ids at most may be broadcast.
+SMALL = 50_000
+ROWS_PER_TASK = 100_000
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder all executors share (``spark.checkpoint.dir``)."""
-    sc = df.sparkSession.sparkContext
+
+def checkpoint_folder(spark) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, one beside the warehouse, or for a local master a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spandrel-"))
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if not own:
+            in_process = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+            own = tempfile.mkdtemp(prefix="spandrel-") if in_process else f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints"
+        sc.setCheckpointDir(own)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the folder all executors share."""
+    checkpoint_folder(df.sparkSession)
     conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
     before = conf.get(name)
     conf.set(name, "false")  # a checkpoint hands on its plan's constraints, and those of a loop multiply in the driver
@@ -28,23 +45,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many tasks as ``rows`` rows need."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
+def side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as one side of a join: broadcast where its counted rows are few."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def connected_roots(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) for every node that has an edge to another node; equal roots mark one component."""
     one = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter(F.col("u") != F.col("v"))
     level = checkpoint(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    steps: list[DataFrame] = []
-    while not level.isEmpty():
+    steps: list[tuple[DataFrame, int]] = []
+    while n := level.count():
         rank = lambda c, i=len(steps): F.xxhash64(F.col(c), F.lit(i))
         best = level.groupBy("u").agg(F.min(F.struct(rank("v").alias("r"), F.col("v").alias("v"))).alias("b"))
-        parent = checkpoint(best.select("u", F.when(F.col("b.r") < rank("u"), F.col("b.v")).otherwise(F.col("u")).alias("p")))
-        steps.append(parent)
-        moved = level.join(parent, "u").select(F.col("p").alias("pu"), "v")
-        moved = moved.join(parent.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
-        level = checkpoint(moved.filter(F.col("pu") != F.col("pv")).select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+        parent = checkpoint(fitted(best.select("u", F.when(F.col("b.r") < rank("u"), F.col("b.v")).otherwise(F.col("u")).alias("p")), n))
+        steps.append((parent, n))
+        moved = level.join(side(parent, n), "u").select(F.col("p").alias("pu"), "v")
+        moved = moved.join(side(parent.select(F.col("u").alias("v"), F.col("p").alias("pv")), n), "v")
+        level = checkpoint(fitted(moved.filter(F.col("pu") != F.col("pv")).select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), n))
     if not steps:
         return one.select(F.col("u").alias("node"), F.col("u").alias("root")).limit(0)
-    roots = steps[-1].select(F.col("u").alias("node"), F.col("p").alias("root"))
-    for parent in reversed(steps[:-1]):
-        up = roots.select(F.col("node").alias("p"), F.col("root"))
-        roots = checkpoint(parent.join(up, "p", "left").select(F.col("u").alias("node"), F.coalesce("root", "p").alias("root")))
+    (last, below), upper = steps[-1], steps[:-1]
+    roots = last.select(F.col("u").alias("node"), F.col("p").alias("root"))
+    for parent, n in reversed(upper):
+        up = side(roots.select(F.col("node").alias("p"), F.col("root")), below)
+        roots, below = checkpoint(fitted(parent.join(up, "p", "left").select(F.col("u").alias("node"), F.coalesce("root", "p").alias("root")), n)), n
     return roots
