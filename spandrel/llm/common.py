@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.operators.components import checkpoint
+from spandrel.operators.components import checkpoint, checkpoint_folder, fitted, side
 
-__all__ = ["checkpoint", "crc_mod", "crc_mod_py", "plan_bytes", "release", "table"]
+__all__ = ["checkpoint", "checkpoint_folder", "crc_mod", "crc_mod_py", "drop_folder", "fitted", "free", "plan_bytes", "quoted", "side", "table"]
 
 #: Runs of these code points count as one space, and separate words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,10 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that nothing refers to any more (it acts when the driver collects garbage)."""
-    gc.collect()
-    spark._jvm.System.gc()
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``docs`` has a column of that name in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data wherever it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -68,7 +68,11 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(mix(acc, 64 + take))
 
 
+#: Low bits of a signature that hold the bit length of the set's size.
+SIZE_CLASS = 5
+
+
 def set_signature(s: np.ndarray) -> int:
-    """64 bits that stand for the whole set, signed for Spark."""
-    h = xxhash.xxh3_64_intdigest(s.tobytes())
+    """64 bits that stand for the whole set, signed for Spark; 2 to the low SIZE_CLASS bits is more than the set's size."""
+    h = xxhash.xxh3_64_intdigest(s.tobytes()) >> SIZE_CLASS << SIZE_CLASS | len(s).bit_length()
     return h - (1 << 64) if h >= 1 << 63 else h

@@ -48,10 +48,11 @@ def brute(rows, width, num, den):
     return Counter((i, len(s), names.get(find(k)) if s else i) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("width, num, tile", [(3, 90, 512), (5, 80, 512), (3, 90, 3), (2, 60, 4)])
-def test_near_components(docs, width, num, tile, monkeypatch):
+@pytest.mark.parametrize("width, num, tile, hot, light", [(3, 90, 512, 64, None), (5, 80, 512, 2, 4), (3, 90, 2, 3, 0), (2, 60, 3, 64, 4), (1, 50, 2, 2, 12), (2, 60, 2, 2, None)])
+def test_near_components(docs, width, num, tile, hot, light, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
-    got = Counter(map(tuple, jaccard_join.near_components(docs, width=width, num=num).select("doc_id", "n_shingles", "component_id").collect()))
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    got = Counter(map(tuple, jaccard_join.near_components(docs, width=width, num=num, light=light).select("doc_id", "n_shingles", "component_id").collect()))
     assert got == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], width, num, 100)
 
 
@@ -61,6 +62,24 @@ def test_keep_one_and_nothing(docs, nothing):
     assert jaccard_join.near_components(nothing).count() == jaccard_join.keep_one(nothing).count() == 0
 
 
+def test_tiles_of_a_family_meet(spark, monkeypatch):
+    """A template that many texts share by half: one family of several tiles whose members are linked in pairs only."""
+    monkeypatch.setattr(jaccard_join, "TILE", 5)
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(2 * i + k, f"{common} " + " ".join(f"own{i}x{j}" for j in range(28)) + f" end{k}") for i in range(30) for k in range(2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for num in (50, 90):
+        got = Counter(map(tuple, jaccard_join.near_components(d, width=1, num=num).collect()))
+        assert got == brute(rows, 1, num, 100)
+
+
+def test_boundary_by_cost():
+    # Long lists of single elements are dear, so subsets pay there; where lists are short, they don't.
+    assert jaccard_join.cheapest({(1, 1): (2000.0, 5000.0), (1, 2): (3000.0, 10.0), (6, 1): (700.0, 1.0), (6, 2): (2800.0, 0.0)}, 100.0) == 1
+    assert jaccard_join.cheapest({(1, 1): (200.0, 0.0), (1, 2): (300.0, 0.0)}, 100.0) == 0 and jaccard_join.cheapest({}, 1.0) == 0
+
+
 def test_light_and_heavy_levels():
     levels = jaccard_join.Levels(90, 100)
     assert [levels.shape(levels.of(n))[1] for n in (10, 20, 30, 500)] == [2, 2, 2, 1]
