@@ -24,6 +24,29 @@ def test_exact_dedup(docs, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == exact_dedup.keep_first(nothing).count() == 0
 
 
+def test_exact_dedup_keeps_colliding_digests_apart(spark, docs):
+    """Digest and second hash forced to collide: the texts decide."""
+    from pyspark.sql import functions as F
+
+    weak = lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1)
+    same = lambda t: F.lit(0).cast("long")
+    rows = [(i, f"w{i % 7} x") for i in range(40)] + [(None, "w1  x"), (None, "lone y"), (3, "w3 x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text")).repartition(5)
+    plain = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(d).collect()}
+    forced = exact_dedup.exact_dedup(d, digest=weak, check=same).collect()
+    assert len(forced) == d.count() and {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in forced} == plain
+    first = lambda **more: Counter((r.doc_id, " ".join((r.text or "").split())) for r in exact_dedup.keep_first(d, **more).collect())
+    assert first(digest=weak, check=same) == first()
+
+
+def test_runs_are_sorted_and_merged_in_rounds(spark, docs):
+    keyed = docs.selectExpr("doc_id as id", "sha2(coalesce(text, ''), 256) as digest", "0L as length", "0L as check")
+    plan = exact_dedup.merge_runs(keyed, runs=16, fan_in=4)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "hashpartitioning(" in x]
+    assert [("REPARTITION" in x, "digest" in x.split("hashpartitioning")[1]) for x in exchanges] == [(True, False), (True, False), (False, True)]
+    assert plan.count("SortAggregate") == 6 and "HashAggregate" not in plan
+
+
 def brute(rows, width, num, den):
     sets = []
     for i, t in rows:
