@@ -5,11 +5,12 @@ on the driver and the pieces are placed by it in parallel.
 
 1. A document is tokenised as a whole, id 0 appended, and cut only if longer than the capacity (the first piece takes
    the remainder, the others are full).
-2. Reduction (Martello and Toth, 1990): taking the longest open length j, a set that holds j and provably dominates all
-   other sets with j is fixed for good: j alone if nothing fits beside it; j with a length that fills the sequence; j with
+2. Reduction (Martello and Toth, 1990): for one open length j after the other, from the longest on, a set that holds j
+   and provably dominates all other sets with j is fixed for good: j alone if nothing fits beside it; j with a length that fills the sequence; j with
    the longest length k that fits, if no two open pieces fit beside j; j with a pair, if no three fit beside j, no
    single piece dominates it and one pair is at least as long, piece for piece, as any other that fits. Lengths are fixed
-   in bulk, as often as their counts allow, and the procedure goes on with the smaller instance.
+   in bulk, as often as their counts allow, the procedure goes on with the smaller instance, and passes over all lengths
+   are repeated until one fixes nothing.
 3. Where no such set exists the remainder is packed best-fit decreasing, in bulk by (room, sequences) groups.
 
 The plan is a list of placements "pieces number a to b of length l go to the sequences from s on, k in each, at offset o".
@@ -17,8 +18,8 @@ A piece's number within its length comes from a count per (bucket, length) and i
 dealt by a hash of the document id, so that one length, even that of a third of all pieces, spreads over all of them.
 
 Defined cases: a null or empty text is one piece, id 0 alone; repeated rows are packed as separate documents; null ids
-are ids like any other; no documents give no rows; other columns are never looked at. Special tokens' strings in a text
-are ordinary text.
+are ids like any other; no documents give no rows; other columns may have any names and are never looked at. The string
+of an added token in a text gives that token's id, as ``tokenizers`` does by default.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, plain, plan_bytes
 
 CAPACITY = 2048
 
@@ -50,36 +51,39 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of whole texts as the ``tokenizers`` library gives them; strings of special tokens are ordinary text.
+    """Ids of whole texts as the ``tokenizers`` library gives them, those of added tokens included.
 
     Where a byte-level vocabulary numbers its tokens in the order of its merges, merging by rank is the same thing, and the
-    ids come from ``tiktoken`` over that vocabulary, which is several times faster. Any other file goes to ``tokenizers``.
+    ids come from ``tiktoken`` over that vocabulary, which is several times faster. Any other file goes to ``tokenizers``,
+    and so does one whose added tokens take more than their own string.
     """
 
     def __init__(self, path: str, pattern: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, added = whole["model"], whole.get("added_tokens") or []
+        simple = not whole.get("normalizer") and not any(a.get(k) for a in added for k in ("lstrip", "rstrip", "single_word"))
         letters, vocabulary = _byte_letters(), model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         first = len(vocabulary) - len(merges)
         ordered = sorted(vocabulary.get("".join(m), -1) for m in merges) == [vocabulary.get("".join(m), -2) for m in merges]
         ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if all(c in letters for c in t)}
         self.fast = self.tokenizer = None
-        if model["type"] == "BPE" and ordered and first >= 256 and all(bytes([b]) in ranks for b in range(256)):
+        if model["type"] == "BPE" and simple and ordered and first >= 256 and all(bytes([b]) in ranks for b in range(256)):
             merged = {bytes(letters[c] for c in "".join(m)) for m in merges}
             import tiktoken
 
-            ranks = {t: i for t, i in ranks.items() if len(t) == 1 or t in merged}
-            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            special = {a["content"]: a["id"] for a in added}
+            ranks = {t: i for t, i in ranks.items() if i not in special.values() and (len(t) == 1 or t in merged)}
+            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         else:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast is not None:
-            return [self.fast.encode_to_numpy(t, disallowed_special=()) for t in texts]
+            return [self.fast.encode_to_numpy(t, allowed_special="all") for t in texts]
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -116,7 +120,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "do
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    docs, i, t = plain(docs, id_col, text_col)
+    src = docs.select(F.col(i).cast("long").alias("i"), F.col(t).cast("string").alias("t"))
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -124,7 +129,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "do
 
 
 class Plan:
-    """Placements of the pieces of a histogram {length: count}."""
+    """Placements of the pieces of a histogram {length: count}; ``reduced`` sequences come from the reduction, ``alone`` of them hold one full piece."""
+
+    alone = 0
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
         self.capacity = capacity
@@ -168,9 +175,10 @@ class Plan:
             offset += n * x
         self.sequences += times
         self.reduced += times
+        self.alone += times if lengths == [self.capacity] else 0
 
     def _dominating(self, j: int) -> list[int] | None:
-        """A set with the longest open length j that dominates every other set with j, or None."""
+        """A set with the open length j that dominates every other set with j, or None."""
         room = self.capacity - j
         self.left[j] -= 1
         try:
@@ -209,8 +217,12 @@ class Plan:
         return 0
 
     def _reduce(self) -> None:
-        while (j := self._longest(self.capacity)) and (found := self._dominating(j)):
-            self._fix(found)
+        before = -1
+        while before != self.reduced:
+            before = self.reduced
+            for j in map(int, np.flatnonzero(self.left)[::-1]):
+                while self.left[j] and (found := self._dominating(j)):
+                    self._fix(found)
 
     def _best_fit(self) -> None:
         open_: dict[int, list[tuple[int, int]]] = {}  # room -> [(first sequence, sequences)]
@@ -235,8 +247,9 @@ class Plan:
 # ---- placing ---------------------------------------------------------------------------------------------------------
 
 
-def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, buckets: int = 1024) -> DataFrame:
-    """The pieces with sequence_id and offset."""
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:
+    """The pieces with sequence_id and offset. ``buckets``: by default they follow the input's size."""
+    buckets = buckets or min(1 << 16, max(1024, plan_bytes(docs) >> 24))
     parts = checkpoint(pieces(docs, tokenizer_path, pattern, id_col, text_col, capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")))
     counts = checkpoint(parts.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n")))
     histogram = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # capacity rows at most

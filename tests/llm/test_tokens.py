@@ -133,9 +133,25 @@ def test_reduction_never_costs_a_sequence():
         assert only.reduced + (optimal(rest, cap) if rest else 0) == optimal(items, cap)
 
 
+def test_ids_are_those_of_the_default_tokenizer():
+    t, own = Tokenizer.from_file(JSON), packing.encoder(JSON, P.PATTERN)
+    assert own.fast is not None
+    r = random.Random(5)
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "<|endoftext|> x", "x <|endoftext|>", "  <|endoftext|>  <|endoftext|>\n\n<|endoftext", "<|endoftext|", ""]
+    texts += ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 40))) for _ in range(800)]
+    for text, ids in zip(texts, own(texts), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+    assert 50256 in own(texts[1:2])[0]
+
+
+def test_reduction_goes_on_below_the_longest():
+    plan = packing.Plan({9: 1, 8: 1, 6: 3, 4: 3, 1: 4, 2: 3}, 10)  # three short ones fit beside no 9, but 6 + 4 fills a sequence
+    assert plan.reduced >= 5 and plan.alone == 0
+    assert packing.Plan({10: 7, 5: 1}, 10).alone == 7
+
+
 def test_packing(docs, nothing):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     expected = []
     for r in docs.select("doc_id", "text").collect():
         ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
