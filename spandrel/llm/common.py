@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spandrel.operators.components import checkpoint, checkpoint_folder, fitted, side
 
-__all__ = ["checkpoint", "checkpoint_folder", "crc_mod", "crc_mod_py", "drop_folder", "fitted", "free", "plan_bytes", "quoted", "side", "table"]
+__all__ = ["checkpoint", "checkpoint_folder", "crc_mod", "crc_mod_py", "drop_folder", "fitted", "plain", "plan_bytes", "side", "table"]
 
 #: Runs of these code points count as one space, and separate words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,19 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def free(docs: DataFrame, *names: str) -> list[str]:
-    """The names, lengthened where ``docs`` has a column of that name in any case."""
-    taken, out = {c.lower() for c in docs.columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n += "_"
-        taken.add(n.lower())
-        out.append(n)
-    return out
+def plain(docs: DataFrame, *wanted: str) -> tuple:
+    """``docs`` with its columns named c0, c1, ... by place, and those names of the wanted columns.
 
-
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    So no name of the input can clash with a name of ours or, but for its case, with another of the input. Give the names
+    back by ``toDF``.
+    """
+    names = docs.columns
+    lower = [n.lower() for n in names]
+    at = [names.index(w) if w in names else lower.index(w.lower()) for w in wanted]
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), *[f"c{i}" for i in at]
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free, quoted, side
+from .common import checkpoint, plain, side
 
 KEY = ["digest", "length", "check"]
 SLICES = 1 << 16
@@ -86,7 +86,8 @@ def verified(texts: DataFrame, merged: DataFrame) -> DataFrame | None:
 
 def _merged(docs: DataFrame, id_col: str, text_col: str, runs: int, digest: Callable, check: Callable) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """(texts, rows, merged, split): texts with their KEY, the same without the text, and the two tables of groups."""
-    texts = docs.select(F.col(quoted(id_col)).alias("id"), normalised(F.col(quoted(text_col))).alias("text"))
+    docs, i, t = plain(docs, id_col, text_col)
+    texts = docs.select(F.col(i).alias("id"), normalised(F.col(t)).alias("text"))
     texts = texts.select("id", "text", *_keys(F.col("text"), digest, check))
     rows = checkpoint(texts.drop("text"))
     merged = checkpoint(merge_runs(rows, runs))
@@ -110,18 +111,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are dealt by id and digest together, so the copies of one text spread over all tasks.
     """
     _, _, merged, split = _merged(docs, id_col, text_col, runs, digest, check)
-    names = free(docs, *KEY, "id_mark", "plain_text")
-    key, mark, plain = names[:3], names[3], names[4]
-    marked = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(mark)
-    own = docs.withColumn(plain, normalised(F.col(quoted(text_col))))
-    own = own.withColumns({**dict(zip(key, _keys(F.col(plain), digest, check), strict=True)), mark: marked(quoted(id_col))})
-    kept = lambda groups, *more: groups.select(*[F.col(k).alias(n) for k, n in zip(KEY, key, strict=True)], *more, marked("keep"))
-    back = [quoted(c) for c in docs.columns]
-    out = own.drop(plain).join(kept(merged), [*key, mark], "left_semi").dropDuplicates([*key, mark]).select(*back)
-    if split is None:
-        return out
-    rest = own.join(kept(split, F.col("text").alias(plain)), [*key, plain, mark], "left_semi").dropDuplicates([*key, plain, mark]).select(*back)
-    return out.unionByName(rest)
+    rows, i, t = plain(docs, id_col, text_col)
+    back = rows.columns
+    marked = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("mark")
+    own = rows.withColumn("text", normalised(F.col(t)))
+    own = own.select(*back, "text", *_keys(F.col("text"), digest, check), marked(i))
+    out = own.drop("text").join(merged.select(*KEY, marked("keep")), [*KEY, "mark"], "left_semi").dropDuplicates([*KEY, "mark"]).select(*back)
+    if split is not None:
+        rest = own.join(split.select(*KEY, "text", marked("keep")), [*KEY, "text", "mark"], "left_semi").dropDuplicates([*KEY, "text", "mark"]).select(*back)
+        out = out.unionByName(rest)
+    return out.toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from spandrel.operators.components import connected_roots
 
-from .common import checkpoint, fitted, free, plan_bytes, quoted, side
+from .common import checkpoint, fitted, plain, plan_bytes, side
 from .shingles import SIZE_CLASS, U, mix, set_signature, shingle_set
 
 #: What it costs to probe a member of a list, in postings.
@@ -133,11 +133,11 @@ def _texts(batch: pa.RecordBatch, k: int) -> Iterator:
 
 
 def _text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def _text(text_col: str) -> Column:
-    return F.col(quoted(text_col)).cast("string").cast("binary").alias("t")
+    return F.col(text_col).cast("string").cast("binary").alias("t")
 
 
 # ---- the boundary ----------------------------------------------------------------------------------------------------
@@ -330,7 +330,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int, pairs: Da
                 columns = [part.column(0), part.column(1), pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [f for f, _ in fields])
 
-    src = docs.select(F.col(quoted(id_col)).cast("long").alias("__id"), _text_hash(text_col).alias("hash"), _text(text_col))
+    src = docs.select(F.col(id_col).cast("long").alias("__id"), _text_hash(text_col).alias("hash"), _text(text_col))
     return src.mapInArrow(run, "__id long, hash long, sig long, n long, items binary")
 
 
@@ -474,7 +474,7 @@ def links_of(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, light: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows (__id, hash, sig, n), and for each set with words (sig, own, top): the least (none, id, hash) of its rows and of its component's."""
+    """For ``docs`` of plain names: rows (__id, hash, sig, n), and for each set with words (sig, own, top): the least (none, id, hash) of its rows and of its component's."""
     groups = min(MOST_GROUPS, max(64, plan_bytes(docs) >> 20))
     light = choose_light(docs, text_col, width, num, den) if light is None else light
     pairs = candidate_pairs(packed_keys(docs, text_col, width, Levels(num, den, light), groups))
@@ -493,7 +493,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, d
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, light: int | None = None) -> DataFrame:
     """A row per input row: id, n_shingles, component_id. Links: |A and B| * den >= |A or B| * num."""
-    rows, found = classes(docs, id_col, text_col, width, num, den, light)
+    rows, found = classes(*plain(docs, id_col, text_col), width, num, den, light)
     full = rows.filter("n > 0").join(found.select("sig", F.col("top.__id").alias("component_id")), "sig")
     empty = rows.filter("n = 0").withColumn("component_id", F.col("__id"))
     columns = [F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"]
@@ -505,11 +505,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     The mark of what stays is the id with the hash of the text, and of rows equal in both one stays.
     """
-    rows, found = classes(docs, id_col, text_col, width, num, den, light)
-    id_, hash_, one, row = free(docs, "id_mark", "text_hash", "only_one", "row_mark")
-    mark = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(id_)
-    kept = found.filter(F.col("own") == F.col("top")).select(mark("own.__id"), F.col("own.hash").alias(hash_), F.lit(True).alias(one))
-    kept = kept.unionByName(rows.filter("n = 0").select(mark("__id"), F.col("hash").alias(hash_), F.lit(False).alias(one)).distinct())
-    own = docs.withColumns({id_: mark(quoted(id_col)), hash_: _text_hash(text_col)}).join(kept, [id_, hash_])
-    own = own.withColumn(row, F.when(F.col(one), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
-    return own.dropDuplicates([id_, hash_, row]).select(*[quoted(c) for c in docs.columns])
+    own, i, t = plain(docs, id_col, text_col)
+    back = own.columns
+    rows, found = classes(own, i, t, width, num, den, light)
+    mark = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("mark")
+    kept = found.filter(F.col("own") == F.col("top")).select(mark("own.__id"), F.col("own.hash").alias("hash"), F.lit(True).alias("one"))
+    kept = kept.unionByName(rows.filter("n = 0").select(mark("__id"), "hash", F.lit(False).alias("one")).distinct())
+    own = own.withColumns({"mark": mark(i), "hash": _text_hash(t)}).join(kept, ["mark", "hash"])
+    own = own.withColumn("row", F.when(F.col("one"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return own.dropDuplicates(["mark", "hash", "row"]).select(*back).toDF(*docs.columns)

@@ -6,7 +6,7 @@ at once by array indexing. Training bins each statistic by quantiles and grows t
 gradients; it sees a bounded sample of ``max_rows`` labelled rows (smallest hashes of the id), as statistics, not texts.
 
 Defined cases: null and empty texts have all statistics 0 and are scored like others; ids with several labels take the
-smallest; null labels teach nothing; without labels of both kinds every score is the share of label 1 (1.0 if there is no
+smallest, of texts that repeat an id the least statistics teach; null labels teach nothing; without labels of both kinds every score is the share of label 1 (1.0 if there is no
 label at all); repeated rows are scored each; other columns are never looked at.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, plain
 from .shingles import mix, word_hashes
 
 CLASSES = {
@@ -147,16 +147,15 @@ def _statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "t").mapInArrow(run, f"{kinds}, x array<double>")
 
 
-def _bytes(text_col: str):
-    return F.col(text_col).cast("string").cast("binary").alias("t")
-
-
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000, **options) -> Forest:
     """A forest from the labelled rows whose crc32 of the id, modulo 4, is not 2."""
-    train = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 4) != 2))
-    train = train.groupBy(id_col).agg(F.min(label_col).cast("int").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    sample = docs.select(F.col(id_col), _bytes(text_col)).join(F.broadcast(train), id_col)
-    rows = _statistics(sample, [id_col, "y"]).toPandas().sort_values(id_col)  # max_rows at most, if ids are unique
+    labels, i, y = plain(labels, id_col, label_col)
+    train = labels.filter(F.col(y).isNotNull() & F.col(i).isNotNull() & (crc_mod(i, 4) != 2))
+    train = train.groupBy(F.col(i).alias("id")).agg(F.min(y).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    docs, i, t = plain(docs, id_col, text_col)
+    sample = docs.select(F.col(i).alias("id"), F.col(t).cast("string").cast("binary").alias("t")).join(F.broadcast(train), "id")
+    # Of rows that repeat an id the least statistics teach, so no more than max_rows rows come to the driver.
+    rows = _statistics(sample, ["id", "y"]).groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toArrow().to_pandas().sort_values("id")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(NAMES))
     return fit(x, rows["y"].to_numpy(float), **options)
 
@@ -170,8 +169,9 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 x = np.array([statistics(t) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(x))], [id_col, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(x))], ["id", "score"])
 
-    src = docs.select(F.col(id_col), _bytes(text_col))
-    rows = src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, score double")
-    return rows.select(id_col, (crc_mod(id_col, 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    docs, i, t = plain(docs, id_col, text_col)
+    src = docs.select(F.col(i).alias("id"), F.col(t).cast("string").cast("binary").alias("t"))
+    rows = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double")
+    return rows.select(F.col("id").alias(id_col), (crc_mod("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -11,12 +11,13 @@ sample of ``max_rows`` labelled rows (smallest hashes of the id), without near c
 commoner in toxic documents that chance among all candidates explains it with a probability of 0.01 at most. The cut
 lies midway (geometrically) between the rates of toxic and of clean rows.
 
-Defined cases: null and empty texts have no words and score 0; ids with several labels count as toxic if any says so; null
-labels teach nothing; without any usable label the seed list and a default cut remain; repeated rows are scored each.
+Defined cases: null and empty texts have no words and score 0; ids with several labels count as toxic if any says so,
+of texts that repeat an id the least teaches; null labels teach nothing; other columns may have any names; without any usable label the seed list and a default cut remain; repeated rows are scored each.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc_mod
+from .common import checkpoint, crc_mod, plain
 from .shingles import U, mix, shingle_set
 
 # Letters of other scripts by the Latin letters they look like, and digits or signs by what they stand for.
@@ -98,16 +99,21 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 best[start] = max(best.get(start, 0.0), w)
-        for a, b in spared:
-            best = {at: w for at, w in best.items() if not a <= at < b}
+        if spared:  # from left to right, how far exceptions that begin there or before reach
+            starts, reach, far = [], [], -1
+            for a, b in sorted(spared):
+                far = max(far, b)
+                starts.append(a)
+                reach.append(far)
+            best = {at: w for at, w in best.items() if not (i := bisect.bisect_right(starts, at)) or reach[i - 1] <= at}
         return sum(best.values()) / len(words), len(best), len(words)
 
     def score(self, rate: float) -> float:
         return 1 / (1 + 3 / 7 * (self.cut / rate) ** 2) if rate > 0 else 0.0
 
 
-def _rates(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> DataFrame:
-    """(columns..., __rate, __hits, __words) for docs (columns..., __text)."""
+def _rates(docs: DataFrame, lexicon: Lexicon, columns: list[str], text: str) -> DataFrame:
+    """(columns..., rate, hits, words) for docs of plain names."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +122,10 @@ def _rates(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> DataFrame:
             texts = b.column(b.num_columns - 1)
             rows = [lex.rate(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
             out = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out[0], pa.float64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], [*b.schema.names[:-1], "__rate", "__hits", "__words"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out[0], pa.float64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], [*b.schema.names[:-1], "rate", "hits", "words"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*[f"`{c}`" for c in columns], "__text").mapInArrow(run, f"{kinds}, __rate double, __hits long, __words long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.select(*columns, F.col(text).cast("string").alias("text")).mapInArrow(run, f"{kinds}, rate double, hits long, words long")
 
 
 def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
@@ -138,28 +144,34 @@ def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     return rows.select("t").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def _without_copies(sample: DataFrame, id_col: str) -> DataFrame:
-    """One row of those that share any of three minhashes of their word triples, so that copies don't count as evidence."""
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """(t, y): one row of those of a bounded sample (id, t, y) that share any of three minhashes of their word triples, so that copies don't count as evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set((t or "").encode(), 3) for t in b.column(b.schema.get_field_index("t")).to_pylist()]
+            sets = [shingle_set((t or "").encode(), 3) for t in b.column(1).to_pylist()]
             least = [[int(mix(s, k).min() >> U(1)) if len(s) else 0 for s in sets] for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.int64()) for x in least]], [*b.schema.names, "h0", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.int64()) for x in least]], ["id", "t", "y", "h0", "h1", "h2"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sample.schema)
-    rows = sample.mapInArrow(run, f"{fields}, h0 long, h1 long, h2 long")
+    kind = sample.schema["id"].dataType.simpleString()
+    rows = checkpoint(sample.select("id", "t", "y").mapInArrow(run, f"id {kind}, t string, y int, h0 long, h1 long, h2 long"))
+    left = rows.select(F.xxhash64("id").alias("h"), "h0", "h1", "h2").toArrow().to_pandas().sort_values("h")  # the sample's rows of 32 bytes
     for h in ("h0", "h1", "h2"):
-        rows = rows.join(rows.groupBy(h).agg(F.min(F.struct(F.xxhash64(id_col), F.col(id_col))).alias("m")).select(h, F.col(f"m.{id_col}").alias(id_col)), [h, id_col], "left_semi")
-    return rows.select(id_col, "t", "y")
+        left = left.drop_duplicates(h)
+    kept = rows.sparkSession.createDataFrame([(int(h),) for h in left["h"]], "h long")
+    return checkpoint(rows.withColumn("h", F.xxhash64("id")).join(F.broadcast(kept), "h", "left_semi").select("t", "y"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, support: int = 3) -> Lexicon:
     """A lexicon from the labelled rows whose crc32 of the id, modulo 3, is not 1."""
     seeds = {f" {w}": 1.0 for w in SEEDS}
-    train = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 3) != 1))
-    train = train.groupBy(id_col).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    sample = checkpoint(_without_copies(docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(F.broadcast(train), id_col), id_col))
+    labels, i, y = plain(labels, id_col, label_col)
+    train = labels.filter(F.col(y).isNotNull() & F.col(i).isNotNull() & (crc_mod(i, 3) != 1))
+    train = train.groupBy(F.col(i).alias("id")).agg(F.max(y).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    docs, i, t = plain(docs, id_col, text_col)
+    sample = docs.select(F.col(i).alias("id"), F.col(t).cast("string").alias("t")).join(F.broadcast(train), "id")
+    # Of rows that repeat an id the least text teaches, so the sample has max_rows rows at most whatever the documents.
+    sample = _without_copies(sample.groupBy("id").agg(F.min("t").alias("t"), F.first("y").alias("y")))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -194,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if neg.get(e, 0) / n0 <= 0.2 * pos.get(e, 0) / n1 or not neg.get(e) and not pos.get(e):
             weights.setdefault(e, 1.0)
     lexicon = Lexicon(weights)
-    rates = _rates(sample.withColumnRenamed("t", "__text"), lexicon, ["y"]).select("y", F.col("__rate").alias("rate")).collect()  # max_rows at most
+    rates = _rates(sample, lexicon, ["y"], "t").select("y", "rate").collect()  # max_rows at most
     toxic = sorted(r["rate"] for r in rates if r["y"] == 1 and r["rate"] > 0)
     clean = sorted(r["rate"] for r in rates if r["y"] == 0)
     if toxic:
@@ -205,12 +217,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, held_out, score, predicted, hits."""
-    rows = _rates(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")), lexicon, [id_col])
-    value = F.when(F.col("__rate") > 0, 1 / (1 + F.lit(3 / 7) * F.pow(lexicon.cut / F.col("__rate"), 2))).otherwise(0.0)
-    return rows.select(id_col, (crc_mod(id_col, 3) == 1).alias("held_out"), value.alias("score"), (value >= 0.7).cast("int").alias("predicted"), F.col("__hits").alias("hits"))
+    docs, i, t = plain(docs, id_col, text_col)
+    value = F.when(F.col("rate") > 0, 1 / (1 + F.lit(3 / 7) * F.pow(lexicon.cut / F.col("rate"), 2))).otherwise(0.0)
+    return _rates(docs, lexicon, [i], t).select(F.col(i).alias(id_col), (crc_mod(i, 3) == 1).alias("held_out"), value.alias("score"), (value >= 0.7).cast("int").alias("predicted"), "hits")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below 0.7, with all their columns."""
-    rows = _rates(docs.withColumn("__text", F.col(text_col).cast("string")), lexicon, docs.columns)
-    return rows.filter(F.col("__rate") < lexicon.cut).select(*docs.columns)
+    rows, t = plain(docs, text_col)
+    return _rates(rows, lexicon, rows.columns, t).filter(F.col("rate") < lexicon.cut).select(*rows.columns).toDF(*docs.columns)
