@@ -138,3 +138,31 @@ def test_pii_terms_anywhere_in_the_document(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
     assert not any("Zorblat" in clean[i] for i in range(5)) and "Li" not in clean[10] and "Vexo" not in clean[10] and "Quorn" not in clean[11]
     assert clean[12] == rows[7][1] and clean[100] == rows[8][1]
+
+
+def test_pii_many_spans_in_one_text(spark):
+    """Thousands of addresses and terms in one text, next to plain replacement; work is not per pair of them."""
+    import time
+
+    pii.report(spark.createDataFrame([(0, "a@b.cd")], "doc_id long, text string")).collect()
+    many = " ".join(f"Näme{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} user{i}@host{i}.example" for i in range(4000))
+    rows = [(0, many)] + [(i, f"plain words and more of number {i} user at host example") for i in range(1, 60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    r = pii.report(d).filter("doc_id = 0").collect()[0]
+    took = time.time() - began
+    assert r.n_email == 4000 and r.spans.startswith(",".join(brute(many))) and r.spans.count("term:") == 4000
+    text = pii.sanitise(d).filter("doc_id = 0").collect()[0].text
+    assert text == " ".join(["", *["<EMAIL> "] * 4000])[:-1]
+    assert took < 60, took
+
+
+def test_pii_overlaps_and_shapes(spark):
+    rows = [(1, "+1 (234) 4111 1111 1111 1111 end"), (2, "\0 a@b.cd\0"), (3, "Zoë Quorn a@x.yz"), (4, "Zoë a@x.yz"), (5, None)] + [(10 + i, f"some plain text {i}") for i in range(30)] + [(50, "zoë alone")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(d).collect()}
+    assert [x for x in got[1].spans.split(",") if x[0] != "t"] == brute(rows[0][1])
+    text = {r.doc_id: r.text for r in pii.sanitise(d, generalise_at=0.5, remove_at=1.1).collect()}
+    assert text[1].startswith("<PHONE>") or text[1].startswith("+1 (234) <CARD>")
+    assert not any(c.isdigit() for c in text[1].replace("+1 (234)", "")) and text[2] == "\0 <EMAIL>\0" and text[5] is None
+    assert text[3] == "Xxx Xxxxx <EMAIL>" and text[4] == "Xxx <EMAIL>" and text[50] == "zoë alone"
