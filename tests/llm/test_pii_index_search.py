@@ -95,19 +95,42 @@ def test_warc_cases_and_lookup(spark):
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as digest", "0 as size")
     folder = warc.shared_folder(spark)
-    warc.write_archives(pages, f"{folder}/archives", records_per_file=3)
-    captures = warc.read_archives(spark, f"{folder}/archives")
+    captures = warc.write_archives(pages, f"{folder}/archives", file_bytes=700)
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset", "length", "key"]
+    whole = sorted(tuple(map(str, r)) for r in warc.read_archives(spark, f"{folder}/archives").select(*names).collect())
+    assert sorted(tuple(map(str, r)) for r in captures.select(*names).collect()) == whole and len(whole) == len(rows)
     warc.write_index(captures, f"{folder}/index", lines=2)
-    assert warc.read_index(spark, f"{folder}/index").count() == len(rows)
     index = warc.CaptureIndex(spark, f"{folder}/archives", f"{folder}/index")
     found = index.lookup("http://B.org/")
     assert sorted(index.fetch(c)["payload"] for c in found) == [b"", b"short", b"short"]
-    assert index.lookup("http://nowhere.example/") == []
+    assert index.lookup("http://nowhere.example/") == [] and len(index.lookup(None)) == 1
     kinds = {(r.page_id, r.record_type, r.refers_to) for r in captures.collect()}
     assert {(1, "response", None), (2, "revisit", 1), (None, "revisit", 1), (7, "response", None), (8, "response", None), (5, "response", None)} <= kinds
+    some = spark.createDataFrame([("http://b.org",), ("http://b.org/",), ("http://nowhere.example/",)], "url string")
+    assert sorted(r.page_id for r in warc.captures_of(some, f"{folder}/archives", f"{folder}/index").collect()) == [6, 7, 8]
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_warc_finds_every_url(spark, monkeypatch):
+    """URLs with spaces, signs that sort around them, no-break spaces, controls and line ends, many captures of one, many blocks and directory passes."""
+    import hashlib
+
+    odd = ["/a b", "/a!b", "/a!c", "/a c", "/a%20b", "/a", "/a\u00a0b", "/a  b", "/a\tb", "/a\nb", "/a\u0085b", "/a\u2028b", "/\x00", "/é b", "/😀", "/ x ", "?q= 1", "/a#b c", ""]
+    urls = [f"http://h.org{x}" for x in odd] + [None, "", " ", "no url", "http://[bad", "x\x1fy"] + ["http://h.org/hot"] * 9
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(3)
+    folder = warc.shared_folder(spark)
+    warc.write_index(warc.write_archives(pages, f"{folder}/archives"), f"{folder}/index", lines=4)
+    index = warc.CaptureIndex(spark, f"{folder}/archives", f"{folder}/index")
+    for i, u in enumerate(urls):
+        assert i in {c["page_id"] for c in index.lookup(u)}
+        assert all(warc.key_of(c["url"]) == warc.key_of(u) for c in index.lookup(u))
+    assert len(index.lookup("http://h.org/hot")) == 9 and len(index.lookup("http://h.org/a!b")) == 1
+    for most in (500_000, 3):
+        monkeypatch.setattr(warc, "MOST_BLOCKS", most)
+        got = warc.captures_of(pages.select("url"), f"{folder}/archives", f"{folder}/index").collect()
+        assert sorted((r.page_id, r.payload_digest) for r in got) == [(i, hashlib.sha256(f"page {i}".encode()).hexdigest()) for i in range(len(urls))]
+
+
 def test_members_end_with_zero():
     for data in (b"", b"x" * 10, bytes(range(256)) * 70_000):
         assert warc.member(data)[-1] == 0
