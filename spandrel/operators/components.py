@@ -34,15 +34,24 @@ def checkpoint_folder(spark) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder all executors share."""
-    checkpoint_folder(df.sparkSession)
-    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    """Cut lineage through the folder all executors share.
+
+    A checkpoint hands on its plan's constraints and its estimated size, and an estimate for a join is a product: in a loop
+    of joins its digits multiply with every round, until the driver does nothing else. So both are left behind.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    conf, name = spark.conf, "spark.sql.constraintPropagation.enabled"
     before = conf.get(name)
-    conf.set(name, "false")  # a checkpoint hands on its plan's constraints, and those of a loop multiply in the driver
+    conf.set(name, "false")
     try:
-        return df.checkpoint(eager=True)
+        kept = df.checkpoint(eager=True)
     finally:
         conf.set(name, before)
+    jvm, own, plan = spark._jvm, spark._jsparkSession, kept._jdf.queryExecution().analyzed()
+    none = jvm.scala.Option.empty()
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), own, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, bare), spark)
 
 
 def fitted(df: DataFrame, rows: int) -> DataFrame:

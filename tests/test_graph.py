@@ -115,3 +115,61 @@ def test_random_graphs(spark, seed):
     assert deg[0] == deg[1] == len(edges)
     near = [{x["id"] for x in A.within_hops(g, ids[0], k).collect()} for k in (1, 2)]
     assert near[0] <= near[1]
+
+
+def rounds(monkeypatch):
+    """Counts the checkpoints, of which every round has a fixed number."""
+    from spandrel.operators import analytics
+
+    n = [0]
+    real = analytics.checkpoint
+
+    def counted(df):
+        n[0] += 1
+        return real(df)
+
+    monkeypatch.setattr(analytics, "checkpoint", counted)
+    return n
+
+
+def test_long_rings_and_chains(spark, monkeypatch):
+    """10,000 nodes in a ring with a tail, and in a chain of inheritance with a shortcut: rounds as the logarithm."""
+    n = rounds(monkeypatch)
+    ids = [f"n{i:05d}" for i in range(10_000)]
+    ring = [(a, b) for a, b in zip(ids[:9000], ids[1:9000] + ids[:1])] + [(ids[i], ids[i + 1]) for i in range(8999, 9003)]
+    got = {r["id"]: r["cycle_id"] for r in A.cycles(graph(spark, ids, ring)).collect()}
+    assert got == dict.fromkeys(ids[:9000], ids[0]) and n[0] < 250, n
+    n[0] = 0
+    chain = [(a, b) for a, b in zip(ids[1:], ids)] + [(ids[5000], ids[3]), (ids[9999], ids[2])]
+    got = {r["id"]: r["depth_of_inheritance"] for r in A.inheritance_depth(graph(spark, ids, chain, "inherits")).collect()}
+    assert got == {x: i for i, x in enumerate(ids)} and n[0] < 60, n
+
+
+def plain_depth(ids, edges):
+    up = {}
+    for c, p in sorted(edges):
+        up.setdefault(c, []).append(p)
+    known = {}
+
+    def acyclic(x, path):
+        if x in path:
+            return None
+        got = [acyclic(p, path | {x}) for p in up.get(x, [])]
+        return None if None in got else max((g + 1 for g in got), default=0)
+
+    for i in ids:
+        if (d := acyclic(i, frozenset())) is not None:
+            known[i] = d
+    return known
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 10_000))
+def test_random_depths(spark, seed):
+    r = random.Random(seed)
+    ids = [f"n{i:02d}" for i in range(r.randint(2, 16))]
+    edges = sorted({(r.choice(ids), r.choice(ids)) if r.random() < 0.1 else tuple(sorted(r.sample(ids, 2), reverse=True)) for _ in range(r.randint(0, 22))})
+    got = {x["id"]: x["depth_of_inheritance"] for x in A.inheritance_depth(graph(spark, ids, edges, "inherits")).collect()}
+    assert set(got) == set(ids)
+    for i, d in plain_depth(ids, edges).items():
+        assert got[i] == d
