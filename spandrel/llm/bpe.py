@@ -10,7 +10,8 @@ Texts are split into pre-tokens first, whose encodings are kept too, up to a bou
 into text piece by piece; a byte-level machine for well-formed UTF-8, run token by token, tells where characters end.
 
 Defined cases: null and empty texts have no ids, and the digests of no bytes; strings of special tokens are ordinary
-text; repeated rows are encoded each; ill-formed input of the decoder becomes U+FFFD.
+text; repeated rows are encoded each; ill-formed input of the decoder becomes U+FFFD;
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -27,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain, without_collector
+
 MANY = 1 << 60
 # The code points with the property White_Space.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -134,23 +139,28 @@ class Transducer:
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        alive, ended, child, token = [], None, self.child, self.token
-        agree = True  # on a first token
-        for guess in self.states[state]:
-            sure, node, last = guess
-            nxt = child.get(node << 8 | byte)
+        alive, sures, ended, child, token = [], [], None, self.child.get, self.token
+        for sure, node, last in self.states[state]:
+            nxt = child(node << 8 | byte)
             if nxt is None:
                 continue
             alive.append((sure, nxt, last))
-            agree = agree and sure
-            if ended is None and (t := token[nxt]) >= 0 and self._neighbours(last, t):
-                ended = (*sure, t)
-        common = 0
-        if agree or not alive:
-            while len(ended) > common and all(len(g[0]) > common and g[0][common] == ended[common] for g in alive):
+            sures.append(sure)
+            if ended is None:
+                t = token[nxt]
+                if t >= 0 and self._neighbours(last, t):
+                    ended = (*sure, t)
+        if not alive:
+            common = len(ended)
+        else:  # what the least and the greatest begin with, all begin with
+            low, high, common = min(sures), max(sures), 0
+            low, high = min(low, ended), max(high, ended)
+            for x, y in zip(low, high, strict=False):
+                if x != y:
+                    break
                 common += 1
         if common:
-            key = ((ended[common:], 0, ended[-1]), *[(g[0][common:], g[1], g[2]) for g in alive])
+            key = ((ended[common:], 0, ended[-1]), *[(sure[common:], node, last) for sure, node, last in alive])
         else:
             key = ((ended, 0, ended[-1]), *alive)
         target = self.number.get(key)
@@ -192,7 +202,7 @@ class Transducer:
 class Encoder(dict):
     """Pre-token -> its ids as little-endian 32-bit words; ``encode`` joins those of a text."""
 
-    def __init__(self, ranks_path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, ranks_path: str, pattern: str, limit: int = 500_000):
         super().__init__()
         self.machine = Transducer(load_ranks(ranks_path))
         self.findall = compile_pattern(pattern).findall
@@ -204,7 +214,8 @@ class Encoder(dict):
             self.clear()
         ids = self.older.get(piece)
         if ids is None:
-            ids = np.array(self.machine.encode(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+            found = self.machine.encode(piece.encode("utf-8", "surrogatepass"))
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -308,16 +319,18 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         encoder, decoder = machines(ranks_path, pattern)
         for b in batches:
             rows = []
-            for at in range(0, b.num_rows, 64):
-                for t in b.column(1).slice(at, 64).to_pylist():
-                    raw = encoder.encode(t or "")
-                    out = hashlib.sha256()
-                    for text in decode(decoder, np.frombuffer(raw, "<u4")):
-                        out.update(text.encode())
-                    rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), out.hexdigest()))
+            with without_collector():
+                for at in range(0, b.num_rows, 64):
+                    for t in b.column(1).slice(at, 64).to_pylist():
+                        raw = encoder.encode(t or "")
+                        out = hashlib.sha256()
+                        for text in decode(decoder, np.frombuffer(raw, "<u4")):
+                            out.update(text.encode())
+                        rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), out.hexdigest()))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    src = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs, i, t = plain(docs, id_col, text_col)
+    src = docs.select(F.col(i).alias("id"), F.col(t).cast("string").alias("t"))
+    kind = src.schema["id"].dataType.simpleString()
+    return src.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

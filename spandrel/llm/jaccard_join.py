@@ -475,7 +475,7 @@ def links_of(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame
 
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, light: int | None = None) -> tuple[DataFrame, DataFrame]:
     """For ``docs`` of plain names: rows (__id, hash, sig, n), and for each set with words (sig, own, top): the least (none, id, hash) of its rows and of its component's."""
-    groups = min(MOST_GROUPS, max(64, plan_bytes(docs) >> 20))
+    groups = min(MOST_GROUPS, max(64, plan_bytes(docs) >> 18))
     light = choose_light(docs, text_col, width, num, den) if light is None else light
     pairs = candidate_pairs(packed_keys(docs, text_col, width, Levels(num, den, light), groups))
     rows = checkpoint(described(docs, id_col, text_col, width, pairs))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, plain
 
 SHARD = 4096
 EXACT = 1 << 53
@@ -112,9 +112,10 @@ class Block:
 
 
 def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(vector_col).cast("array<double>")
+    vectors, i, v = plain(vectors, id_col, vector_col)
+    v = F.col(v).cast("array<double>")
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
+    return vectors.select(F.col(i).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
 
 
 def top_k(vectors: DataFrame, is_query: Callable, k: int = 5, scale: float = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 2048) -> DataFrame:
@@ -124,7 +125,7 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 5, scale: float = 256
     sc = vectors.sparkSession.sparkContext
     parts = []
 
-    def run_block(block: list) -> DataFrame:
+    def run_block(block: list, last: bool) -> DataFrame:
         shared = sc.broadcast((np.array([r["id"] for r in block], np.int64), _matrix([r["v"] for r in block], scale)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,16 +140,21 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 5, scale: float = 256
 
         found = rows.mapInArrow(run, "query_id long, id long, score long")
         ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        return found.withColumn("rank", ranked).filter(F.col("rank") <= k)
+        best = found.withColumn("rank", ranked).filter(F.col("rank") <= k)
+        if last:
+            return best
+        best = checkpoint(best)
+        shared.unpersist()
+        return best
 
     block: list = []
     for r in asked.toLocalIterator(prefetchPartitions=False):
         block.append(r)
         if len(block) == block_rows:
-            parts.append(checkpoint(run_block(block)))
+            parts.append(run_block(block, False))
             block = []
     if block or not parts:
-        parts.append(run_block(block))
+        parts.append(run_block(block, True))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

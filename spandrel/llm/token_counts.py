@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import compile_pattern, load_ranks
+from .common import plain, without_collector
 
 #: Characters behind its end that a pre-token's match may depend on.
 AHEAD = 2
@@ -205,8 +206,11 @@ def standard_edits(text: Column) -> Column:
 
 def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_tokens_edited, n_pretokens, n_reencoded. ``edits``: array of (start, end, put), applied in turn."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    src = docs.select(F.col(id_col), text.alias("t"), (standard_edits(text) if edits is None else edits).alias("e"))
+    i, t = id_col, text_col
+    if edits is None:
+        docs, i, t = plain(docs, id_col, text_col)
+    text = F.coalesce(F.col(t).cast("string"), F.lit(""))
+    src = docs.select(F.col(i).alias("id"), text.alias("t"), (standard_edits(text) if edits is None else edits).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = piece_counts(ranks_path, pattern)
@@ -214,13 +218,15 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, edits: Colu
             out = []
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                for t, edits_of in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    doc = Document(t, known.split, known.__getitem__)
-                    before, pieces = doc.tokens, doc.encoded
-                    for e in edits_of or []:
-                        doc.edit(e["start"] or 0, e["end"] or 0, e["put"] or "")
-                    out.append((before, doc.tokens, pieces, doc.encoded - pieces))
+                with without_collector():
+                    for t, edits_of in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                        doc = Document(t, known.split, known.__getitem__)
+                        before, pieces = doc.tokens, doc.encoded
+                        for e in edits_of or []:
+                            doc.edit(e["start"] or 0, e["end"] or 0, e["put"] or "")
+                        out.append((before, doc.tokens, pieces, doc.encoded - pieces))
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in columns]], [id_col, "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in columns]], ["id", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded"])
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens long, n_tokens_edited long, n_pretokens long, n_reencoded long")
+    kind = src.schema["id"].dataType.simpleString()
+    return src.mapInArrow(run, f"id {kind}, n_tokens long, n_tokens_edited long, n_pretokens long, n_reencoded long").withColumnRenamed("id", id_col)
