@@ -55,10 +55,14 @@ def resolve_names(refs: DataFrame, nodes: DataFrame, names: Names | None = None,
     pairs = checkpoint(pairs.withColumn("short", last_segment(F.col("real"))))
     counts = reg.groupBy(F.col("key").alias("real")).agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct("seq", "id")).alias("first"))
     wide = pairs.join(counts, "real", "left")
-    # Only names with several candidates need to look at them all; a range of ids that starts with the module's decides.
+    # Only names with several candidates need to look at them all. A candidate's id is cut to the lengths that module ids
+    # have (one row, as many as the longest id), so name and module meet by equality, and no name's users meet all its nodes.
     many = wide.filter("n > 1").select("real", "module_id").distinct()
-    near = many.join(reg.select(F.col("key").alias("real"), "id", "seq"), "real").filter(F.startswith("id", "module_id"))
-    near = near.groupBy("real", "module_id").agg(F.min_by("id", F.struct("seq", "id")).alias("near"))
+    lengths = F.broadcast(many.agg(F.collect_set(F.length("module_id")).alias("lengths")))
+    several = reg.select(F.col("key").alias("real"), "id", "seq").join(counts.filter("n > 1").select("real"), "real", "left_semi")
+    cut = F.transform(F.filter("lengths", lambda n: n <= F.length("id")), lambda n: F.substr(F.col("id"), F.lit(1), n))
+    near = several.crossJoin(lengths).select("real", F.explode(cut).alias("module_id"), "id", "seq")
+    near = near.groupBy("real", "module_id").agg(F.min_by("id", F.struct("seq", "id")).alias("near")).join(many, ["real", "module_id"], "left_semi")
     inside = reg.filter(~F.startswith("id", F.lit(EXTERNAL))).groupBy(F.col("key").alias("short")).agg(F.min_by("id", F.struct("seq", "id")).alias("by_short"))
     out = wide.join(near, ["real", "module_id"], "left").join(inside, "short", "left")
     hit = F.coalesce("hit1", "near", "first", F.when(F.col("short") != F.col("real"), F.col("by_short")))

@@ -301,6 +301,14 @@ def treemap(forest: DataFrame, slider: int = SLIDER) -> DataFrame:
 
 
 def ordinal(named: DataFrame) -> DataFrame:
-    """(component_id, n, ordinal) in the order that the navigator walks."""
-    sizes = named.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("n"), "component_id")) - 1)
+    """(component_id, n, ordinal) in the order that the navigator walks.
+
+    Sizes are sorted over range partitions; a component's place is its place within its partition after the counts of those before.
+    """
+    order = (F.desc("n"), "component_id")
+    sizes = named.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = checkpoint(sizes.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33).alias("part")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("rows"))  # a row for each partition
+    before = counts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
+    return placed.withColumn("part", part).join(F.broadcast(before), "part").select("component_id", "n", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("ordinal"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,6 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 GN, GE = f"gn as ({X.CATALOG_NODES})", f"ge as ({X.CATALOG_EDGES})"
-WHOLE_GE = f"ge as ({X.WHOLE_CATALOG_EDGES})"
 FOCUS = "n3"
 CLASS_NODE = "r0.n0"
 
@@ -40,14 +38,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def catalog_query(name: str, body: str) -> Callable:
-    """A query over the catalogue graph, whose oracle may use gn (nodes) and ge (edges); over edges, one more from all rows."""
-
-    def add(f: Callable) -> Query:
-        if re.search(r"\bge\b", body):
-            query(f"whole_{name}", f"with {GN}, {WHOLE_GE} {body}")(lambda spark, d: f(X.catalog(spark, d, X.WHOLE_CATALOG_EDGES)))
-        return query(name, f"with {GN}, {GE} {body}")(lambda spark, d: f(X.catalog(spark, d)))
-
-    return add
+    """A query over the catalogue graph, whose oracle may use gn (nodes) and ge (edges)."""
+    return lambda f: query(name, f"with {GN}, {GE} {body}")(lambda spark, d: f(X.catalog(spark, d)))
 
 
 # ---- store -----------------------------------------------------------------------------------------------------------
@@ -93,9 +85,9 @@ catalog_query("top_coupled", f", {DEGREES} select * from c order by coupling_sco
 catalog_query("max_coupled", f", {DEGREES} select id, coupling_score from c order by coupling_score desc, id limit 1")(lambda g: A.max_coupled(g))
 
 
-@query("trade_coupling", f"with gn as ({X.endpoints(X.TRADE.format(most=2))}), ge as ({X.TRADE.format(most=2)}), {DEGREES} select * from c")
+@query("trade_coupling", f"with gn as ({X.endpoints(X.TRADE)}), ge as ({X.TRADE}), {DEGREES} select * from c")
 def _trade_coupling(spark: SparkSession, d: str) -> DataFrame:
-    return A.coupling(X.trade(spark, d, 2))
+    return A.coupling(X.trade(spark, d))
 
 
 COPURCHASE_N = f"gn as ({X.endpoints(X.COPURCHASE)} union {X.ALL_CUSTOMERS}), ge as ({X.COPURCHASE})"
@@ -119,10 +111,15 @@ def _dit(spark: SparkSession, d: str) -> DataFrame:
     return A.inheritance_depth(X.replies(spark, d))
 
 
-REACH = f"""with recursive {COPURCHASE_N},
+def components_sql(nodes_and_edges: str) -> str:
+    """c (id, component_id) and s (component_id, size): the smallest id moves along the edges until nothing changes."""
+    return f"""with recursive {nodes_and_edges},
     b as (select source as x, target as y from ge union select target, source from ge),
-    w as (select id, id as pt from gn union select w.id, b.y from w join b on b.x = w.pt),
-    c as (select pt as id, min(id) as component_id from w group by pt), s as (select component_id, count(*) as size from c group by component_id)"""
+    c(id, component_id) using key (id) as (select id, id from gn union select b.x, min(c.component_id) from c join b on b.y = c.id join recurring.c as r on r.id = b.x where c.component_id < r.component_id group by b.x),
+    s as (select component_id, count(*) as size from c group by component_id)"""
+
+
+REACH = components_sql(COPURCHASE_N)
 
 
 @query("components", f"{REACH} select id, component_id from c")
@@ -135,21 +132,39 @@ def _component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return A.component_sizes(X.copurchase(spark, d))
 
 
-@query("component_nth", f"{REACH} select id from c where component_id = (select component_id from s order by size desc, component_id limit 1 offset 2)")
+@query("component_nth", f"{REACH} select id from c where component_id = (select component_id from s order by size desc, component_id limit 1)")
 def _component_nth(spark: SparkSession, d: str) -> DataFrame:
-    return V.show_component(X.copurchase(spark, d), 2).nodes.select("id")
+    return V.show_component(X.copurchase(spark, d), 0).nodes.select("id")
+
+
+@query("component_order", f"{REACH} select component_id, size as n, row_number() over (order by size desc, component_id) - 1 as ordinal from s")
+def _component_order(spark: SparkSession, d: str) -> DataFrame:
+    return V.ordinal(A.components(X.copurchase(spark, d)))
+
+
+REPLY_COMPONENTS = components_sql(f"gn as ({X.endpoints(X.REPLIES)} union {X.TURNS}), ge as ({X.REPLIES})")
+
+
+@query("reply_components", f"{REPLY_COMPONENTS} select id, component_id from c")
+def _reply_components(spark: SparkSession, d: str) -> DataFrame:
+    return A.components(X.replies(spark, d))
 
 
-def scc_oracle(most: int) -> str:
-    return f"""with recursive ge as ({X.TRADE.format(most=most)}),
+@query("reply_component_order", f"{REPLY_COMPONENTS} select component_id, size as n, row_number() over (order by size desc, component_id) - 1 as ordinal from s")
+def _reply_component_order(spark: SparkSession, d: str) -> DataFrame:
+    return V.ordinal(A.components(X.replies(spark, d)))
+
+
+def scc_sql(edges: str) -> str:
+    """m (id, cycle_id), for graphs of a few nodes: nodes that reach each other."""
+    return f"""with recursive ge as ({edges}),
     w as (select source as a, target as b from ge union select w.a, ge.target from w join ge on ge.source = w.b),
-    m as (select p.a as id, min(p.b) as other, count(*) as n from w p join w q on p.a = q.b and p.b = q.a where p.a <> p.b group by p.a)
-    select id, least(id, other) as cycle_id from m"""
+    m as (select p.a as id, least(p.a, min(p.b)) as cycle_id from w p join w q on p.a = q.b and p.b = q.a where p.a <> p.b group by p.a)"""
 
 
-for _most in (1, 2):
-    query(f"scc_cycles_{_most}", scc_oracle(_most))(lambda spark, d, most=_most: A.cycles(X.trade(spark, d, most)))
-query("cycle_nodes", f"select id from ({scc_oracle(2)}) x")(lambda spark, d: A.cycle_nodes(X.trade(spark, d, 2)))
+query("scc_cycles", f"{scc_sql(X.TRADE)} select id, cycle_id from m")(lambda spark, d: A.cycles(X.trade(spark, d)))
+query("scc_transitions", f"{scc_sql(f'select distinct source, target from ({X.TRANSITIONS}) x')} select id, cycle_id from m")(lambda spark, d: A.cycles(X.of_edges(spark, d, X.TRANSITIONS)))
+query("cycle_nodes", f"{scc_sql(X.TRADE)} select id from m")(lambda spark, d: A.cycle_nodes(X.trade(spark, d)))
 
 
 def focus_oracle(edges: str, start: str, depth: int, result: str) -> str:
@@ -160,20 +175,20 @@ def focus_oracle(edges: str, start: str, depth: int, result: str) -> str:
 
 
 for _k in (1, 2, 3):
-    query(f"focus_{_k}", focus_oracle(X.TRADE.format(most=1), FOCUS, _k, "select id, distance from f"))(lambda spark, d, k=_k: A.within_hops(X.trade(spark, d, 1), FOCUS, k))
+    query(f"focus_{_k}", focus_oracle(X.TRADE, FOCUS, _k, "select id, distance from f"))(lambda spark, d, k=_k: A.within_hops(X.trade(spark, d), FOCUS, k))
 
 
 @query(
     "focus_edges_2",
-    focus_oracle(X.TRADE.format(most=1), FOCUS, 2, "select distinct source, target, kind from ge where source in (select id from f) and target in (select id from f)"),
+    focus_oracle(X.TRADE, FOCUS, 2, "select distinct source, target, kind from ge where source in (select id from f) and target in (select id from f)"),
 )
 def _focus_edges(spark: SparkSession, d: str) -> DataFrame:
-    return A.focus(X.trade(spark, d, 1), FOCUS, 2).edges
+    return A.focus(X.trade(spark, d), FOCUS, 2).edges
 
 
-@query("focus_missing", focus_oracle(X.TRADE.format(most=1), "nowhere", 2, "select id from f"))
+@query("focus_missing", focus_oracle(X.TRADE, "nowhere", 2, "select id from f"))
 def _focus_missing(spark: SparkSession, d: str) -> DataFrame:
-    return A.focus(X.trade(spark, d, 1), "nowhere", 2).nodes.select("id")
+    return A.focus(X.trade(spark, d), "nowhere", 2).nodes.select("id")
 
 
 # ---- diff ------------------------------------------------------------------------------------------------------------
@@ -193,47 +208,6 @@ query(
     from ({X.endpoints(X.SNAP_OLD)}) a full join ({X.endpoints(X.SNAP_NEW)}) b on a.id = b.id""",
 )(lambda spark, d: A.diff_view(*X.snapshots(spark, d)))
 
-# ---- the same from all rows ------------------------------------------------------------------------------------------
-
-
-def _whole_trade(spark: SparkSession, d: str) -> Graph:
-    return X.of_edges(spark, d, X.WHOLE_TRADE)
-
-
-def _whole_copurchase(spark: SparkSession, d: str) -> Graph:
-    return X.copurchase(spark, d, X.WHOLE_COPURCHASE)
-
-
-def _whole_snapshots(spark: SparkSession, d: str) -> tuple[Graph, Graph]:
-    return X.snapshots(spark, d, X.WHOLE_SNAP_OLD, X.WHOLE_SNAP_NEW)
-
-
-def whole_oracle(of: str) -> str:
-    """The SQL of a query, over the blocks of all rows."""
-    blocks = [(X.COPURCHASE, X.WHOLE_COPURCHASE), (X.SNAP_OLD, X.WHOLE_SNAP_OLD), (X.SNAP_NEW, X.WHOLE_SNAP_NEW), *((X.TRADE.format(most=m), X.WHOLE_TRADE) for m in (1, 2))]
-    text = ORACLES[of]
-    for part, whole in blocks:
-        text = text.replace(part, whole)
-    return text
-
-
-query("whole_trade_coupling", whole_oracle("trade_coupling"))(lambda spark, d: A.coupling(_whole_trade(spark, d)))
-query("whole_orphans", whole_oracle("orphans"))(lambda spark, d: A.orphans(_whole_copurchase(spark, d)))
-# The recursive SQL of components writes all pairs of a component; these are compared with a plain search in the tests.
-query("whole_components")(lambda spark, d: A.components(_whole_copurchase(spark, d)))
-query("whole_component_sizes")(lambda spark, d: A.component_sizes(_whole_copurchase(spark, d)))
-query("whole_component_nth")(lambda spark, d: V.show_component(_whole_copurchase(spark, d), 0).nodes.select("id"))
-query("whole_scc_cycles", whole_oracle("scc_cycles_2"))(lambda spark, d: A.cycles(_whole_trade(spark, d)))
-query("whole_cycle_nodes", whole_oracle("cycle_nodes"))(lambda spark, d: A.cycle_nodes(_whole_trade(spark, d)))
-for _k in (1, 2, 3):
-    query(f"whole_focus_{_k}", whole_oracle(f"focus_{_k}"))(lambda spark, d, k=_k: A.within_hops(_whole_trade(spark, d), FOCUS, k))
-query("whole_focus_edges_2", whole_oracle("focus_edges_2"))(lambda spark, d: A.focus(_whole_trade(spark, d), FOCUS, 2).edges)
-query("whole_focus_missing", whole_oracle("focus_missing"))(lambda spark, d: A.focus(_whole_trade(spark, d), "nowhere", 2).nodes.select("id"))
-for _name in DIFFS:
-    query(f"whole_diff_{_name}", whole_oracle(f"diff_{_name}"))(lambda spark, d, name=_name: A.diff(*_whole_snapshots(spark, d))[name])
-query("whole_diff_summary", whole_oracle("diff_summary"))(lambda spark, d: A.diff_summary(*_whole_snapshots(spark, d)))
-query("whole_diff_view", whole_oracle("diff_view"))(lambda spark, d: A.diff_view(*_whole_snapshots(spark, d)))
-
 # ---- views -----------------------------------------------------------------------------------------------------------
 
 NODE_FILTER = {"kinds": ["class", "function", "method"], "externals": False, "search": "n1", "path": "geo/"}
@@ -396,14 +370,16 @@ catalog_query(
 catalog_query("export_json_roundtrip", "select * from gn")(lambda g: Graph.from_serializable(g.to_serializable()).nodes.select(*NODE_COLUMNS))
 
 
-@query("analysis_summary")
+@query(
+    "analysis_summary",
+    f"""{scc_sql(X.TRADE)}, gn as (select id, 'function' as kind, false as is_external from ({X.endpoints(X.TRADE)}) i),
+    b as (select source as x, target as y from ge union select target, source from ge), r as (select id as a, id as b from gn union select r.a, b.y from r join b on b.x = r.b)
+    select (select count(*) from gn) as node_count, {", ".join(f"(select count(*) from gn where kind = '{k}') as {k}_count" for k in ("module", "class", "struct", "function", "method", "property", "constant"))},
+    (select count(*) from gn where is_external) as external_count, (select count(*) from ge) as edge_count, (select count(distinct cycle_id) from m) as cycle_count,
+    (select count(distinct least_id) from (select a, min(b) as least_id from r group by a)) as component_count, (select count(*) from gn where id not in (select x from b)) as orphan_count""",
+)
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    return A.analyze(X.trade(spark, d, 2)).summary()
-
-
-@query("whole_analysis_summary")
-def _whole_summary(spark: SparkSession, d: str) -> DataFrame:
-    return A.analyze(_whole_trade(spark, d)).summary()
+    return A.analyze(X.trade(spark, d)).summary()
 
 
 @query("treemap")
@@ -411,6 +387,51 @@ def _treemap(spark: SparkSession, d: str) -> DataFrame:
     return V.treemap(V.structure(X.catalog(spark, d)))
 
 
-@query("collapsed_folders")
+FOLDERS = f"""roots as (select id, name, string_split(file, '/') as a from gn where id not in (select target from ge where kind = 'contains')),
+    k as (select a, unnest(range(1, len(a))) as i from roots),
+    f as (select distinct case when i > 1 then '__vdir__/' || array_to_string(a[1:i - 1], '/') end as parent, '__vdir__/' || array_to_string(a[1:i], '/') as child, a[i] as child_name, true as is_virtual from k
+          union all select '__vdir__/' || array_to_string(a[1:len(a) - 1], '/'), id, name, false from roots where len(a) >= 2)"""
+
+
+def collapsed_sql(nodes: str, edges: str) -> str:
+    """Folders whose parent holds nothing else go into it, from the top of each chain down."""
+    return f"""with recursive gn as ({nodes}), ge as ({edges}), {FOLDERS},
+    lone as (select parent, min(child) as child from f where parent is not null group by parent having count(*) = 1 and bool_and(is_virtual)),
+    chain as (select child as top, child as id, child_name as joined from f where is_virtual and child not in (select child from lone)
+              union all select chain.top, lone.child, chain.joined || '/' || f.child_name from chain join lone on lone.parent = chain.id join f on f.child = lone.child),
+    whole as (select top, arg_max(joined, length(joined)) as joined from chain group by top)
+    select coalesce(c.top, f.parent) as parent, f.child, coalesce(w.joined, f.child_name) as child_name, f.is_virtual
+    from f left join chain c on c.id = f.parent left join whole w on w.top = f.child where f.child not in (select child from lone)"""
+
+
+@query("collapsed_folders", collapsed_sql(X.CATALOG_NODES, X.CATALOG_EDGES))
 def _collapsed(spark: SparkSession, d: str) -> DataFrame:
     return V.collapse_chains(V.virtual_folders(X.catalog(spark, d)))
+
+
+# Files of customers and nations below one folder each, so that chains do collapse.
+DEEP_NODES = """select concat('c', c_custkey) as id, c_name as name, 'class' as kind, concat('all/of/n', c_nationkey, '/only/c.tbl') as file, c_custkey as line, false as is_external, cast(null as string) as docstring from customer
+union all select concat('n', n_nationkey), n_name, 'class', 'all/of/nations.tbl', cast(1 as bigint), false, cast(null as string) from nation where n_nationkey < 0"""
+NO_EDGES = "select id as source, id as target, 'contains' as kind from (select cast(null as string) as id) x where id is not null"
+
+
+@query("collapsed_chains", collapsed_sql(DEEP_NODES, NO_EDGES))
+def _collapsed_chains(spark: SparkSession, d: str) -> DataFrame:
+    return V.collapse_chains(V.virtual_folders(Graph(X.sql(spark, d, DEEP_NODES), X.sql(spark, d, NO_EDGES))))
+
+
+# V7 with every flag, V14, callees.
+FLAGGED = f"""{scc_sql(X.TRADE)}, gn as ({X.endpoints(X.TRADE)}),
+    x as (select id, id in (select id from m) as in_cycle, id not in (select source from ge union select target from ge) as is_orphan, case when id in ('n1', 'n2') then 'added' when id = 'n3' then 'removed' else 'kept' end as change from gn)
+    select id, in_cycle, is_orphan, change from x"""
+
+
+@query("display_flags", FLAGGED)
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    g = X.trade(spark, d)
+    change = F.when(F.col("id").isin("n1", "n2"), "added").when(F.col("id") == "n3", "removed").otherwise("kept")
+    shown = V.display_nodes(g, A.cycle_nodes(g), A.orphans(g), g.nodes.select("id", change.alias("change")))
+    return shown.select("id", "in_cycle", "is_orphan", "change")
+
+
+catalog_query("filter_fs", "select * from gn where file like 'geo/r1%'")(lambda g: V.filter_fs(g, "geo/r1"))

@@ -1,4 +1,4 @@
-"""Graphs derived from the business tables, as SQL that both engines read alike."""
+"""Graphs derived from all rows of the business tables, as SQL that both engines read alike."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ select concat('__ext__.p', p_partkey), p_name, 'constant', '', cast(0 as bigint)
 
 CATALOG_EDGES = """
 with n as (select n_nationkey as k, concat('r', n_regionkey, '.n', n_nationkey) as nid, n_regionkey as rk from nation),
-     big as (select l_orderkey, l_partkey, l_suppkey from lineitem where l_quantity >= 48 and l_discount >= 0.075)
+     big as (select l_orderkey, l_partkey, l_suppkey from lineitem)
 select concat('r', rk) as source, nid as target, 'contains' as kind from n
 union all select nid, concat(nid, '.c', c_custkey), 'contains' from customer join n on c_nationkey = k
 union all select nid, concat(nid, '.s', s_suppkey), 'contains' from supplier join n on s_nationkey = k
@@ -44,18 +44,13 @@ union all select distinct concat(nid, '.c', c_custkey), concat('__ext__.p', l_pa
 """
 
 TRADE = """
-with w as (select s_nationkey as a, c_nationkey as b, count(*) as n
-           from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey
-                join supplier on s_suppkey = l_suppkey group by s_nationkey, c_nationkey),
-     t as (select a, sum(n) as tot from w group by a),
-     k as (select w.a, w.b, row_number() over (partition by w.b order by cast(w.n as double) / cast(t.tot as double) desc, w.a) as r
-           from w join t on w.a = t.a)
-select concat('n', a) as source, concat('n', b) as target, 'calls' as kind from k where r <= {most}
+select distinct concat('n', s_nationkey) as source, concat('n', c_nationkey) as target, 'calls' as kind
+from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
 """
 
 COPURCHASE = """
 select distinct concat('c', o_custkey) as source, concat('p', l_partkey) as target, 'uses_type' as kind
-from lineitem join orders on l_orderkey = o_orderkey where l_quantity >= 48 and l_discount >= 0.075
+from lineitem join orders on l_orderkey = o_orderkey
 """
 
 REPLIES = """
@@ -71,18 +66,11 @@ where t is not null
 
 SNAP = """
 select distinct concat('s', l_suppkey) as source, concat('p', l_partkey) as target, 'uses_type' as kind
-from lineitem where l_quantity >= 48 and l_shipdate {when}
+from lineitem where l_shipdate {when}
 """
 SNAP_OLD = SNAP.format(when="< timestamp '1998-06-01 00:00:00'")
 SNAP_NEW = SNAP.format(when=">= timestamp '1997-06-01 00:00:00'")
 
-# The same graphs from all rows: no filter on values, no cap on ranks.
-LINE_FILTER = " where l_quantity >= 48 and l_discount >= 0.075"
-WHOLE_CATALOG_EDGES = CATALOG_EDGES.replace(LINE_FILTER, "")
-WHOLE_COPURCHASE = COPURCHASE.replace(LINE_FILTER, "")
-WHOLE_TRADE = TRADE.replace(" where r <= {most}", "")
-WHOLE_SNAP_OLD, WHOLE_SNAP_NEW = (t.replace("l_quantity >= 48 and ", "") for t in (SNAP_OLD, SNAP_NEW))
-
 REFS = """
 select o_orderkey as ref_id, concat('r', n_regionkey, '.n', n_nationkey) as module_id,
        case o_orderkey % 4 when 0 then c_mktsegment when 1 then s_name when 2 then concat('crate::', s_name)
@@ -112,8 +100,8 @@ def plain_nodes(ids: DataFrame) -> DataFrame:
     )
 
 
-def catalog(spark: SparkSession, sf_dir: str, edges: str = CATALOG_EDGES) -> Graph:
-    return Graph(sql(spark, sf_dir, CATALOG_NODES), sql(spark, sf_dir, edges))
+def catalog(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph(sql(spark, sf_dir, CATALOG_NODES), sql(spark, sf_dir, CATALOG_EDGES))
 
 
 def of_edges(spark: SparkSession, sf_dir: str, edges: str, more: str = "") -> Graph:
@@ -128,20 +116,20 @@ ALL_CUSTOMERS = "select concat('c', c_custkey) as id from customer"
 TURNS = "select concat('c', conv_id, '.t', turn) as id from conversations"
 
 
-def copurchase(spark: SparkSession, sf_dir: str, edges: str = COPURCHASE) -> Graph:
-    return of_edges(spark, sf_dir, edges, ALL_CUSTOMERS)
+def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
+    return of_edges(spark, sf_dir, COPURCHASE, ALL_CUSTOMERS)
 
 
-def trade(spark: SparkSession, sf_dir: str, most: int) -> Graph:
-    return of_edges(spark, sf_dir, TRADE.format(most=most))
+def trade(spark: SparkSession, sf_dir: str) -> Graph:
+    return of_edges(spark, sf_dir, TRADE)
 
 
 def replies(spark: SparkSession, sf_dir: str) -> Graph:
     return of_edges(spark, sf_dir, REPLIES, TURNS)
 
 
-def snapshots(spark: SparkSession, sf_dir: str, old: str = SNAP_OLD, new: str = SNAP_NEW) -> tuple[Graph, Graph]:
-    return of_edges(spark, sf_dir, old), of_edges(spark, sf_dir, new)
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[Graph, Graph]:
+    return of_edges(spark, sf_dir, SNAP_OLD), of_edges(spark, sf_dir, SNAP_NEW)
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,9 @@ from spandrel.plans import fixtures as X
 
 
 def test_every_row_takes_part(spark, data):
-    assert not any(word in block for block in (X.WHOLE_CATALOG_EDGES, X.WHOLE_COPURCHASE, X.WHOLE_TRADE, X.WHOLE_SNAP_OLD, X.WHOLE_SNAP_NEW) for word in ("l_quantity", "l_discount", "r <="))
+    assert not any(word in block for block in (X.CATALOG_EDGES, X.COPURCHASE, X.TRADE, X.SNAP_OLD, X.SNAP_NEW) for word in ("l_quantity", "l_discount", "r <="))
     bought = set(duck("select o_custkey, l_partkey from lineitem join orders on l_orderkey = o_orderkey").fetchall())
-    assert {(r.source, r.target) for r in X.copurchase(spark, data, X.WHOLE_COPURCHASE).edges.collect()} == {(f"c{a}", f"p{b}") for a, b in bought}
-    same = [k for k in catalog.ORACLES if k.startswith("whole_") and catalog.ORACLES[k] == catalog.ORACLES.get(k.removeprefix("whole_"))]
-    assert not same
+    assert {(r.source, r.target) for r in X.copurchase(spark, data).edges.collect()} == {(f"c{a}", f"p{b}") for a, b in bought}
 
 
 def test_components(spark, data):
@@ -32,6 +30,6 @@ def test_components(spark, data):
                 todo += beside[x]
     sizes = Counter(name.values())
     largest = min(sizes, key=lambda c: (-sizes[c], c))
-    assert {r.id: r.component_id for r in catalog.QUERIES["whole_components"](spark, data).collect()} == name
-    assert {r.component_id: r.size for r in catalog.QUERIES["whole_component_sizes"](spark, data).collect()} == sizes
-    assert {r.id for r in catalog.QUERIES["whole_component_nth"](spark, data).collect()} == {x for x, c in name.items() if c == largest}
+    assert {r.id: r.component_id for r in catalog.QUERIES["components"](spark, data).collect()} == name
+    assert {r.component_id: r.size for r in catalog.QUERIES["component_sizes"](spark, data).collect()} == sizes
+    assert {r.id for r in catalog.QUERIES["component_nth"](spark, data).collect()} == {x for x, c in name.items() if c == largest}
