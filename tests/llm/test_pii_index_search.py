@@ -95,10 +95,10 @@ def test_warc_cases_and_lookup(spark):
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as digest", "0 as size")
     folder = warc.shared_folder(spark)
-    captures = warc.write_archives(pages, f"{folder}/archives", file_bytes=700)
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset", "length", "key"]
-    whole = sorted(tuple(map(str, r)) for r in warc.read_archives(spark, f"{folder}/archives").select(*names).collect())
-    assert sorted(tuple(map(str, r)) for r in captures.select(*names).collect()) == whole and len(whole) == len(rows)
+    warc.write_archives(pages, f"{folder}/archives", file_bytes=700)
+    captures = warc.read_archives(spark, f"{folder}/archives")
+    files = captures.groupBy("file").agg({"length": "sum", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in files) == len(rows) and len(files) > 1 and all(r["sum(length)"] <= 700 or r["count(1)"] == 1 for r in files)
     warc.write_index(captures, f"{folder}/index", lines=2)
     index = warc.CaptureIndex(spark, f"{folder}/archives", f"{folder}/index")
     found = index.lookup("http://B.org/")
@@ -119,7 +119,8 @@ def test_warc_finds_every_url(spark, monkeypatch):
     urls = [f"http://h.org{x}" for x in odd] + [None, "", " ", "no url", "http://[bad", "x\x1fy"] + ["http://h.org/hot"] * 9
     pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(3)
     folder = warc.shared_folder(spark)
-    warc.write_index(warc.write_archives(pages, f"{folder}/archives"), f"{folder}/index", lines=4)
+    warc.write_archives(pages, f"{folder}/archives")
+    warc.write_index(warc.read_archives(spark, f"{folder}/archives"), f"{folder}/index", lines=4)
     index = warc.CaptureIndex(spark, f"{folder}/archives", f"{folder}/index")
     for i, u in enumerate(urls):
         assert i in {c["page_id"] for c in index.lookup(u)}
