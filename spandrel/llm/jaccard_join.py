@@ -514,3 +514,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     own = own.withColumns({"mark": mark(i), "hash": _text_hash(t)}).join(kept, ["mark", "hash"])
     own = own.withColumn("row", F.when(F.col("one"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
     return own.dropDuplicates(["mark", "hash", "row"]).select(*back).toDF(*docs.columns)
+
+
+#: For tables of a few thousand documents: all pairs that share a shingle are counted.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from w where len(w) > 0),
+s as (select distinct doc_id, hash(array_to_string(w[i:i + 2], ' ')) as x from p),
+n as (select doc_id, count(*) as n from s group by doc_id),
+b as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+l as (select b.x, b.y from b join n m on m.doc_id = b.x join n o on o.doc_id = b.y where 100 * shared >= 90 * (m.n + o.n - shared)),
+c(id, component_id) using key (id) as (select doc_id, doc_id from documents union select l.x, min(c.component_id) from c join l on l.y = c.id join recurring.c as r on r.id = l.x where c.component_id < r.component_id group by l.x)
+select c.id as doc_id, coalesce(n.n, 0) as n_shingles, component_id from c left join n on n.doc_id = c.id
+"""

@@ -60,4 +60,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts, op2_toxicity, op3_best_fit_packing, op4_pii, op5_quality_classifier, op6_exact_top_k, op7_warc, op8_ngram_jaccard_join, op9_byte_level_bpe, op10_exact_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op6_exact_top_k": maxscore.ORACLE, "op7_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op6_exact_top_k": maxscore.ORACLE, "op7_warc": warc.ORACLE, "op8_ngram_jaccard_join": jaccard_join.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

@@ -128,3 +128,11 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     rows = [(None, base[0]), (None, near(base[0])), (None, base[1]), (3, near(base[1])), (5, base[2]), (5, near(base[2])), (5, base[2].upper()), (6, base[3]), (6, base[3]), (None, ""), (None, None), (5, " ")]
     kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert Counter((r.doc_id, (r.text or "").lower()[:2].strip()) for r in kept) == Counter({(None, "a0"): 1, (3, "b0"): 1, (5, "c0"): 1, (6, "d0"): 1, (None, ""): 2, (5, ""): 1})
+
+
+def test_near_components_against_sql(spark, data):
+    from helpers import assert_same, duck
+
+    from spandrel.llm import queries
+
+    assert_same(queries.op8_ngram_jaccard_join(spark, data), duck(jaccard_join.ORACLE))
