@@ -1,7 +1,13 @@
 """The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, personal data, best-fit packing.
 
 Each stage works on all that the one before kept, and takes and returns the columns of documents (the last returns
-pieces). ``run`` writes every stage's rows as Parquet in the folder that the cluster shares and reads them back.
+pieces). ``run`` writes every stage's rows as Parquet in the folder that the cluster shares and reads them back; a stage's
+rows go when the next stage has read them.
+
+Defined cases, in every stage: a null text is like an empty one, and is packed as id 0 alone; of rows equal in id and text one
+stays (exact dedup), and empty texts are equal to each other; a null id loses against any other in its group, and stays
+where there is none; ties go to the smallest id; very long texts are read whole; an empty table gives no rows; columns
+besides those of documents come along unchanged up to the last stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spandrel.llm import exact_dedup, jaccard_join, packing, pii, toxicity
-from spandrel.llm.common import checkpoint, table
+from spandrel.llm.common import checkpoint_folder, drop_folder, table
 
 #: No SQL: the lexicon is learned, and packing is an algorithm.
 ORACLE_SQL = None
@@ -48,11 +54,12 @@ STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("n-gram
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    checkpoint(spark.range(1))  # so that the shared folder is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}")
     return docs
 
 
