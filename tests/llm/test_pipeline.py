@@ -45,3 +45,34 @@ def test_stages_against_brute_force(spark, data, tmp_path):
         mine = [r for r in after if r.doc_id == i]
         assert sum(r.length for r in mine) == len(ids)
         assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in mine)
+
+
+def test_run_on_awkward_tables(spark, tmp_path):
+    """Null and repeated ids, null, empty and long texts, repeated rows, an extra column, and no rows at all."""
+    long = " ".join(f"long{i}" for i in range(6000))
+    near = " ".join(f"near{i}" for i in range(50))
+    rows = [
+        (1, "one short text"), (1, "one short text"), (None, "one  short text"), (2, None), (3, ""), (None, "only without an id"), (4, long), (5, near), (6, near + " end"), (5, "another text of id five"),
+        (7, "you filthy idiot " * 30), (8, "write to some.body@example.org today"), (9, " \t"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, MARK string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int")
+    for name, d in (("some", docs), ("none", docs.limit(0))):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    kept = sorted({(r.doc_id is None, r.doc_id or 0) for r in out})
+    assert kept == [(False, 1), (False, 2), (False, 4), (False, 5), (False, 8), (False, 9), (True, 0)]
+    assert sum(r.doc_id == 5 and r.piece == 0 for r in out) == 2 and sum(r.doc_id == 1 for r in out) == 1
+    fill = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 2048
+    pieces = {}
+    for r in sorted(out, key=lambda r: (str(r.doc_id), r.start)):
+        if r.doc_id == 4:
+            assert r.start == pieces.get(4, 0)
+            pieces[4] = r.start + r.length
+    assert pieces[4] > 6000
