@@ -56,7 +56,7 @@ MOST_LIGHT = 12
 #: Parts beyond those that must be posted, as a share of them.
 SPARE = 0.25
 SEEDS = 3
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Postings of one key within a flush from which they go beside the list.
 HOT = 64
 #: Members and shingles of a tile.
