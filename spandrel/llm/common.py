@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.operators.components import checkpoint, checkpoint_folder, fitted, side
+from spandrel.operators.tables import written
 
-__all__ = ["checkpoint", "checkpoint_folder", "crc_mod", "crc_mod_py", "drop_folder", "fitted", "plain", "plan_bytes", "side", "table", "without_collector"]
+__all__ = ["checkpoint", "checkpoint_folder", "crc_mod", "crc_mod_py", "drop_folder", "fitted", "plain", "plan_bytes", "side", "table", "without_collector", "written"]
 
 #: Runs of these code points count as one space, and separate words.
 SPACE = r"[\x20\x09-\x0D]"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, jaccard_join, maxscore, packing, pii, quality, token_counts, toxicity, warc
+from . import bpe, exact_dedup, jaccard_join, maxscore, mixing, packing, pii, quality, sort_means, token_alignment, token_counts, toxicity, warc
 from .common import table
 
 
@@ -54,10 +54,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_toxicity, op3_best_fit_packing, op4_pii, op5_quality_classifier, op6_exact_top_k, op7_warc, op8_ngram_jaccard_join, op9_byte_level_bpe, op10_exact_dedup,
+        op11_mixing, op12_token_alignment, op13_sort_means,
     )
 }
-ORACLES: dict[str, str] = {"op6_exact_top_k": maxscore.ORACLE, "op7_warc": warc.ORACLE, "op8_ngram_jaccard_join": jaccard_join.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op6_exact_top_k": maxscore.ORACLE, "op7_warc": warc.ORACLE, "op8_ngram_jaccard_join": jaccard_join.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op13_sort_means": sort_means.ORACLE}
