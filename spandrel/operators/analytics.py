@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.operators import contraction
 from spandrel.operators.components import checkpoint, connected_roots, fitted, side
 from spandrel.operators.graph import Graph
 from spandrel.schema import EDGE_COLUMNS
@@ -55,49 +55,11 @@ def orphans(graph: Graph) -> DataFrame:
 def inheritance_depth(graph: Graph) -> DataFrame:
     """(id, depth_of_inheritance): 0 without parents, else 1 + the deepest parent; external parents count.
 
-    A node of one parent points up; by pointer doubling all such nodes learn their first ancestor that has no or several
-    parents, and how far it is, in as many rounds as the logarithm of the longest chain. Nodes of several parents, their
-    edges drawn to those ancestors, are peeled off level by level: each round only adds what the last level tells. What is
-    left reaches a cycle; it is walked depth-first with a guard that counts a node on the path as 0, one connected part at
-    a time, in the order of ids.
+    Rounds grow with the logarithm of the depth, with one or several parents alike. Inside a cycle (a strongly connected
+    component, or a node that inherits from itself) a depth-first walk in the order of ids counts a parent that is on its own path as 0.
     """
-    up = checkpoint(graph.edges.filter("kind = 'inherits'").select(F.col("source").alias("child"), F.col("target").alias("parent")).distinct())
-    total = up.count()
-    ids = graph.nodes.select("id")
-    if not total:
-        return ids.select("id", F.lit(0).cast("long").alias("depth_of_inheritance"))
-    parents = up.groupBy("child").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"))
-    parents = checkpoint(fitted(parents, total))
-    jump, moved = checkpoint(fitted(parents.filter("n = 1").select(F.col("child").alias("id"), F.col("parent").alias("far"), F.lit(1).cast("long").alias("w")), total)), True
-    for _ in range(total.bit_length()):  # twice as far each time; what still moves then goes round
-        further = side(jump.select(F.col("id").alias("far"), F.col("far").alias("beyond"), F.col("w").alias("more")), total)
-        step = jump.join(further, "far", "left").select("id", F.coalesce("beyond", "far").alias("far"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), F.col("beyond").isNotNull().alias("moved"))
-        step = checkpoint(fitted(step, total))
-        jump, moved = step.select("id", "far", "w"), not step.filter("moved").isEmpty()
-        if not moved:
-            break
-    if moved:
-        jump = checkpoint(fitted(jump.join(side(jump.select(F.col("id").alias("far")), total), "far", "left_anti").select("id", "far", "w"), total))
-    several = parents.filter("n > 1").select("child", "n")
-    edges = up.join(side(several.select("child"), total), "child", "left_semi").join(side(jump.select(F.col("id").alias("parent"), "far", "w"), total), "parent", "left")
-    edges = checkpoint(fitted(edges.select("child", F.coalesce("far", "parent").alias("parent"), (F.coalesce("w", F.lit(0)) + 1).alias("w")), total))
-    children = side(parents.select(F.col("child").alias("id")), total)
-    frontier = checkpoint(fitted(up.select(F.col("parent").alias("id")).distinct().join(children, "id", "left_anti").withColumn("d", F.lit(0).cast("long")), total))
-    known, state = frontier, several.select("child", F.col("n").alias("open"), F.lit(0).cast("long").alias("best"))
-    while not edges.isEmpty():
-        told = edges.join(side(frontier.withColumnRenamed("id", "parent"), total), "parent").groupBy("child").agg(F.count(F.lit(1)).alias("came"), F.max(F.col("d") + F.col("w")).alias("d"))
-        state = state.join(side(told, total), "child", "left")
-        state = checkpoint(fitted(state.select("child", (F.col("open") - F.coalesce("came", F.lit(0))).alias("open"), F.greatest("best", F.coalesce("d", F.lit(0))).alias("best")), total))
-        frontier = state.filter("open = 0").select(F.col("child").alias("id"), F.col("best").alias("d"))
-        if frontier.isEmpty():
-            break
-        known, state = checkpoint(fitted(known.unionByName(frontier), total)), state.filter("open > 0")
-    below = jump.join(side(known.withColumnRenamed("id", "far"), total), "far").select("id", (F.col("d") + F.col("w")).alias("d"))
-    depth = checkpoint(fitted(known.unionByName(below), total))
-    left = checkpoint(fitted(up.join(side(depth.select(F.col("id").alias("child")), total), "child", "left_anti"), total))
-    if not left.isEmpty():
-        depth = depth.unionByName(_cyclic_depth(left, depth))
-    return ids.join(depth, "id", "left").select("id", F.coalesce("d", F.lit(0)).cast("long").alias("depth_of_inheritance"))
+    up = graph.edges.filter("kind = 'inherits'").select(F.col("source").alias("child"), F.col("target").alias("parent"))
+    return graph.nodes.select("id").join(contraction.guarded_depth(up), "id", "left").select("id", F.coalesce("d", F.lit(0)).cast("long").alias("depth_of_inheritance"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -107,45 +69,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _cyclic_depth(up: DataFrame, known: DataFrame) -> DataFrame:
-    roots = connected_roots(up, "child", "parent")
-    # Self-inheritance has no root of its own.
-    parts = up.join(roots.withColumnRenamed("node", "child"), "child", "left").withColumn("root", F.coalesce("root", "child"))
-    parts = parts.join(known.select(F.col("id").alias("parent"), F.col("d").alias("fixed")), "parent", "left")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        parents: dict[str, list[str]] = {}
-        depth: dict[str, int] = {}
-        for child, parent, fixed in pdf[["child", "parent", "fixed"]].sort_values(["child", "parent"]).itertuples(index=False):
-            parents.setdefault(child, []).append(parent)
-            if fixed == fixed and fixed is not None:
-                depth[parent] = int(fixed)
-        for start in sorted(parents):
-            stack, on_path = [(start, iter(parents[start]), [0])], {start}
-            if start in depth:
-                continue
-            while stack:
-                node, rest, best = stack[-1]
-                for p in rest:
-                    if p in depth:
-                        best[0] = max(best[0], depth[p] + 1)
-                    elif p in on_path or p not in parents:
-                        best[0] = max(best[0], 1)
-                    else:
-                        on_path.add(p)
-                        stack.append((p, iter(parents[p]), [0]))
-                        break
-                else:
-                    depth[node] = best[0]
-                    on_path.discard(node)
-                    stack.pop()
-                    if stack:
-                        stack[-1][2][0] = max(stack[-1][2][0], depth[node] + 1)
-        return pd.DataFrame([(c, depth[c]) for c in parents], columns=["id", "d"])
-
-    return parts.groupBy("root").applyInPandas(walk, "id string, d long")
-
-
 # ---- components and cycles -------------------------------------------------------------------------------------------
 
 
@@ -162,96 +85,8 @@ def component_sizes(graph: Graph) -> DataFrame:
 
 
 def cycles(graph: Graph) -> DataFrame:
-    """(id, cycle_id): strongly connected components of more than one node over all kinds, named by the smallest id.
-
-    Nodes without incoming or outgoing edges are trimmed until none is left. Nodes with one edge in and one out are then
-    taken out of their chains, a constant share in each round, so a ring shrinks to a loop in logarithmic time; in the end
-    they belong to the component of their two neighbours, if that is one. On what remains, colouring: every node takes the
-    smallest id that reaches it; the nodes of one colour that reach the colour's own node backwards within it form its
-    component, and go. All rounds are joins and partial aggregates; only counts reach the driver, and size the next round.
-    """
-    edges = graph.edges.select("source", "target").filter("source <> target").distinct()
-    edges, chains, loops = _shorten(_trim(checkpoint(edges)))
-    found: list[DataFrame] = []
-    while not (edges := _trim(edges)).isEmpty():
-        n = edges.count()
-        colour = _reach(edges, n)
-        inner = edges
-        for end, c in (("source", "cs"), ("target", "ct")):
-            inner = inner.join(side(colour.select(F.col("id").alias(end), F.col("c").alias(c)), n), end)
-        inner = checkpoint(fitted(inner.filter("cs = ct").select("source", "target", F.col("cs").alias("c")), n))
-        reached = wave = checkpoint(fitted(colour.filter("id = c"), n))
-        while True:
-            step = inner.join(side(wave.select(F.col("id").alias("target"), "c"), n), ["target", "c"]).select(F.col("source").alias("id"), "c").distinct()
-            wave = checkpoint(fitted(step.join(side(reached, n), ["id", "c"], "left_anti"), n))
-            if wave.isEmpty():
-                break
-            reached = checkpoint(fitted(reached.unionByName(wave), n))
-        found.append(reached)
-        gone = reached.select("id")
-        for end in ("source", "target"):
-            edges = edges.join(side(gone.withColumnRenamed("id", end), n), end, "left_anti")
-        edges = checkpoint(fitted(edges, n))
-    every = _union([loops.select("id", F.col("id").alias("c")), *found])
-    # A loop left of a ring is a component of its own, unless its node was found in a larger one.
-    every = checkpoint(every.groupBy("id").agg(F.min(F.struct((F.col("id") == F.col("c")).alias("own"), "c")).alias("x")).select("id", "x.c"))
-    for taken, n in reversed(chains):
-        label = lambda c, to: side(every.select(F.col("id").alias(c), F.col("c").alias(to)), n)  # noqa: B023, E731
-        back = taken.join(label("u", "cu"), "u").join(label("w", "cw"), "w").filter("cu = cw").select("id", F.col("cu").alias("c"))
-        every = checkpoint(every.unionByName(back))
-    sizes = every.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("cycle_id")).filter("n > 1")
-    return every.join(sizes, "c").select("id", "cycle_id")
-
-
-def _shorten(edges: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, int]], DataFrame]:
-    """(edges, chains, loops): ``chains`` lists the (id, u, w) taken out in each round, u before and w behind; ``loops`` (id): rings that came down to one node."""
-    chains: list[tuple[DataFrame, int]] = []
-    loops = edges.select(F.col("source").alias("id")).limit(0)
-    while n := edges.count():
-        ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(None).cast("string").alias("u"), F.col("target").alias("w")), F.struct(F.col("target").alias("id"), F.col("source").alias("u"), F.lit(None).cast("string").alias("w")))).alias("e"))
-        single = ends.groupBy("e.id").agg(F.count("e.u").alias("i"), F.count("e.w").alias("o"), F.min("e.u").alias("u"), F.min("e.w").alias("w")).filter("i = 1 and o = 1").select("id", "u", "w")
-        single = checkpoint(fitted(single, n))
-        few = single.count()
-        rank = lambda c, i=len(chains): F.struct(F.xxhash64(F.col(c), F.lit(i)), F.col(c))
-        near = single
-        for c in "uw":
-            near = near.join(side(single.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_single")), few), c, "left")
-        lower = lambda c: F.col(f"{c}_single").isNull() | (rank("id") < rank(c))  # noqa: B023, E731
-        taken = checkpoint(fitted(near.filter(lower("u") & lower("w")).select("id", "u", "w"), few))
-        if not (out := taken.count()):
-            break
-        chains.append((taken, max(out, n)))
-        rest = edges
-        for end in ("source", "target"):
-            rest = rest.join(side(taken.select(F.col("id").alias(end)), out), end, "left_anti")
-        edges = checkpoint(fitted(rest.select("source", "target").unionByName(taken.select(F.col("u").alias("source"), F.col("w").alias("target"))).distinct(), n))
-        loops = checkpoint(fitted(loops.unionByName(edges.filter("source = target").select(F.col("source").alias("id"))), n))
-        edges = edges.filter("source <> target")
-    return edges, chains, loops
-
-
-def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges at nodes that have no way in or no way out, until all have both."""
-    before = edges.count()
-    while before:
-        out = edges.join(side(edges.select(F.col("target").alias("source")).distinct(), before), "source", "left_semi")
-        edges = checkpoint(fitted(out.join(side(out.select(F.col("source").alias("target")).distinct(), before), "target", "left_semi").select("source", "target"), before))
-        now = edges.count()
-        if now == before:
-            break
-        before = now
-    return edges
-
-
-def _reach(edges: DataFrame, n: int) -> DataFrame:
-    """(id, c): the smallest id that reaches each node along the ``n`` edges, by rounds over nodes whose colour changed."""
-    colour = checkpoint(fitted(edges.select(F.col("source").alias("id")).distinct().select("id", F.col("id").alias("c")), n))
-    wave = colour
-    while not wave.isEmpty():
-        offer = edges.join(side(wave.select(F.col("id").alias("source"), F.col("c").alias("n")), n), "source").groupBy(F.col("target").alias("id")).agg(F.min("n").alias("n"))
-        wave = checkpoint(fitted(offer.join(side(colour, n), "id").filter("n < c").select("id", F.col("n").alias("c")), n))
-        colour = checkpoint(fitted(colour.join(side(wave.withColumnRenamed("c", "n"), n), "id", "left").select("id", F.coalesce("n", "c").alias("c")), n))
-    return colour
+    """(id, cycle_id): strongly connected components of more than one node over all kinds, named by the smallest id."""
+    return contraction.cycles(graph.edges)
 
 
 def cycle_nodes(graph: Graph) -> DataFrame:
