@@ -167,6 +167,18 @@ query("scc_transitions", f"{scc_sql(f'select distinct source, target from ({X.TR
 query("cycle_nodes", f"{scc_sql(X.TRADE)} select id from m")(lambda spark, d: A.cycle_nodes(X.trade(spark, d)))
 
 
+query("scc_users", f"{scc_sql(X.USER_MOVES)} select id, cycle_id from m")(lambda spark, d: A.cycles(X.of_edges(spark, d, X.USER_MOVES)))
+
+# A ring's walk starts at its smallest id, comes back after all n turns, and each turn is as deep as it has steps left to that start.
+query(
+    "dit_cyclic",
+    """with t as (select conv_id, concat('c', conv_id, '.t', turn) as id, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as n from conversations),
+    s as (select conv_id, k as first from (select *, row_number() over (partition by conv_id order by id) as o from t) x where o = 1),
+    d as (select t.conv_id, id, case when t.conv_id % 2 = 0 then case when k = first then n else (k - first + n) % n end else k - 1 + case when t.conv_id % 6 = 1 then 1 else 0 end end as depth from t join s on s.conv_id = t.conv_id)
+    select id, cast(depth as bigint) as depth_of_inheritance from d union all select concat('conv', conv_id), cast(1 + max(depth) as bigint) from d group by conv_id""",
+)(lambda spark, d: A.inheritance_depth(X.of_edges(spark, d, X.CYCLIC_TURNS)))
+
+
 def focus_oracle(edges: str, start: str, depth: int, result: str) -> str:
     return f"""with recursive ge as ({edges}), gn as ({X.endpoints(edges)}),
     b as (select source as x, target as y from ge union select target, source from ge),
@@ -177,6 +189,8 @@ def focus_oracle(edges: str, start: str, depth: int, result: str) -> str:
 for _k in (1, 2, 3):
     query(f"focus_{_k}", focus_oracle(X.TRADE, FOCUS, _k, "select id, distance from f"))(lambda spark, d, k=_k: A.within_hops(X.trade(spark, d), FOCUS, k))
 
+    query(f"focus_replies_{_k}", focus_oracle(X.REPLIES, "c19.t4", _k, "select id, distance from f"))(lambda spark, d, k=_k: A.within_hops(X.of_edges(spark, d, X.REPLIES), "c19.t4", k))
+
 
 @query(
     "focus_edges_2",

@@ -64,6 +64,23 @@ select s as source, t as target, 'calls' as kind from (
 where t is not null
 """
 
+# Every user's moves between kinds of events: many small graphs of several cycles.
+USER_MOVES = """
+select distinct concat('u', user_id, '.', s) as source, concat('u', user_id, '.', t) as target, 'calls' as kind from (
+  select user_id, event_type as s, lead(event_type) over (partition by user_id order by ts, event_id) as t from events) x
+where t is not null
+"""
+
+# Turns inherit from the turn before; in every other conversation the first inherits from the last (a ring), in some it
+# inherits from itself; a conversation inherits from all its turns.
+CYCLIC_TURNS = """
+with t as (select conv_id, concat('c', conv_id, '.t', turn) as id, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as n from conversations)
+select a.id as source, b.id as target, 'inherits' as kind from t a join t b on a.conv_id = b.conv_id and b.k = a.k - 1
+union all select a.id, b.id, 'inherits' from t a join t b on a.conv_id = b.conv_id and a.k = 1 and b.k = b.n where a.conv_id % 2 = 0
+union all select id, id, 'inherits' from t where k = 1 and conv_id % 6 = 1
+union all select concat('conv', conv_id), id, 'inherits' from t
+"""
+
 SNAP = """
 select distinct concat('s', l_suppkey) as source, concat('p', l_partkey) as target, 'uses_type' as kind
 from lineitem where l_shipdate {when}
