@@ -38,21 +38,26 @@ class Names:
     aliases: DataFrame
 
 
-def resolve_names(refs: DataFrame, nodes: DataFrame, names: Names | None = None, reg: DataFrame | None = None) -> DataFrame:
-    """(module_id, name, target, kind): a target for every distinct (module_id, name); ``kind`` only where it is external.
-
-    In order: an import that names a node; the registry under the aliased name (a single candidate, else the first whose id
-    starts with the module's id, else the first); the first internal candidate for the last segment; an external.
-    """
+def asked(refs: DataFrame, names: Names | None = None) -> DataFrame:
+    """(module_id, name, path, real, short): what every distinct (module_id, name) is looked up by: the path of its import, its name behind the alias, and that name's last segment."""
     pairs = refs.select("module_id", "name").distinct()
-    reg = registry(nodes) if reg is None else reg
     if names is None:
-        pairs = pairs.withColumns({"hit1": F.lit(None).cast("string"), "real": F.col("name")})
+        pairs = pairs.withColumns({"path": F.lit(None).cast("string"), "real": F.col("name")})
     else:
-        known = names.imports.join(nodes.select(F.col("id").alias("path")), "path", "left_semi").select("module_id", F.col("local").alias("name"), F.col("path").alias("hit1"))
+        path = names.imports.select("module_id", F.col("local").alias("name"), "path")
         alias = names.aliases.select("module_id", F.col("alias").alias("name"), "real")
-        pairs = pairs.join(known, ["module_id", "name"], "left").join(alias, ["module_id", "name"], "left").withColumn("real", F.coalesce("real", "name"))
-    pairs = checkpoint(pairs.withColumn("short", last_segment(F.col("real"))))
+        pairs = pairs.join(path, ["module_id", "name"], "left").join(alias, ["module_id", "name"], "left").withColumn("real", F.coalesce("real", "name"))
+    return pairs.select("module_id", "name", "path", "real", last_segment(F.col("real")).alias("short"))
+
+
+def answered(pairs: DataFrame, nodes: DataFrame, reg: DataFrame) -> DataFrame:
+    """``asked`` with target and kind (only where the target is external).
+
+    In order: an import that names a node; the registry under the aliased name (a single candidate, else the first whose id
+    starts with the module's id, else the first); the first internal candidate for the last segment; an external.
+    """
+    known = nodes.select(F.col("id").alias("path"), F.col("id").alias("hit1"))
+    pairs = checkpoint(pairs.join(known, "path", "left").select("module_id", "name", "path", "real", "short", "hit1"))
     counts = reg.groupBy(F.col("key").alias("real")).agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct("seq", "id")).alias("first"))
     wide = pairs.join(counts, "real", "left")
     # Only names with several candidates need to look at them all. A candidate's id is cut to the lengths that module ids
@@ -66,7 +71,13 @@ def resolve_names(refs: DataFrame, nodes: DataFrame, names: Names | None = None,
     inside = reg.filter(~F.startswith("id", F.lit(EXTERNAL))).groupBy(F.col("key").alias("short")).agg(F.min_by("id", F.struct("seq", "id")).alias("by_short"))
     out = wide.join(near, ["real", "module_id"], "left").join(inside, "short", "left")
     hit = F.coalesce("hit1", "near", "first", F.when(F.col("short") != F.col("real"), F.col("by_short")))
-    return out.select("module_id", "name", F.coalesce(hit, F.concat(F.lit(EXTERNAL), "short")).alias("target"), F.when(hit.isNull(), infer_external_kind(F.col("real"))).alias("kind"))
+    target = F.coalesce(hit, F.concat(F.lit(EXTERNAL), "short"))
+    return out.select("module_id", "name", "path", "real", "short", target.alias("target"), F.when(hit.isNull(), infer_external_kind(F.col("real"))).alias("kind"))
+
+
+def resolve_names(refs: DataFrame, nodes: DataFrame, names: Names | None = None, reg: DataFrame | None = None) -> DataFrame:
+    """(module_id, name, target, kind): a target for every distinct (module_id, name); ``kind`` only where it is external."""
+    return answered(asked(refs, names), nodes, registry(nodes) if reg is None else reg).select("module_id", "name", "target", "kind")
 
 
 def external_nodes(found: DataFrame) -> DataFrame:
@@ -91,7 +102,7 @@ def typed_callee(calls: DataFrame, fields: DataFrame, local_types: DataFrame) ->
 
 
 def import_targets(imports: DataFrame, nodes: DataFrame, reg: DataFrame | None = None) -> DataFrame:
-    """(module_id, path, target, edge, kind, seq) of the distinct imported paths of each file.
+    """(module_id, path, short, target, edge, kind, seq) of the distinct imported paths of each file.
 
     A path that is a node is imported; else the first internal node that the last segment names; else it is external.
     """
@@ -102,7 +113,7 @@ def import_targets(imports: DataFrame, nodes: DataFrame, reg: DataFrame | None =
     rows = paths.join(exact, "path", "left").join(inside, "short", "left")
     external = F.col("exact").isNull() & F.col("inside").isNull()
     target = F.when(F.col("exact"), F.col("path")).otherwise(F.coalesce("inside", F.concat(F.lit(EXTERNAL), "short")))
-    return rows.select("module_id", "path", target.alias("target"), F.when(external, "external_dep").otherwise("imports").alias("edge"), F.when(external, infer_external_kind(F.col("path"))).alias("kind"), "seq")
+    return rows.select("module_id", "path", "short", target.alias("target"), F.when(external, "external_dep").otherwise("imports").alias("edge"), F.when(external, infer_external_kind(F.col("path"))).alias("kind"), "seq")
 
 
 def module_targets(mods: DataFrame, nodes: DataFrame, reg: DataFrame | None = None) -> DataFrame:
@@ -129,20 +140,37 @@ def _last(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(value, "seq").alias(value), F.min("seq").alias("seq"))
 
 
-def build_graph(facts: DataFrame, resolve_typed_receivers: bool = False) -> Graph:
-    """The graph of all facts: nodes and edges as found, then every reference resolved.
+@dataclass
+class Questions:
+    """What a set of facts asks: its nodes and their registry, imports and aliases, all references, declared modules."""
 
-    ``resolve_typed_receivers``: also look for a method of that class before a typed call goes to an external.
-    """
+    facts: DataFrame
+    nodes: DataFrame
+    reg: DataFrame
+    names: Names
+    refs: DataFrame
+    mods: DataFrame
+
+
+@dataclass
+class Answers:
+    """names: ``answered``; imports: (module_id, path, short, target, edge, kind); mods: (name, target), null where there is no node of that name."""
+
+    names: DataFrame
+    imports: DataFrame
+    mods: DataFrame
+
+
+def node_facts(facts: DataFrame) -> DataFrame:
     line = F.col("line").cast("long")
-    nodes = facts.filter("fact = 'node'").select(
+    return facts.filter("fact = 'node'").select(
         F.col("a").alias("id"), F.col("b").alias("name"), F.col("c").alias("kind"), "file", F.coalesce(line, F.lit(0)).alias("line"), F.lit(False).alias("is_external"), F.col("d").alias("docstring"), order(facts, "node").alias("seq")
     )
-    nodes = checkpoint(first_nodes(nodes))
-    reg = checkpoint(registry(nodes))
-    found_edges = facts.filter("fact = 'edge'").select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("c").alias("kind"), order(facts, "edge").alias("seq"))
-    edges = valid_edges(found_edges, nodes, literal_order=True).select(*EDGE_COLUMNS)
 
+
+def questions(facts: DataFrame, resolve_typed_receivers: bool = False) -> Questions:
+    """``resolve_typed_receivers``: also look for a method of that class before a typed call goes to an external."""
+    nodes = checkpoint(first_nodes(node_facts(facts)))
     imports = _last(_facts(facts, "import", "local", "path"), ["module_id", "local"], "path")
     aliases = _last(_facts(facts, "alias", "alias", "real"), ["module_id", "alias"], "real")
     fields = _last(_facts(facts, "field", "scope", "variable", "type"), ["module_id", "scope", "variable"], "type")
@@ -161,13 +189,35 @@ def build_graph(facts: DataFrame, resolve_typed_receivers: bool = False) -> Grap
         .unionByName(pick(_facts(facts, "uses_type", "user", "type"), "user", "type", "uses_type", none))
         .unionByName(pick(calls, "caller", "name", "calls", F.col("direct")))
     )
-    refs = checkpoint(refs)
-    found = refs.join(resolve_names(refs, nodes, Names(imports, aliases), reg), ["module_id", "name"])
-    found = checkpoint(found.select("source", F.coalesce("direct", "target").alias("target"), "edge", F.when(F.col("direct").isNull(), F.col("kind")).alias("kind"), "seq"))
-    brought = checkpoint(import_targets(imports, nodes, reg).select(F.col("module_id").alias("source"), "target", "edge", "kind", "seq"))
-    mods = module_targets(_facts(facts, "mod", "source", "name"), nodes, reg).select("source", "target", F.lit("contains").alias("edge"))
-    every = found.unionByName(brought)
-    all_nodes = nodes.unionByName(external_nodes(every))
-    new = every.select("source", "target", F.col("edge").alias("kind")).unionByName(mods.select("source", "target", F.col("edge").alias("kind")))
-    all_nodes = checkpoint(first_nodes(all_nodes))
+    return Questions(facts, nodes, checkpoint(registry(nodes)), Names(imports, aliases), checkpoint(refs), _facts(facts, "mod", "source", "name"))
+
+
+def named_modules(wanted: DataFrame, nodes: DataFrame, reg: DataFrame) -> DataFrame:
+    """(name, target) of wanted names (name)."""
+    return wanted.join(module_targets(wanted, nodes, reg), "name", "left")
+
+
+def answers(q: Questions) -> Answers:
+    """Everything resolved."""
+    return Answers(checkpoint(answered(asked(q.refs, q.names), q.nodes, q.reg)), checkpoint(import_targets(q.names.imports, q.nodes, q.reg).drop("seq")), checkpoint(named_modules(q.mods.select("name").distinct(), q.nodes, q.reg)))
+
+
+def assemble(q: Questions, a: Answers) -> Graph:
+    """The graph: nodes and edges as found, and an edge for every reference to its answer."""
+    found_edges = q.facts.filter("fact = 'edge'").select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("c").alias("kind"), order(q.facts, "edge").alias("seq"))
+    edges = valid_edges(found_edges, q.nodes, literal_order=True).select(*EDGE_COLUMNS)
+    found = q.refs.join(a.names.select("module_id", "name", "target", "kind"), ["module_id", "name"])
+    found = found.select("source", F.coalesce("direct", "target").alias("target"), "edge", F.when(F.col("direct").isNull(), F.col("kind")).alias("kind"), "seq")
+    paths = q.names.imports.groupBy("module_id", "path").agg(F.min("seq").alias("seq"))
+    brought = paths.join(a.imports, ["module_id", "path"]).select(F.col("module_id").alias("source"), "target", "edge", "kind", "seq")
+    mods = q.mods.join(a.mods.filter("target is not null"), "name").select("source", "target", F.lit("contains").alias("kind"))
+    every = checkpoint(found.unionByName(brought))
+    new = every.select("source", "target", F.col("edge").alias("kind")).unionByName(mods)
+    all_nodes = checkpoint(first_nodes(q.nodes.unionByName(external_nodes(every))))
     return Graph(all_nodes.select(*NODE_COLUMNS, "seq"), checkpoint(valid_edges(edges.unionByName(new), all_nodes)))
+
+
+def build_graph(facts: DataFrame, resolve_typed_receivers: bool = False) -> Graph:
+    """The graph of all facts: nodes and edges as found, then every reference resolved."""
+    q = questions(facts, resolve_typed_receivers)
+    return assemble(q, answers(q))

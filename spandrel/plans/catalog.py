@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import scalars as S
 from spandrel.operators import analytics as A
+from spandrel.operators import incremental
 from spandrel.operators import resolve as R
 from spandrel.operators import views as V
 from spandrel.operators.components import checkpoint
@@ -333,6 +334,26 @@ def _import_edges(spark: SparkSession, d: str) -> DataFrame:
     return R.import_targets(X.links(spark, d), nodes).select(F.col("module_id").alias("source"), "target", F.col("edge").alias("kind"))
 
 
+@query(
+    "incremental_pages",
+    r"""with p as (select page_id, concat('page', page_id) as m, coalesce(html, '') as html from pages),
+    n as (select page_id, m, regexp_extract(html, '<title>([^ <]*)', 1) as name from p),
+    keys as (select name as key, m, page_id from n union all select m, m, page_id from n where name <> m),
+    first as (select key, arg_min(m, page_id) as m from keys group by key),
+    u as (select distinct m, regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)), '^/', '') as w from p),
+    s as (select m, w, string_split(w, '::')[-1] as short from u),
+    near as (select s.m, s.w, arg_min(k.m, k.page_id) as near from s join keys k on k.key = s.w and starts_with(k.m, s.m) group by s.m, s.w),
+    hits as (select s.m, s.w, s.short, i.m as path, near.near as near, f.m as first, b.m as by_short from s left join p i on i.m = s.w left join near on near.m = s.m and near.w = s.w left join first f on f.key = s.w left join first b on b.key = s.short)
+    select m as source, coalesce(path, by_short, '__ext__.' || short) as target, case when coalesce(path, by_short) is null then 'external_dep' else 'imports' end as kind from hits
+    union select m, coalesce(path, near, first, by_short, '__ext__.' || short), 'calls' from hits""",
+)
+def _incremental_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of all pages, from that of an older version and what changed since."""
+    old, q = checkpoint(X.page_facts(spark, d, older=True)), R.questions(checkpoint(X.page_facts(spark, d)))
+    found, _ = incremental.update(old, q, R.answers(R.questions(old)))
+    return R.assemble(q, found).edges.select(*EDGE_COLUMNS)
+
+
 @query("external_dep_kinds", f"with {LINKS} select path, {KIND_SQL.format(c='path')} as kind from (select distinct path from u) x")
 def _external_kinds(spark: SparkSession, d: str) -> DataFrame:
     return X.links(spark, d).select("path", S.infer_external_kind(F.col("path")).alias("kind")).distinct()

@@ -155,3 +155,21 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("seq", "h"))
     path = F.regexp_replace("h", "^/", "")
     return rows.select(F.concat(F.lit("page"), "page_id").alias("module_id"), path.alias("local"), path.alias("path"), F.format_string("%020d|%020d", F.col("page_id"), F.col("seq").cast("long")).alias("seq"))
+
+
+# Pages as source files: a page is a node named by the first word of its title, it imports what it links to and calls it.
+# Of the older version, pages whose URL has a fragment were not there yet, and those whose URL has a query were still empty.
+PAGE_FACTS = """
+with p as (select page_id, coalesce(url, '') as url, {html} as html from pages {where}),
+     f as (select page_id, concat('page', page_id) as m, sha2(html, 256) as hash, html from p),
+     l as (select page_id, m, hash, posexplode(regexp_extract_all(html, 'href="([^"]+)"', 1)) as (k, h) from f),
+     r as (select page_id, m, hash, k, regexp_replace(h, '^/', '') as w from l)
+select page_id as file_seq, cast(0 as bigint) as seq, m as module_id, m as file, 'html' as lang, hash, 'node' as fact, m as a, regexp_extract(html, '<title>([^ <]*)', 1) as b, 'module' as c, cast(null as string) as d, cast(1 as bigint) as line from f
+union all select page_id, cast(2 * k + 1 as bigint), m, m, 'html', hash, 'import', w, w, null, null, null from r
+union all select page_id, cast(2 * k + 2 as bigint), m, m, 'html', hash, 'call', m, w, null, null, null from r
+"""
+
+
+def page_facts(spark: SparkSession, sf_dir: str, older: bool = False) -> DataFrame:
+    html = "case when coalesce(url, '') like '%?%' then '' else coalesce(html, '') end" if older else "coalesce(html, '')"
+    return sql(spark, sf_dir, PAGE_FACTS.format(html=html, where="where coalesce(url, '') not like '%#%'" if older else ""))
