@@ -181,7 +181,8 @@ def mix(
     ranked = beside(ranked, need.select("sid", "slots", "drawn_before"), count, F.col("shard")).withColumn("first", F.col("n_before") - F.col("drawn_before"))
     ranked = ranked.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("slots") - F.col("first")))).withColumn("over", F.col("n") - F.col("kept"))
     ranked = written(running(ranked.select("shard", "sid", "first", "kept", "over"), ["sid", "shard"], ["over"], n_drawn))
-    kept = many(ranked, "kept", "k").select("shard", "sid", (F.col("first") + F.col("k")).alias("rank"))
+    dealt = ranked.repartition(max(1, -(-n_slots // (shard * 16))), "shard")  # a row becomes up to ``shard`` slots
+    kept = many(dealt, "kept", "k").select("shard", "sid", (F.col("first") + F.col("k")).alias("rank"))
     handed = many(ranked, "over", "k").select("shard", (F.col("over_before") + F.col("k")).alias("p"))
     taken = many(need, "short", "k").select("sid", (F.col("drawn") + F.col("k")).alias("rank"), (F.col("short_before") + F.col("k")).alias("p"))
     slots = kept.unionByName(handed.join(taken, "p").select("shard", "sid", "rank"))
