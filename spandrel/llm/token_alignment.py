@@ -7,7 +7,7 @@ done for many texts at once; groups never reach over the end of a text, which bo
 
 What counts as a link is a parameter: ``"end"`` (pairs whose byte ranges end together), ``"overlap"`` (pairs that share
 bytes) or ``"group"`` (each A with each B token of a group). How often an id pair is linked in the whole corpus is counted
-by id pair: a task counts the pairs of a few million links (a chunk) before anything is shuffled, chunk counts are added up
+by id pair: a task counts the pairs of a million links (a chunk) before anything is shuffled, chunk counts are added up
 by pair, and the sums go back to the chunks that hold the pair, by joins. Links are numbered by the pairs of their chunk
 (4 bytes each) and meet the corpus counts in one group per chunk, so a group is bounded by ``chunk_links`` and one text.
 
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from .common import checkpoint_folder, plain
 from .packing import _byte_letters, encoder
 
 #: Links of a chunk, and bytes of text that are aligned at once.
-CHUNK_LINKS, STRETCH = 1 << 22, 1 << 20
+CHUNK_LINKS, STRETCH = 1 << 20, 1 << 19
 #: A table of so many B ids is broadcast; no vocabulary of more is.
 BROADCAST_IDS = 100_000
 
@@ -193,7 +194,7 @@ def _aligned(docs: DataFrame, a_path: str, pattern: str, b_path: str, link: str,
                 k, token = k + 1, token + n
 
         for batch in batches:
-            at, sizes = 0, batch.column(1).cast(pa.large_string()).to_pandas().str.len().fillna(0).to_numpy()
+            at, sizes = 0, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             while at < batch.num_rows:
                 n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 4096]), STRETCH, "right")))
                 part = batch.slice(at, n)
