@@ -17,7 +17,7 @@ from spandrel.operators.graph import Graph, first_nodes, valid_edges
 from spandrel.plans import fixtures as X
 from spandrel.plans import golden, snippets
 from spandrel.schema import EDGE_COLUMNS, NODE_COLUMNS
-from spandrel.sources import export, scan
+from spandrel.sources import cache, export, scan, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -359,6 +359,40 @@ def _external_kinds(spark: SparkSession, d: str) -> DataFrame:
     return X.links(spark, d).select("path", S.infer_external_kind(F.col("path")).alias("kind")).distinct()
 
 
+# ---- source trees ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "tree_files",
+    f"""with f as ({X.TEXT_FILES}) select rel, case right(rel, 3) when '.py' then 'python' when '.rs' then 'rust' when '.ts' then 'typescript' else 'cpp' end as lang, sha256(content) as hash, cast(octet_length(encode(content)) as bigint) as size from f where not ends_with(rel, '.txt')""",
+)
+def _tree_files(spark: SparkSession, d: str) -> DataFrame:
+    root = X.file_tree(spark, d, X.TEXT_FILES)
+    tree.register(spark)
+    return spark.read.format("sourcetree").option("languages", ",".join(scan.LANGUAGES)).option("content", "true").option("path", root).load().select("rel", "lang", "hash", "size")
+
+
+CLASSES = f"l as ({X.LINKED}), c as (select d, s, p, k, concat(s, '.d', d) as m, concat(s, '.d', d, '.C', d) as id, concat(s, '.d', p, '.C', p) as up from l)"
+
+
+@query(
+    "tree_edges",
+    f"""with {CLASSES} select m as source, id as target, 'contains' as kind from c union all select id, concat(id, '.m', d), 'contains' from c
+    union all select m, up, 'imports' from c where p is not null union all select id, up, 'inherits' from c where p is not null""",
+)
+def _tree_edges(spark: SparkSession, d: str) -> DataFrame:
+    """From files on disk to the edges of the graph."""
+    return cache.analyze(spark, X.file_tree(spark, d, X.MODULE_FILES), ("python",), use_cache=False).edges.select(*EDGE_COLUMNS)
+
+
+@query("tree_depth", f"with {CLASSES} select m as id, cast(0 as bigint) as depth_of_inheritance from c union all select id, k - 1 from c union all select concat(id, '.m', d), 0 from c")
+def _tree_depth(spark: SparkSession, d: str) -> DataFrame:
+    """From files on disk to a metric, the second run with the cache of the first."""
+    root = X.file_tree(spark, d, X.MODULE_FILES)
+    cache.analyze(spark, root)
+    return A.inheritance_depth(cache.analyze(spark, root))
+
+
 # ---- scalars ---------------------------------------------------------------------------------------------------------
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spandrel.operators.components import checkpoint_folder
 from spandrel.operators.graph import Graph
+from spandrel.sources import tree
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "conversations", "documents")
 
 CATALOG_NODES = """
 select concat('r', r_regionkey) as id, r_name as name, 'module' as kind, concat('geo/r', r_regionkey, '.tbl') as file,
@@ -173,3 +177,24 @@ union all select page_id, cast(2 * k + 2 as bigint), m, m, 'html', hash, 'call',
 def page_facts(spark: SparkSession, sf_dir: str, older: bool = False) -> DataFrame:
     html = "case when coalesce(url, '') like '%?%' then '' else coalesce(html, '') end" if older else "coalesce(html, '')"
     return sql(spark, sf_dir, PAGE_FACTS.format(html=html, where="where coalesce(url, '') not like '%#%'" if older else ""))
+
+
+# Every document as a source file in its source's folder, with its text; and as a Python module whose class extends that of the document before it in its source.
+TEXT_FILES = """
+select concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', doc_id, case lang when 'en' then '.py' when 'de' then '.rs' when 'fr' then '.ts' when 'es' then '.hpp' else '.txt' end) as rel, coalesce(text, '') as content
+from documents
+"""
+LINKED = """
+select d, coalesce(s, 'none') as s, lag(d) over (partition by s order by d) as p, row_number() over (partition by s order by d) as k from (select distinct doc_id as d, coalesce(source, 'none') as s from documents) x
+"""
+MODULE_FILES = f"""
+select concat(s, '/d', d, '.py') as rel, concat(case when p is null then '' else concat('from ', s, '.d', p, ' import C', p, '\n\n\n') end, 'class C', d, case when p is null then '' else concat('(C', p, ')') end, ':\n    def m', d, '(self):\n        pass\n') as content
+from ({LINKED}) l
+"""
+
+
+def file_tree(spark: SparkSession, sf_dir: str, files: str) -> str:
+    """A folder in the shared one that holds the files (rel, content) of a block."""
+    root = f"{checkpoint_folder(spark)}/tree-{uuid.uuid4().hex}"
+    tree.write_tree(sql(spark, sf_dir, files), root)
+    return root

@@ -1,8 +1,6 @@
-"""Source trees as DataFrames: listing, reading, hashing, extracting; from a folder or from a git reference.
+"""Files of a folder or of a git reference as DataFrames: listing, reading, hashing, extracting.
 
-Listing walks the folder on the driver, where the paths are; reading, hashing and parsing run in the executors, a slice of
-the paths each. Spark's own file listing is not used, since it leaves out names such as ``__init__.py`` and ``.x.js``.
-A folder must be visible to all executors, like any path that is read.
+A folder is listed and read by the data source of ``tree``; a reference by git, in the executors, a slice of the names each.
 """
 
 from __future__ import annotations
@@ -16,22 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from spandrel.schema import FACTS, LANGUAGES
+from spandrel.sources.tree import DEFAULT_LANGUAGES, OUTPUTS, SKIPPED_FOLDERS, language_of, listing, with_contents
 
-# Languages by file extension, folders that are never entered, files that the engine itself writes.
-EXTENSIONS = {
-    "py": "python", "rs": "rust", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "h": "cpp", "hpp": "cpp", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
-}
-SKIPPED_FOLDERS = {"target", "node_modules", "__pycache__", "dist", "build"}
-OUTPUTS = {"graph.html", "graph.json", "diff.html"}
 CACHE = ".spandrel_cache"
-DEFAULT_LANGUAGES = ("python", "rust")
 FILES = "path string, rel string, lang string, file_seq long"
 
 
-def language_of(name: str) -> str | None:
-    return EXTENSIONS.get(name.rpartition(".")[2]) if "." in name else None
-
-
 def select_languages(python: bool = True, rust: bool = True, cpp: bool = False, typescript: bool = False, javascript: bool = False) -> tuple[str, ...]:
     return tuple(x for x, on in zip(LANGUAGES, (python, rust, cpp, typescript, javascript), strict=True) if on)
 
@@ -58,22 +46,6 @@ def files_frame(spark: SparkSession, rows: list[tuple], slices: int | None = Non
     return spark.createDataFrame(rows, FILES).repartition(n)
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """files + hash (SHA-256), content; files that cannot be read are left out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                try:
-                    with open(r.path, "rb") as f:
-                        data = f.read()
-                except OSError:
-                    continue
-                yield pd.DataFrame([(r.path, r.rel, r.lang, r.file_seq, hashlib.sha256(data).hexdigest(), data)], columns=["path", "rel", "lang", "file_seq", "hash", "content"])
-
-    return files.mapInPandas(run, f"{FILES}, hash string, content binary")
-
-
 def list_git(repo: str, ref: str, languages: Iterable[str] = DEFAULT_LANGUAGES, strict_compat: bool = False) -> list[tuple[str, str, str, int]]:
     """The files of a git reference. ``strict_compat``: without .mjs and .cjs, but with hidden and build folders."""
     out = subprocess.run(["git", "-C", repo, "ls-tree", "-r", "-z", "--name-only", ref], capture_output=True, check=True).stdout
@@ -127,7 +99,7 @@ def extract_facts(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str, languages: Iterable[str] = DEFAULT_LANGUAGES) -> DataFrame:
-    return read_files(files_frame(spark, list_files(root, languages)))
+    return with_contents(listing(spark, root, languages))
 
 
 def sources_frame(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
