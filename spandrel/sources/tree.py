@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from spandrel.operators.tables import written
 
@@ -69,7 +69,7 @@ class TreeReader(DataSourceReader):
                 self.prefixes.append(f.value)
                 if isinstance(f, EqualTo):
                     yield f
-            elif not isinstance(f, IsNotNull):  # nothing here is null
+            else:
                 yield f
 
     def _wanted(self, rel: str, folder: bool) -> bool:
