@@ -2,7 +2,7 @@
 
 A partition is a folder with all below it, or a share of one folder's own files. Planning lists folders breadth first only
 until there are enough partitions (option ``partitions``), everything else is listed by the tasks; names never come together on the driver.
-Files are (path, rel, lang, size), with option ``content`` also hash and content. Conditions on ``lang`` (equality, in) and on
+Files are (path, rel, lang, size, modified in nanoseconds), with option ``content`` also hash and content. Conditions on ``lang`` (equality, in) and on
 ``rel`` (equality, prefix) are pushed down: they prune folders and extensions before anything is opened.
 
 The folder may be on any file system that Arrow opens by URI (``file``, ``hdfs``, ``s3``, ``gs``, ...). Files that vanish or
@@ -31,7 +31,7 @@ SKIPPED_FOLDERS = {"target", "node_modules", "__pycache__", "dist", "build"}
 OUTPUTS = {"graph.html", "graph.json", "diff.html"}
 DEFAULT_LANGUAGES = ("python", "rust")
 
-LISTED, READ = "path string, rel string, lang string, size long", "hash string, content binary"
+LISTED, READ = "path string, rel string, lang string, size long, modified long", "hash string, content binary"
 #: Files of one folder in a partition, bytes of content in a batch, files that a task reads.
 SHARE, BATCH, FILES_PER_TASK = 1000, 8 << 20, 256
 
@@ -75,8 +75,8 @@ class TreeReader(DataSourceReader):
     def _wanted(self, rel: str, folder: bool) -> bool:
         return all(rel.startswith(p) or (folder and p.startswith(f"{rel}/")) for p in self.prefixes)
 
-    def _list(self, system: pafs.FileSystem, top: str, folder: str) -> tuple[list[str], list[tuple[str, str, int]]]:
-        """(folders, files as (rel, language, size)) right inside a folder."""
+    def _list(self, system: pafs.FileSystem, top: str, folder: str) -> tuple[list[str], list[tuple[str, str, int, int]]]:
+        """(folders, files as (rel, language, size, modified)) right inside a folder."""
         try:
             found = system.get_file_info(pafs.FileSelector(f"{top}/{folder}" if folder else top))
         except OSError:
@@ -88,7 +88,7 @@ class TreeReader(DataSourceReader):
                 if not x.base_name.startswith(".") and x.base_name not in SKIPPED_FOLDERS and self._wanted(rel, True):
                     folders.append(rel)
             elif x.type == pafs.FileType.File and x.base_name not in OUTPUTS and (lang := language_of(x.base_name)) in self.languages and self._wanted(rel, False):
-                files.append((rel, lang, x.size))
+                files.append((rel, lang, x.size, x.mtime_ns))
         return sorted(folders), files
 
     def partitions(self) -> list[Part]:
@@ -104,7 +104,7 @@ class TreeReader(DataSourceReader):
             open_ += more
         return parts + [Part(f, True) for f in open_] or [Part("", False, 0, 0)]
 
-    def _files(self, system: pafs.FileSystem, top: str, part: Part) -> Iterator[tuple[str, str, int]]:
+    def _files(self, system: pafs.FileSystem, top: str, part: Part) -> Iterator[tuple[str, str, int, int]]:
         if not part.shares:
             return
         open_ = [part.folder]
@@ -117,8 +117,8 @@ class TreeReader(DataSourceReader):
         system, top = open_folder(self.root)
         rows: list[tuple] = []
         held = 0
-        for rel, lang, size in self._files(system, top, part):
-            row = (f"{self.root}/{rel}", rel, lang, size)
+        for rel, *told in self._files(system, top, part):
+            row = (f"{self.root}/{rel}", rel, *told)
             if self.content:
                 data = contents(system, f"{top}/{rel}")
                 if data is None:
@@ -132,7 +132,7 @@ class TreeReader(DataSourceReader):
             yield self._batch(rows)
 
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64()] + [pa.string(), pa.binary()] * self.content
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.string(), pa.binary()] * self.content
         names = [c.split()[0] for c in (f"{LISTED}, {READ}" if self.content else LISTED).split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
