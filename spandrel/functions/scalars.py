@@ -109,6 +109,11 @@ def top_level(id_: Column) -> Column:
     return F.when(F.contains(id_, F.lit("::")), F.substring_index(id_, "::", 1)).otherwise(F.substring_index(id_, ".", 1))
 
 
+def first_segments(id_: Column, level: int) -> Column:
+    """The first ``level`` segments: by ``::`` where the id has any, else by ``.``."""
+    return F.when(F.contains(id_, F.lit("::")), F.substring_index(id_, "::", level)).otherwise(F.substring_index(id_, ".", level))
+
+
 def short_id(id_: Column) -> Column:
     return F.element_at(F.split(id_, r"[.:/\\]+"), -1)
 

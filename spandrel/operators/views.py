@@ -9,10 +9,13 @@ from pyspark.sql.window import Window
 
 from spandrel.functions import scalars as S
 from spandrel.operators.analytics import components, within_hops
-from spandrel.operators.components import checkpoint
+from spandrel.operators.components import checkpoint, side
 from spandrel.operators.graph import Graph
 from spandrel.schema import EDGE_COLUMNS, EDGE_KINDS
 
+#: What ids of merged clusters start with.
+CLUSTER = "cluster_"
+
 VDIR = "__vdir__/"
 # Fixed values of the treemap: padding, header, cell area at the slider's default, and the canvas's shape.
 PAD, HEADER, BASE_CELL, SLIDER = 10, 24, 2000, 1400
@@ -107,6 +110,24 @@ def clusters(graph: Graph, least: int = 2) -> DataFrame:
     return graph.nodes.groupBy(S.top_level(F.col("id")).alias("cluster")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
+def cluster_graph(graph: Graph, level: int = 1, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with clusters merged: nodes (id, is_cluster, n), edges (source, target, kind, n).
+
+    A cluster is the first ``level`` segments of an id; one of fewer than ``least`` nodes stays apart, node by node. Edges are
+    redrawn between what their ends went into; how many were merged is ``n``, and edges inside a cluster vanish.
+    """
+    own = graph.nodes.select("id", S.first_segments(F.col("id"), level).alias("cluster"))
+    large = checkpoint(own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least))
+    few = large.count()
+    within = lambda df, c: df.withColumn("cluster", S.first_segments(F.col(c), level)).join(side(large.select("cluster", F.lit(True).alias("is_cluster")), few), "cluster", "left")
+    alone = within(own.select("id"), "id").filter("is_cluster is null").select("id", F.lit(False).alias("is_cluster"), F.lit(1).cast("long").alias("n"))
+    edges = graph.edges.select(*EDGE_COLUMNS)
+    for end in ("source", "target"):
+        edges = within(edges, end).withColumn(end, F.when(F.col("is_cluster"), F.concat(F.lit(CLUSTER), "cluster")).otherwise(F.col(end))).select(*EDGE_COLUMNS)
+    merged = edges.filter("source <> target").groupBy(*EDGE_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
+    return large.select(F.concat(F.lit(CLUSTER), "cluster").alias("id"), F.lit(True).alias("is_cluster"), "n").unionByName(alone), merged
+
+
 def duplicate_names(graph: Graph, by: str = "name") -> DataFrame:
     """(name, n) of names or ids that several nodes have, the commonest first."""
     return graph.nodes.groupBy(F.col(by).alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "name")

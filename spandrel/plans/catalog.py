@@ -261,6 +261,13 @@ catalog_query(
 
 TOP = "case when contains(id, '::') then string_split(id, '::')[1] else string_split(id, '.')[1] end"
 catalog_query("cluster_top_level", f"select {TOP} as cluster, count(*) as n from gn group by 1 having count(*) >= 2")(lambda g: V.clusters(g))
+CLUSTERED = f"""c as (select id, {TOP} as c from gn), b as (select c, count(*) as n from c group by c having count(*) >= 2), w as (select id, case when b.c is null then c.id else 'cluster_' || b.c end as place from c left join b on b.c = c.c)"""
+catalog_query("cluster_edges", f", {CLUSTERED} select s.place as source, t.place as target, kind, count(*) as n from ge join w s on s.id = ge.source join w t on t.id = ge.target where s.place <> t.place group by 1, 2, 3")(lambda g: V.cluster_graph(g)[1])
+catalog_query("cluster_nodes", f", {CLUSTERED} select place as id, count(*) > 1 as is_cluster, count(*) as n from w group by place")(lambda g: V.cluster_graph(g)[0])
+TWO = "array_to_string(string_split(id, '.')[1:2], '.')"
+catalog_query("cluster_edges_2", f", {CLUSTERED.replace(TOP, TWO)} select s.place as source, t.place as target, kind, count(*) as n from ge join w s on s.id = ge.source join w t on t.id = ge.target where s.place <> t.place group by 1, 2, 3")(
+    lambda g: V.cluster_graph(g, level=2)[1]
+)
 catalog_query("duplicate_names", "select name, count(*) as n from gn group by name having count(*) > 1")(lambda g: V.duplicate_names(g))
 PREFIXES = """, p as (select string_split(file, '/') as a from gn where file <> ''), k as (select a, unnest(range(1, len(a) + 1)) as i from p),
     t as (select array_to_string(a[1:i], '/') as path, a[i] as name, array_to_string(a[1:i - 1], '/') as parent, i < len(a) as d from k)"""
@@ -490,6 +497,27 @@ def _collapsed_chains(spark: SparkSession, d: str) -> DataFrame:
 
 
 # V7 with every flag, V14, callees.
+query("valid_callees", f"with {LINKS} select distinct path, path <> '' and octet_length(encode(path)) < 64 and not regexp_matches(path, '[()]') as valid from u")(
+    lambda spark, d: X.links(spark, d).select("path").distinct().select("path", S.is_valid_callee(F.col("path")).alias("valid"))
+)
+
+# Kinds of events as changes: what a user viewed is new, what was bought is gone; borders of cycles, orphans and others.
+MOVED_TO = "case when id like '%view%' then 'added' when id like '%purchase%' then 'removed' else 'kept' end"
+query(
+    "display_colors",
+    f"""{scc_sql(X.USER_MOVES)}, gn as ({X.endpoints(X.USER_MOVES)} union select concat('u', c_custkey) from customer)
+    select id, case {MOVED_TO} when 'added' then '{S.ADDED}' when 'removed' then '{S.REMOVED}' else '{S.PAGE_COLORS["function"]}' end as background,
+    case when id in (select id from m) then '{S.CYCLE_BORDER}' else 'darker' end as border,
+    cast(case when id in (select id from m) then 3 when id not in (select source from ge union select target from ge) then 2 else 1 end as bigint) as border_width from gn""",
+)(lambda spark, d: _display_colors(X.of_edges(spark, d, X.USER_MOVES, "select concat('u', c_custkey) as id from customer")))
+
+
+def _display_colors(g: Graph) -> DataFrame:
+    shown = V.display_nodes(g, A.cycle_nodes(g), A.orphans(g), g.nodes.select("id", F.expr(MOVED_TO).alias("change")))
+    return shown.select("id", "background", F.when(F.col("border") == S.CYCLE_BORDER, F.col("border")).when(F.col("border") != F.col("background"), "darker").alias("border"), "border_width")
+
+
+
 FLAGGED = f"""{scc_sql(X.TRADE)}, gn as ({X.endpoints(X.TRADE)}),
     x as (select id, id in (select id from m) as in_cycle, id not in (select source from ge union select target from ge) as is_orphan, case when id in ('n1', 'n2') then 'added' when id = 'n3' then 'removed' else 'kept' end as change from gn)
     select id, in_cycle, is_orphan, change from x"""
