@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 
 from spandrel.functions import scalars as S
 from spandrel.operators.analytics import components, within_hops
-from spandrel.operators.components import checkpoint, side
+from spandrel.operators.components import checkpoint, fitted, side
 from spandrel.operators.graph import Graph
+from spandrel.operators.tables import Scratch
 from spandrel.schema import EDGE_COLUMNS, EDGE_KINDS
 
 #: What ids of merged clusters start with.
@@ -238,26 +239,54 @@ def structure(graph: Graph, externals: bool = True, folders: bool = True) -> Dat
 def subtree_weights(forest: DataFrame, slider: int = SLIDER) -> DataFrame:
     """(id, weight): leaves at least 1, containers at least their children's sum, both at least what their name needs.
 
-    Bottom-up: in every round the parents whose children are all weighed are weighed. Nodes on a cycle are left out.
+    Rounds of two steps, as many as the logarithm of the depth: containers whose children are all weighed are weighed; then
+    containers with one open child are taken out of their chains, no two neighbours at once, and the child hangs on their parents by the
+    two containers' rules in one (a rule max(x + a, b) after another is such a rule again). In the end they are weighed by their child.
+    Nodes on a cycle, and what holds them, are left out.
     """
-    forest = checkpoint(forest.dropDuplicates(["parent", "child"]))
+    scratch = Scratch(forest.sparkSession)
+    forest = scratch.keep(forest.dropDuplicates(["parent", "child"]))
     cell = BASE_CELL * (slider / SLIDER)
     kids = forest.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"))
     names = forest.groupBy(F.col("child").alias("id")).agg(F.first("name").alias("name")).join(kids, "id", "left").withColumn("kids", F.coalesce("kids", F.lit(0)))
     width = F.greatest(F.lit(72), F.length("name") * F.when(F.col("kids") == 0, 8).otherwise(9) + 24).cast("double")
-    least = F.when(F.col("kids") == 0, width * width).otherwise(width * (HEADER + 30)) / F.lit(cell)
-    names = checkpoint(names.select("id", "kids", least.alias("least")))
-    known = checkpoint(names.filter("kids = 0").select("id", F.greatest(F.lit(1.0), "least").alias("weight")))
-    open_ = names.filter("kids > 0")
-    pairs = forest.filter("parent is not null").select("parent", "child")
-    while not open_.isEmpty():
-        done = pairs.join(known.select(F.col("id").alias("child"), "weight"), "child").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("s"))
-        fresh = checkpoint(open_.join(done, "id").filter("n = kids").select("id", F.greatest("s", "least").alias("weight")))
-        if fresh.isEmpty():
+    least = F.when(F.col("kids") == 0, F.greatest(F.lit(1.0), width * width / F.lit(cell))).otherwise(width * (HEADER + 30) / F.lit(cell))
+    nodes = scratch.keep(names.select("id", F.col("kids").cast("long").alias("open"), F.lit(0.0).alias("a"), least.alias("b")))
+    edges = scratch.keep(forest.filter("parent is not null").select("child", "parent", F.lit(0.0).alias("ea"), F.lit(float("-inf")).alias("eb")))
+    n = nodes.count()
+    known: DataFrame | None = None
+    steps: list[DataFrame] = []
+    while True:
+        ready = scratch.keep(nodes.filter("open = 0").select("id", F.greatest("a", "b").alias("weight")))
+        done = ready.count()
+        known = ready if known is None else known.unionByName(ready)
+        told = edges.join(side(ready.withColumnRenamed("id", "child"), done), "child").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.col("weight") + F.col("ea"), "eb")).alias("s"))
+        nodes = nodes.filter("open > 0").join(side(told, done), "id", "left").select("id", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), (F.col("a") + F.coalesce("s", F.lit(0.0))).alias("a"), "b")
+        nodes, edges = scratch.keep(fitted(nodes, n)), scratch.keep(fitted(edges.join(side(ready.select(F.col("id").alias("child")), done), "child", "left_anti"), n))
+        went = 0
+        single = nodes.filter("open = 1").select("id")
+        if few := single.count():
+            rank = lambda c, i=len(steps): F.struct(F.xxhash64(c, F.lit(i)).alias("h"), F.col(c).alias("k"))
+            inner = edges.join(side(single.withColumnRenamed("id", "child"), few), "child", "left_semi").join(side(single.withColumnRenamed("id", "parent"), few), "parent", "left_semi")
+            near = inner.select(F.explode(F.array(F.struct(F.col("child").alias("id"), rank("parent").alias("r")), F.struct(F.col("parent").alias("id"), rank("child").alias("r")))).alias("e")).groupBy("e.id").agg(F.min("e.r").alias("least"))
+            gone = scratch.keep(fitted(single.join(side(near, few), "id", "left").withColumn("own", rank("id")).filter("least is null or own < least").select("id"), few))
+            went = gone.count()
+            below = edges.join(side(gone.withColumnRenamed("id", "parent"), went), "parent", "left_semi").withColumnRenamed("parent", "id").join(nodes.select("id", "a", "b"), "id")
+            step = scratch.keep(fitted(below.select("id", "child", (F.col("ea") + F.col("a")).alias("ka"), F.greatest(F.col("eb") + F.col("a"), "b").alias("kb")), went))
+            steps.append(step)
+            above = edges.join(side(gone.withColumnRenamed("id", "child"), went), "child", "left_semi").withColumnRenamed("child", "id")
+            joined = above.join(side(step, went), "id").select("child", "parent", (F.col("ka") + F.col("ea")).alias("ea"), F.greatest(F.col("kb") + F.col("ea"), "eb").alias("eb"))
+            rest = edges
+            for end in ("child", "parent"):
+                rest = rest.join(side(gone.withColumnRenamed("id", end), went), end, "left_anti")
+            edges = scratch.keep(fitted(rest.select("child", "parent", "ea", "eb").unionByName(joined), n))
+            nodes = scratch.keep(fitted(nodes.join(side(gone, went), "id", "left_anti"), n))
+        if not done and not went:
             break
-        known = checkpoint(known.unionByName(fresh))
-        open_ = checkpoint(open_.join(fresh.select("id"), "id", "left_anti"))
-    return known
+        known = scratch.keep(fitted(known, n))
+    for step in reversed(steps):
+        known = scratch.keep(fitted(known.unionByName(step.join(known.withColumnRenamed("id", "child"), "child").select("id", F.greatest(F.col("weight") + F.col("ka"), "kb").alias("weight"))), n))
+    return scratch.close(known)
 
 
 def squarify(items: list[tuple[str, float]], x: float, y: float, w: float, h: float) -> list[tuple[str, float, float, float, float]]:
