@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import scalars as S
 from spandrel.operators import analytics as A
-from spandrel.operators import incremental
+from spandrel.operators import incremental, merkle
 from spandrel.operators import resolve as R
 from spandrel.operators import views as V
 from spandrel.operators.components import checkpoint
@@ -400,6 +400,34 @@ def _tree_depth(spark: SparkSession, d: str) -> DataFrame:
     return A.inheritance_depth(cache.analyze(spark, root))
 
 
+VERSIONS = f"o as ({X.OLDER_FILES}), n as ({X.TEXT_FILES})"
+
+
+def _digests(spark: SparkSession, d: str) -> tuple[merkle.Digests, merkle.Digests]:
+    old, new = (merkle.Digests.of(X.sql(spark, d, f).select("rel", F.sha2("content", 256).alias("hash"))) for f in (X.OLDER_FILES, X.TEXT_FILES))
+    return old, new
+
+
+@query(
+    "tree_changes",
+    f"""with {VERSIONS} select coalesce(o.rel, n.rel) as rel, case when o.rel is null then 'added' when n.rel is null then 'removed' else 'changed' end as change, sha256(o.content) as old_hash, sha256(n.content) as new_hash
+    from o full join n on o.rel = n.rel where o.content is distinct from n.content""",
+)
+def _tree_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Files that differ between two versions, from the digests of their folders down."""
+    return merkle.compare(*_digests(spark, d))[0]
+
+
+@query(
+    "folder_changes",
+    f"""with {VERSIONS}, b as (select coalesce(o.rel, n.rel) as rel, o.rel is not null as was, n.rel is not null as now, o.content is not distinct from n.content as same from o full join n on o.rel = n.rel),
+    s as (select string_split(rel, '/') as a, * from b), e as (select unnest(range(0, len(a))) as i, * from s)
+    select array_to_string(a[1:i], '/') as path, count(*) filter (was) as old_files, count(*) filter (now) as new_files, bool_and(same) as same from e group by 1""",
+)
+def _folder_changes(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.folder_changes(*_digests(spark, d))
+
+
 # ---- scalars ---------------------------------------------------------------------------------------------------------
 
 

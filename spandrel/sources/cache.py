@@ -115,8 +115,8 @@ def analyze_git(spark: SparkSession, repo: str, ref: str, languages: Iterable[st
 
 
 def git_diff(spark: SparkSession, repo: str, ref: str = "main", languages: Iterable[str] = scans.DEFAULT_LANGUAGES) -> tuple[Graph, Graph, dict[str, DataFrame]]:
-    """(old, new, changes) between a git reference and the working tree, which is analysed once."""
-    from spandrel.operators.analytics import diff
+    """(old, new, changes) between a git reference and the working tree, each file of which is parsed once."""
+    from spandrel.sources import git
 
-    old, new = analyze_git(spark, repo, ref, languages), analyze(spark, repo, languages, use_cache=False)
-    return old, new, diff(old, new)
+    out = git.diff_worktree(spark, repo, ref, languages)
+    return out.old, out.new, out.changes
