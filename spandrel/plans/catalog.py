@@ -14,6 +14,7 @@ from spandrel.operators import resolve as R
 from spandrel.operators import views as V
 from spandrel.operators.components import checkpoint
 from spandrel.operators.graph import Graph, first_nodes, valid_edges
+from spandrel.operators.layout import Layout
 from spandrel.plans import fixtures as X
 from spandrel.plans import golden, snippets
 from spandrel.schema import EDGE_COLUMNS, NODE_COLUMNS
@@ -206,6 +207,16 @@ def _focus_missing(spark: SparkSession, d: str) -> DataFrame:
     return A.focus(X.trade(spark, d), "nowhere", 2).nodes.select("id")
 
 
+# ---- stored graphs: the same answers from bucketed tables --------------------------------------------------------------
+
+catalog_query("stored_lookup", f"select * from gn where id = '{CLASS_NODE}'")(lambda g: Layout.write(g).node(CLASS_NODE))
+catalog_query("stored_detail_in", f"{JOINED} where e.target = '{CLASS_NODE}'")(lambda g: Layout.write(g).detail(CLASS_NODE)["incoming"])
+catalog_query("stored_detail_out", f"{JOINED} where e.source = '{CLASS_NODE}'")(lambda g: Layout.write(g).detail(CLASS_NODE)["outgoing"])
+catalog_query("stored_degrees", f", {DEGREES} select id, in_degree, out_degree from d")(lambda g: Layout.write(g).degrees())
+catalog_query("stored_endpoints", JOINED)(lambda g: Layout.write(g).edges_with_endpoints())
+query("stored_focus", focus_oracle(X.REPLIES, "c19.t4", 3, "select id, distance from f"))(lambda spark, d: Layout.write(X.of_edges(spark, d, X.REPLIES)).within_hops("c19.t4", 3))
+
+
 # ---- diff ------------------------------------------------------------------------------------------------------------
 
 DIFFS = {
