@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -289,67 +288,6 @@ def subtree_weights(forest: DataFrame, slider: int = SLIDER) -> DataFrame:
     return scratch.close(known)
 
 
-def squarify(items: list[tuple[str, float]], x: float, y: float, w: float, h: float) -> list[tuple[str, float, float, float, float]]:
-    """Rectangles of the given areas, largest first, in strips of least worst aspect ratio (Bruls, Huizing, van Wijk)."""
-
-    def worst(row: list[float], side: float) -> float:
-        total = sum(row)
-        if side <= 0 or total <= 0:
-            return float("inf")
-        thick = total / side
-        return max(max(thick * thick / a, a / (thick * thick)) if a > 0 else float("inf") for a in row)
-
-    out: list[tuple[str, float, float, float, float]] = []
-    queue = sorted(items, key=lambda i: (-i[1], i[0]))
-    while queue and w >= 1 and h >= 1:
-        side, n = min(w, h), 1
-        while n < len(queue) and worst([a for _, a in queue[: n + 1]], side) <= worst([a for _, a in queue[:n]], side):
-            n += 1
-        strip, queue = queue[:n], queue[n:]
-        total = sum(a for _, a in strip)
-        if total <= 0:
-            break
-        thick, at = total / side, 0.0
-        for id_, area in strip:
-            long = area / thick
-            out.append((id_, x, y + at, max(2.0, thick), max(2.0, long)) if w >= h else (id_, x + at, y, max(2.0, long), max(2.0, thick)))
-            at += long
-        if w >= h:
-            x, w = x + thick, w - thick
-        else:
-            y, h = y + thick, h - thick
-    return out
-
-
-def treemap(forest: DataFrame, slider: int = SLIDER) -> DataFrame:
-    """(id, x, y, w, h), top-down: in each round all placed containers lay out their children, one group per container."""
-    weights = checkpoint(subtree_weights(forest, slider))
-    cell = BASE_CELL * (slider / SLIDER)
-    pairs = checkpoint(forest.select("parent", F.col("child").alias("id")).distinct().join(weights, "id"))
-    total = pairs.filter("parent is null").agg(F.sum("weight").alias("s")).first()["s"]
-    if not total:
-        return pairs.select("id", *[F.lit(0.0).alias(c) for c in "xywh"]).limit(0)
-    width = float(round((total * cell * 4 / 3) ** 0.5))
-    height = float(round(total * cell / width))
-    schema = "id string, x double, y double, w double, h double"
-
-    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, w, h = (float(pdf[c].iloc[0]) for c in ("x", "y", "w", "h"))
-        s = float(pdf["weight"].sum())
-        return pd.DataFrame(squarify([(i, a / s * w * h) for i, a in zip(pdf["id"], pdf["weight"], strict=True)], x, y, w, h), columns=["id", "x", "y", "w", "h"])
-
-    place = lambda rows: checkpoint(rows.groupBy("parent").applyInPandas(lay, schema))
-    box = {"x": 0.0, "y": 0.0, "w": width, "h": height}
-    wave = place(pairs.filter("parent is null").withColumns({c: F.lit(v) for c, v in box.items()} | {"parent": F.lit("")}))
-    done = wave
-    while True:
-        inner = wave.select(F.col("id").alias("parent"), (F.col("x") + PAD).alias("x"), (F.col("y") + HEADER).alias("y"), (F.col("w") - 2 * PAD).alias("w"), (F.col("h") - HEADER - PAD).alias("h")).filter("w >= 4 and h >= 4")
-        wave = place(pairs.join(inner, "parent"))
-        if wave.isEmpty():
-            return done
-        done = checkpoint(done.unionByName(wave))
-
-
 def ordinal(named: DataFrame) -> DataFrame:
     """(component_id, n, ordinal) in the order that the navigator walks.
 

@@ -15,6 +15,7 @@ from spandrel.operators import views as V
 from spandrel.operators.components import checkpoint
 from spandrel.operators.graph import Graph, first_nodes, valid_edges
 from spandrel.operators.layout import Layout
+from spandrel.operators.treemap import treemap
 from spandrel.plans import fixtures as X
 from spandrel.plans import golden, snippets
 from spandrel.schema import EDGE_COLUMNS, NODE_COLUMNS
@@ -499,7 +500,7 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("treemap")
 def _treemap(spark: SparkSession, d: str) -> DataFrame:
-    return V.treemap(V.structure(X.catalog(spark, d)))
+    return treemap(V.structure(X.catalog(spark, d)))
 
 
 FOLDERS = f"""roots as (select id, name, string_split(file, '/') as a from gn where id not in (select target from ge where kind = 'contains')),

@@ -6,7 +6,6 @@ import pytest
 
 from spandrel.operators import tables
 from spandrel.operators import views as V
-from spandrel.plans import fixtures as X
 
 
 def forest(spark, rows):
@@ -51,26 +50,3 @@ def test_deep_containment_in_few_rounds(spark, monkeypatch):
     rows = [(None, "n00000")] + [(f"n{i:05d}", f"n{i + 1:05d}") for i in range(1499)] + [(f"n{i:05d}", f"leaf{i}") for i in range(0, 1500, 7)]
     check(spark, rows)
     assert n[0] < 190
-
-
-def test_treemap_lies_inside(spark, data):
-    """Every box lies inside that of its container, boxes of one container do not overlap, and areas are as their weights."""
-    shape = V.structure(X.catalog(spark, data))
-    parents = {(r["parent"], r["child"]) for r in shape.select("parent", "child").collect()}
-    weights = {r["id"]: r["weight"] for r in V.subtree_weights(shape).collect()}
-    boxes = {r["id"]: r for r in V.treemap(shape).collect()}
-    assert {c for p, c in parents if p is None} <= set(boxes)
-    groups = {}
-    for p, c in parents:
-        if c in boxes:
-            groups.setdefault(p, []).append(boxes[c])
-            if p is not None:
-                o, i = boxes[p], boxes[c]
-                assert o["x"] <= i["x"] and o["y"] <= i["y"] and i["x"] + i["w"] <= o["x"] + o["w"] + 2 and i["y"] + i["h"] <= o["y"] + o["h"] + 2
-    for rows in groups.values():
-        large = [b for b in rows if b["w"] > 2 and b["h"] > 2]  # thinner ones are drawn 2 wide
-        for i, a in enumerate(large[:40]):
-            for b in large[i + 1 : 40]:
-                assert min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"]) < 1e-6 or min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]) < 1e-6
-        per = [b["w"] * b["h"] / weights[b["id"]] for b in large]
-        assert not per or max(per) == pytest.approx(min(per), rel=1e-6)
