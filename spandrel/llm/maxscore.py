@@ -6,7 +6,7 @@ query term has an upper bound. Terms are ordered by their bounds; for each query
 bounds together cannot lift a candidate over the k-th best score so far. All postings of the essential terms are
 traversed (one product of matrices for a block of queries with like splits), and only candidates whose partial score plus
 the remaining bounds is still competitive are probed in the other terms, in chunks of falling bounds, and dropped as
-soon as they are not. Shards hand on their k best; their merge is a ranked union of at most k rows per query and shard.
+soon as they are not. A task's first shard is small, since it has no k-th best to split by. Shards hand on their k best; their merge is a ranked union of at most k rows per query and shard.
 
 The queries are taken in blocks of a bounded number of rows, each broadcast and run against all shards. Arithmetic is on
 float64 while all sums stay below 2^53, else on Python integers, so it is exact either way; a score outside 64 bits is
@@ -30,6 +30,8 @@ from pyspark.sql.window import Window
 from .common import checkpoint, plain
 
 SHARD = 4096
+#: Rows of a task's first shard; it has no bound to prune by yet, and shards double up to SHARD.
+FIRST_SHARD = 128
 EXACT = 1 << 53
 
 
@@ -58,7 +60,8 @@ class Block:
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, chunk: int = 8):
         self.ids, self.q, self.k, self.chunk = ids, q, k, chunk
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, q.dtype)) for _ in ids]
-        self.probed = 0
+        self.probed = 0  # candidates that a chunk of non-essential terms was looked up for
+        self.products = 0  # (candidate, term) products
 
     def _keep(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = np.append(self.best[i][0], ids), np.append(self.best[i][1], scores)
@@ -91,6 +94,7 @@ class Block:
         for s in np.unique(split):
             which = np.flatnonzero(split == s)
             partial = q[which, :s] @ x[:, :s].T
+            self.products += len(which) * len(x) * int(s)
             for row, i in enumerate(which):
                 self._finish(i, int(s), partial[row], ids, q[i], x, low[i], rest[i], limit[i])
 
@@ -105,6 +109,7 @@ class Block:
                 break
             to = min(at + self.chunk, len(q))
             self.probed += len(alive)
+            self.products += len(alive) * (to - at)
             score = score + x[alive, at:to] @ q[at:to]
             at = to
         if len(alive):
@@ -129,11 +134,13 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 5, scale: float = 256
         shared = sc.broadcast((np.array([r["id"] for r in block], np.int64), _matrix([r["v"] for r in block], scale)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Block(*shared.value, k)
+            own, size = Block(*shared.value, k), FIRST_SHARD
             for b in batches:
-                for at in range(0, b.num_rows, SHARD):
-                    part = b.slice(at, SHARD)
+                at = 0
+                while at < b.num_rows:
+                    part = b.slice(at, size)
                     own.add(np.asarray(part.column(0)), _matrix(part.column(1).to_numpy(zero_copy_only=False), scale))
+                    at, size = at + size, min(2 * size, SHARD)
             out = [(int(q), int(i), max(-(1 << 63), min(int(s), (1 << 63) - 1))) for q, (ids, scores) in zip(own.ids, own.best, strict=True) for i, s in zip(ids, scores, strict=True)]
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "id", "score"])

@@ -74,14 +74,17 @@ def test_maxscore_prunes_and_stays_exact():
     x = np.floor(r.normal(size=(3000, 32)) * np.linspace(60, 1, 32))
     q = x[:20]
     b = maxscore.Block(np.arange(20), q, 5)
-    for at in range(0, 3000, 500):
-        b.add(np.arange(at, at + 500), x[at : at + 500])
+    at, size = 0, maxscore.FIRST_SHARD
+    while at < 3000:
+        b.add(np.arange(at, min(at + size, 3000)), x[at : at + size])
+        at, size = at + size, size * 2
     for i in range(20):
         s = x @ q[i]
         s[i] = -np.inf
         best = np.lexsort((np.arange(3000), -s))[:5]
         assert b.best[i][0].tolist() == best.tolist()
     assert b.probed < 20 * 3000 * 2
+    assert 0 < b.products < 0.7 * 20 * 3000 * 32
 
 
 def test_warc_against_sql(spark, data):
