@@ -236,15 +236,15 @@ def _found_in(lines: list[str], key: str) -> list[dict]:
 
 
 def file_system(path: str):
-    """(file system, path in it) for workers; None where Arrow has none for the scheme."""
+    """(file system, path in it) for workers. An error where Arrow has none for the scheme: there is no other way to read ranges there."""
     from pyarrow import fs
 
     if "://" not in path and path.startswith("file:"):
         path = path.removeprefix("file:")
     try:
         return fs.FileSystem.from_uri(path)
-    except (pa.ArrowInvalid, OSError, NotImplementedError):
-        return None
+    except (pa.ArrowInvalid, OSError, NotImplementedError) as e:
+        raise ValueError(f"records cannot be read by ranges from {path}: name a folder on a file system that Arrow opens") from e
 
 
 class Ranges:
@@ -391,12 +391,11 @@ def archive_and_read(pages: DataFrame, folder: str | None = None, **columns) ->
     """Write archives and index, look every page's URL up in the index, and read its records by their ranges."""
     spark = pages.sparkSession
     folder = folder or shared_folder(spark)
+    file_system(folder)  # before anything is written
     own, url = plain(pages, columns.get("url_col", "url"))
     write_archives(pages, f"{folder}/archives", **columns)
     captures = checkpoint(read_archives(spark, f"{folder}/archives"))
     write_index(captures, f"{folder}/index")
-    if file_system(folder) is None:  # no range reads from workers there: what the scan read
-        return captures.select(*[c for c in _columns(CAPTURE) if c != "url"])
     return captures_of(own.select(F.col(url).alias("url")), f"{folder}/archives", f"{folder}/index").select(*[c for c in _columns(CAPTURE) if c != "url"])
 
 

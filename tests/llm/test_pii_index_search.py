@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from helpers import assert_same, duck
 
 from spandrel.llm import maxscore, pii, queries, warc
@@ -87,6 +88,12 @@ def test_maxscore_prunes_and_stays_exact():
     assert 0 < b.products < 0.7 * 20 * 3000 * 32
 
 
+def test_no_ranges_no_archive(spark, data):
+    """Where records cannot be read by ranges there is an error, not a result by another way."""
+    with pytest.raises(ValueError, match="ranges"):
+        warc.archive_and_read(spark.read.parquet(f"{data}/pages.parquet"), "viewfs://store/x")
+
+
 def test_warc_against_sql(spark, data):
     assert_same(queries.op7_warc(spark, data), duck(warc.ORACLE))
 
