@@ -15,7 +15,8 @@ counted by level, and the level from which lists cost less than subsets (posting
 the whole table's size would hold) is where heavy begins. It moves work, never links. As an element stands for several
 shingles at once, a passage that many documents share does not make a long list; only sets that are near each other meet.
 
-Lists. Postings travel packed, in groups that follow the input's size. A key that many sets of one batch share goes as one
+Lists. Postings travel packed, in groups whose number follows the input's size, so that a group stays small: it is what one
+task holds. Where there are more groups than a flush can be dealt into, a second exchange deals each of the first ones. A key that many sets of one batch share goes as one
 posting of their smallest set; the others travel beside it, spread over all tasks, and are joined to the list's hub (its
 smallest member) afterwards, so no task gathers a long list.
 
@@ -65,6 +66,8 @@ TILE_SHINGLES = 4_000_000
 #: Shingles that are compared in one go.
 CHUNK = 1_000_000
 FILTER_WORDS = 1 << 19
+#: Bytes of input to a group of keys, and the groups that one flush is dealt into at most; more are dealt in a second step.
+GROUP_BYTES = 1 << 18
 MOST_GROUPS = 1 << 16
 
 
@@ -189,6 +192,32 @@ def choose_light(docs: DataFrame, text_col: str, width: int, num: int, den: int,
 
 #: Kinds of packed rows and of what the scan of lists gives.
 LISTED, BESIDE, MARKED = 0, 1, 2
+PACKED = "p long, kind int, keys binary, sigs binary"
+
+
+def _packed(k: np.ndarray, s: np.ndarray, groups: int, far_k: np.ndarray = np.empty(0, U), far_s: np.ndarray = np.empty(0, np.int64), marked: np.ndarray = np.empty(0, U)) -> pa.RecordBatch:
+    """Rows (p, kind, keys, sigs) of a flush of postings, with those that are beside their lists, and keys marked, already."""
+
+    def dealt(kind: int, k: np.ndarray, s: np.ndarray, p: np.ndarray) -> list[tuple]:
+        order = np.argsort(p, kind="stable")
+        k, s, p = k[order], s[order], p[order]
+        cut = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True]))) if len(p) else np.zeros(1, int)
+        return [(int(p[a]), kind, k[a:b].tobytes(), s[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    order = np.lexsort((s, k))
+    k, s = k[order], s[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    starts = np.flatnonzero(first)
+    n = np.diff(np.append(starts, len(k)))
+    beside = np.repeat(n >= HOT, n) & ~first
+    marked = np.union1d(marked, k[starts[n >= HOT]])
+    far_k, far_s = np.append(far_k, k[beside]), np.append(far_s, s[beside])
+    rows = dealt(LISTED, k[~beside], s[~beside], (k[~beside] % U(groups)).astype(np.int64))
+    rows += dealt(BESIDE, far_k, far_s, (mix(far_s.view(U), 21) % U(groups)).astype(np.int64))
+    rows += dealt(MARKED, marked, np.zeros(len(marked), np.int64), (marked % U(groups)).astype(np.int64))
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["p", "kind", "keys", "sigs"])
 
 
 def packed_keys(docs: DataFrame, text_col: str, width: int, levels: Levels, groups: int) -> DataFrame:
@@ -202,27 +231,8 @@ def packed_keys(docs: DataFrame, text_col: str, width: int, levels: Levels, grou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, keys, sigs, held, seen = Levels(num, den, light), [], [], 0, set()
 
-        def dealt(kind: int, k: np.ndarray, s: np.ndarray, p: np.ndarray) -> list[tuple]:
-            order = np.argsort(p, kind="stable")
-            k, s, p = k[order], s[order], p[order]
-            cut = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True]))) if len(p) else np.zeros(1, int)
-            return [(int(p[a]), kind, k[a:b].tobytes(), s[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
         def flush() -> pa.RecordBatch:
-            k, s = np.concatenate(keys), np.repeat(np.array(sigs, np.int64), [len(x) for x in keys])
-            order = np.lexsort((s, k))
-            k, s = k[order], s[order]
-            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            n = np.diff(np.append(starts, len(k)))
-            first = np.zeros(len(k), bool)
-            first[starts] = True
-            beside = np.repeat(n >= HOT, n) & ~first
-            marked = k[starts[n >= HOT]]
-            rows = dealt(LISTED, k[~beside], s[~beside], (k[~beside] % U(groups)).astype(np.int64))
-            rows += dealt(BESIDE, k[beside], s[beside], (mix(s[beside].view(U), 21) % U(groups)).astype(np.int64))
-            rows += dealt(MARKED, marked, np.zeros(len(marked), np.int64), (marked % U(groups)).astype(np.int64))
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["p", "kind", "keys", "sigs"])
+            return _packed(np.concatenate(keys), np.repeat(np.array(sigs, np.int64), [len(x) for x in keys]), groups)
 
         for b in batches:
             for t in _texts(b, 0):
@@ -242,7 +252,34 @@ def packed_keys(docs: DataFrame, text_col: str, width: int, levels: Levels, grou
         if held:
             yield flush()
 
-    return docs.select(_text(text_col)).mapInArrow(run, "p long, kind int, keys binary, sigs binary")
+    return docs.select(_text(text_col)).mapInArrow(run, PACKED)
+
+
+def dealt_again(packed: DataFrame, groups: int) -> DataFrame:
+    """``packed`` in ``groups`` groups, a multiple of those it comes in, each of which is streamed past one task.
+
+    What a flush holds is of few groups by then, so rows stay long however many groups there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {kind: [] for kind in (LISTED, BESIDE, MARKED)}
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            k, s = ({kind: np.concatenate([np.empty(0, t), *[np.frombuffer(r[i], t) for r in rows]]) for kind, rows in held.items()} for i, t in ((0, U), (1, np.int64)))
+            return _packed(k[LISTED], s[LISTED], groups, k[BESIDE], s[BESIDE], k[MARKED])
+
+        for b in batches:
+            for kind, k, s in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                held[kind].append((k.as_buffer(), s.as_buffer()))
+                n += len(held[kind][-1][0]) // 8
+                if n >= FLUSH:
+                    yield flush()
+                    held, n = {kind: [] for kind in held}, 0
+        if n:
+            yield flush()
+
+    return packed.repartition("p").sortWithinPartitions("p").select("p", "kind", "keys", "sigs").mapInArrow(run, PACKED)
 
 
 def scan_lists(packed: DataFrame) -> DataFrame:
@@ -475,9 +512,11 @@ def links_of(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame
 
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, light: int | None = None) -> tuple[DataFrame, DataFrame]:
     """For ``docs`` of plain names: rows (__id, hash, sig, n), and for each set with words (sig, own, top): the least (none, id, hash) of its rows and of its component's."""
-    groups = min(MOST_GROUPS, max(64, plan_bytes(docs) >> 18))
+    first = min(MOST_GROUPS, wanted := max(64, plan_bytes(docs) // GROUP_BYTES))
+    groups = first * -(-wanted // first)
     light = choose_light(docs, text_col, width, num, den) if light is None else light
-    pairs = candidate_pairs(packed_keys(docs, text_col, width, Levels(num, den, light), groups))
+    packed = packed_keys(docs, text_col, width, Levels(num, den, light), first)
+    pairs = candidate_pairs(dealt_again(packed, groups) if groups > first else packed)
     rows = checkpoint(described(docs, id_col, text_col, width, pairs))
     roots = checkpoint(connected_roots(links_of(pairs, rows, num, den)))
     linked = roots.count()

@@ -75,6 +75,7 @@ def brute(rows, width, num, den):
 def test_near_components(docs, width, num, tile, hot, light, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "MOST_GROUPS", 8 if tile == 2 else 1 << 16)  # 8: lists are dealt in two steps
     got = Counter(map(tuple, jaccard_join.near_components(docs, width=width, num=num, light=light).select("doc_id", "n_shingles", "component_id").collect()))
     assert got == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], width, num, 100)
 
@@ -136,3 +137,15 @@ def test_near_components_against_sql(spark, data):
     from spandrel.llm import queries
 
     assert_same(queries.op8_ngram_jaccard_join(spark, data), duck(jaccard_join.ORACLE))
+
+
+def test_groups_dealt_in_two_steps(spark, docs, monkeypatch):
+    """A second exchange makes groups small without losing a list, be it dealt, beside its list or marked."""
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    packed = jaccard_join.packed_keys(docs, "text", 3, jaccard_join.Levels(90, 100, 4), 3)
+    again = jaccard_join.dealt_again(packed, 3 * 50)
+    pairs = lambda df: {tuple(r) for r in jaccard_join.candidate_pairs(df).collect()}
+    one = pairs(packed)
+    assert one and one == pairs(again)
+    most = lambda df: max(r[1] for r in df.selectExpr("p", "length(keys) as n").groupBy("p").sum("n").collect())
+    assert most(again) < most(packed) / 10
