@@ -173,7 +173,7 @@ def filter_fs(graph: Graph, path: str) -> DataFrame:
 
 def containment(graph: Graph, externals: bool = True) -> DataFrame:
     """(parent, child) of contains edges with both ends visible."""
-    visible = filter_nodes(graph, externals=externals).select("id")
+    visible = filter_nodes(graph, externals=externals).select("id").hint("merge")  # ids compress so well that millions look small enough to broadcast
     edges = graph.edges.filter("kind = 'contains'")
     for end in ("source", "target"):
         edges = edges.join(visible.withColumnRenamed("id", end), end, "left_semi")
@@ -182,7 +182,7 @@ def containment(graph: Graph, externals: bool = True) -> DataFrame:
 
 def containment_roots(graph: Graph, externals: bool = True) -> DataFrame:
     """Nodes that nothing contains."""
-    held = containment(graph, externals).select(F.col("child").alias("id"))
+    held = containment(graph, externals).select(F.col("child").alias("id")).hint("merge")
     return graph.nodes.join(held, "id", "left_anti").select("id", "name", "file", "is_external")
 
 
@@ -223,16 +223,23 @@ def collapse_chains(folders: DataFrame) -> DataFrame:
 
 
 def structure(graph: Graph, externals: bool = True, folders: bool = True) -> DataFrame:
-    """The forest (parent, child, name, is_virtual) that the treemap shows; roots have no parent."""
-    inside = containment(graph, externals)
-    names = filter_nodes(graph, externals=externals).select(F.col("id").alias("child"), "name")
-    real = inside.join(names, "child").select("parent", "child", "name", F.lit(False).alias("is_virtual"))
-    roots = names.join(inside.select("child"), "child", "left_anti")
+    """The forest (parent, child, name, is_virtual) that the treemap shows; roots have no parent.
+
+    Nodes and edges are written first: Spark pushes a semi-join into every branch of a union, so that joins of nodes and edges
+    that are unions themselves would multiply, and all of them would run, and hold memory, in the tasks of one stage.
+    """
+    scratch = Scratch(graph.nodes.sparkSession)
+    graph = Graph(scratch.keep(filter_nodes(graph, externals=externals)), scratch.keep(graph.edges.select(*EDGE_COLUMNS).filter("kind = 'contains'")))
+    inside = scratch.keep(containment(graph, externals))
+    graph = Graph(graph.nodes, inside.select(F.col("parent").alias("source"), F.col("child").alias("target"), F.lit("contains").alias("kind")))
+    names = graph.nodes.select(F.col("id").alias("child"), "name")
+    real = inside.join(names.hint("merge"), "child").select("parent", "child", "name", F.lit(False).alias("is_virtual"))
+    roots = names.join(inside.select("child").hint("merge"), "child", "left_anti")
     if folders:
         dirs = collapse_chains(virtual_folders(graph, externals)).withColumnRenamed("child_name", "name")
         roots = roots.join(dirs.select("child"), "child", "left_anti")
         real = real.unionByName(dirs)
-    return real.unionByName(roots.select(F.lit(None).cast("string").alias("parent"), "child", "name", F.lit(False).alias("is_virtual")))
+    return scratch.close(real.unionByName(roots.select(F.lit(None).cast("string").alias("parent"), "child", "name", F.lit(False).alias("is_virtual"))))
 
 
 def subtree_weights(forest: DataFrame, slider: int = SLIDER) -> DataFrame:

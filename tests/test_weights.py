@@ -6,6 +6,7 @@ import pytest
 
 from spandrel.operators import tables
 from spandrel.operators import views as V
+from spandrel.plans import fixtures as X
 
 
 def forest(spark, rows):
@@ -50,3 +51,20 @@ def test_deep_containment_in_few_rounds(spark, monkeypatch):
     rows = [(None, "n00000")] + [(f"n{i:05d}", f"n{i + 1:05d}") for i in range(1499)] + [(f"n{i:05d}", f"leaf{i}") for i in range(0, 1500, 7)]
     check(spark, rows)
     assert n[0] < 190
+
+
+def test_unions_do_not_multiply(spark, data):
+    """Nodes and edges that are unions are read once each; before, their joins ran branch by branch, in one stage of up to 1,000 operators."""
+    ran = []
+    real = tables.Scratch.keep
+
+    def keep(self, df):
+        ran.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        return real(self, df)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tables.Scratch, "keep", keep)
+        shape = V.structure(X.catalog(spark, data), folders=False)
+    assert shape._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert ran and max(ran) <= 4
+    assert shape.count() == X.catalog(spark, data).nodes.count()
