@@ -18,6 +18,8 @@ from spandrel.sources.tree import DEFAULT_LANGUAGES, OUTPUTS, SKIPPED_FOLDERS, l
 
 CACHE = ".spandrel_cache"
 FILES = "path string, rel string, lang string, file_seq long"
+#: Facts that leave an extracting task together, at least.
+ROWS = 10_000
 
 
 def select_languages(python: bool = True, rust: bool = True, cpp: bool = False, typescript: bool = False, javascript: bool = False) -> tuple[str, ...]:
@@ -78,24 +80,33 @@ def read_git(files: DataFrame, repo: str) -> DataFrame:
     return files.mapInPandas(run, f"{FILES}, hash string, content binary")
 
 
+def facts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """FACTS of files, in frames of ``ROWS`` rows or as many as there are: a frame for each file costs more than reading it."""
+    from spandrel.sources.extract import extract
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[f.name for f in FACTS]).astype({"line": "Int64"})
+
+    found: list[tuple] = []
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            text = bytes(r.content).decode("utf-8", "replace")
+            try:
+                f = extract(r.lang, text, r.rel)
+                module, rows = f.module_id, f.rows
+            except Exception as e:  # noqa: BLE001  a quarantined file is a row, not a failed job
+                module, rows = r.rel, [("error", f"{type(e).__name__}: {e}", None, None, None, None)]
+            found += [(r.file_seq, i, module, r.rel, r.lang, r.hash, *x) for i, x in enumerate(rows)]
+            if len(found) >= ROWS:
+                yield frame(found)
+                found = []
+    if found:
+        yield frame(found)
+
+
 def extract_facts(files: DataFrame) -> DataFrame:
     """FACTS of files with contents; bytes that are no UTF-8 become U+FFFD. One file that fails spoils no other."""
-    names = [f.name for f in FACTS]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from spandrel.sources.extract import extract
-
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                text = bytes(r.content).decode("utf-8", "replace")
-                try:
-                    f = extract(r.lang, text, r.rel)
-                    module, rows = f.module_id, f.rows
-                except Exception as e:  # noqa: BLE001  a quarantined file is a row, not a failed job
-                    module, rows = r.rel, [("error", f"{type(e).__name__}: {e}", None, None, None, None)]
-                yield pd.DataFrame([(r.file_seq, i, module, r.rel, r.lang, r.hash, *x) for i, x in enumerate(rows)], columns=names).astype({"line": "Int64"})
-
-    return files.mapInPandas(run, FACTS)
+    return files.mapInPandas(facts_of, FACTS)
 
 
 def scan(spark: SparkSession, root: str, languages: Iterable[str] = DEFAULT_LANGUAGES) -> DataFrame:

@@ -32,8 +32,8 @@ OUTPUTS = {"graph.html", "graph.json", "diff.html"}
 DEFAULT_LANGUAGES = ("python", "rust")
 
 LISTED, READ = "path string, rel string, lang string, size long, modified long", "hash string, content binary"
-#: Files of one folder in a partition, bytes of content in a batch, files that a task reads.
-SHARE, BATCH, FILES_PER_TASK = 1000, 8 << 20, 256
+#: Files of one folder in a partition, bytes of content in a batch, files that a task reads; beyond so many tasks it reads up to eight times as many.
+SHARE, BATCH, FILES_PER_TASK, TASKS = 1000, 8 << 20, 256, 64
 
 
 def language_of(name: str) -> str | None:
@@ -198,7 +198,8 @@ def with_contents(files: DataFrame) -> DataFrame:
                 yield batch(rows)
 
     files = files.select("path", "rel", "lang", "file_seq")
-    return files.repartition(max(1, -(-files.count() // FILES_PER_TASK))).mapInArrow(run, shape)
+    n = files.count()
+    return files.repartition(max(1, min(-(-n // FILES_PER_TASK), max(TASKS, -(-n // (8 * FILES_PER_TASK)))))).mapInArrow(run, shape)
 
 
 def write_tree(files: DataFrame, root: str) -> int:
