@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Tables of this many rows of two ids at most may be broadcast.
 SMALL = 50_000
 ROWS_PER_TASK = 100_000
+#: Edges a node, of this many edges at least, from which a part of them is contracted first.
+DENSE, LARGE = 4, 100_000
 
 
 def checkpoint_folder(spark) -> str:
@@ -60,14 +62,44 @@ def fitted(df: DataFrame, rows: int) -> DataFrame:
 
 
 def side(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` as one side of a join: broadcast where its counted rows are few."""
-    return F.broadcast(df) if rows <= SMALL else df
+    """``df`` as one side of a join: broadcast where its counted rows are few, and only there.
+
+    Spark would go by the size of the files, and ids compress so well that a million of them look small.
+    """
+    return F.broadcast(df) if rows <= SMALL else df.hint("merge")
 
 
 def connected_roots(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """(node, root) for every node that has an edge to another node; equal roots mark one component."""
-    one = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter(F.col("u") != F.col("v"))
-    level = checkpoint(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    """(node, root) for every node that has an edge to another node; equal roots mark one component.
+
+    Of a dense graph about two edges a node are contracted first. Then every edge is looked at by the roots of its ends: those
+    within one component of that forest need no more work, all others are contracted in their turn.
+    """
+    from spandrel.operators.tables import written
+
+    one = written(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter(F.col("u") != F.col("v")))
+    rows = one.count()
+    nodes = one.select(F.explode(F.array("u", "v")).alias("id")).agg(F.approx_count_distinct("id")).first()[0] if rows > LARGE else rows
+    if rows <= DENSE * nodes:
+        return _contracted(one)
+    roots = _contracted(one.filter(F.pmod(F.xxhash64("u", "v"), F.lit(rows // (2 * nodes))) == 0))
+    known = roots.count()
+    apart = one
+    for end in "uv":
+        apart = apart.join(side(roots.select(F.col("node").alias(end), "root"), known), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    apart = written(apart.filter("u <> v").distinct())
+    if apart.isEmpty():
+        return roots
+    more = checkpoint(_contracted(apart))
+    some = more.count()
+    moved = roots.join(side(more.select(F.col("node").alias("root"), F.col("root").alias("higher")), some), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+    return checkpoint(moved.unionByName(more.join(side(roots.select("node"), known), "node", "left_anti")))
+
+
+def _contracted(one: DataFrame) -> DataFrame:
+    """``connected_roots`` of stored edges (u, v) without loops, by rounds of contraction."""
+    # Both directions are made as they are read; edges that are there twice go with the first round.
+    level = one.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     steps: list[tuple[DataFrame, int]] = []
     while n := level.count():
         rank = lambda c, i=len(steps): F.xxhash64(F.col(c), F.lit(i))

@@ -94,7 +94,7 @@ def node_detail(graph: Graph, id_: str) -> dict[str, DataFrame]:
 
 def show_component(graph: Graph, index: int, named: DataFrame | None = None) -> Graph:
     """The sub-graph of the component at ``index`` (largest first, then by name), clamped to what there is."""
-    named = components(graph) if named is None else named
+    named = checkpoint(components(graph)) if named is None else named  # read three times
     sizes = named.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
     at = max(0, min(index, sizes.count() - 1))
     pick = sizes.orderBy(F.desc("n"), "component_id").offset(at).limit(1)
@@ -301,7 +301,7 @@ def ordinal(named: DataFrame) -> DataFrame:
     Sizes are sorted over range partitions; a component's place is its place within its partition after the counts of those before.
     """
     order = (F.desc("n"), "component_id")
-    sizes = named.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(*order).sortWithinPartitions(*order)
+    sizes = checkpoint(named.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))).repartitionByRange(*order).sortWithinPartitions(*order)  # ranges are sampled first
     placed = checkpoint(sizes.withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33).alias("part")
     counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("rows"))  # a row for each partition

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spandrel.operators.components import checkpoint_folder
 from spandrel.operators.graph import Graph
+from spandrel.operators.tables import written
 from spandrel.sources import tree
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "conversations", "documents")
@@ -126,11 +127,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def of_edges(spark: SparkSession, sf_dir: str, edges: str, more: str = "") -> Graph:
-    """A graph on an edge block's ends, and on the ids of another block."""
-    ids = sql(spark, sf_dir, endpoints(edges))
+    """A graph on an edge block's ends, and on the ids of another block. The block runs once: its edges are written, its ends read from there."""
+    rows = written(sql(spark, sf_dir, edges))
+    ids = rows.select(F.explode(F.array("source", "target")).alias("id"))
     if more:
-        ids = ids.unionByName(sql(spark, sf_dir, more)).distinct()
-    return Graph(plain_nodes(ids), sql(spark, sf_dir, edges))
+        ids = ids.unionByName(sql(spark, sf_dir, more))
+    return Graph(plain_nodes(ids.distinct()), rows)
 
 
 ALL_CUSTOMERS = "select concat('c', c_custkey) as id from customer"
