@@ -15,6 +15,7 @@ from spandrel.operators import views as V
 from spandrel.operators.components import checkpoint
 from spandrel.operators.graph import Graph, first_nodes, valid_edges
 from spandrel.operators.layout import Layout
+from spandrel.operators.tables import written
 from spandrel.operators.treemap import treemap
 from spandrel.plans import fixtures as X
 from spandrel.plans import golden, snippets
@@ -58,6 +59,7 @@ def _nodes_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("edges_dedup", f"with {GE} select source, target, kind from ge")
 def _edges_dedup(spark: SparkSession, d: str) -> DataFrame:
     g = X.catalog(spark, d)
+    g = Graph(written(g.nodes), written(g.edges))  # read four times
     dangling = g.edges.select("source", F.lit("nowhere").alias("target"), "kind").unionByName(g.edges.select(F.lit("nowhere").alias("source"), "target", "kind"))
     return valid_edges(g.edges.unionByName(g.edges).unionByName(dangling), g.nodes)
 
