@@ -20,6 +20,8 @@ from spandrel.schema import EDGE_COLUMNS, NODE_COLUMNS
 
 #: Rows of a bucket on average, and buckets at most; edges on one side that make a node a hub; ids that are looked up by value.
 BUCKET_ROWS, MOST_BUCKETS, HUB_ROWS, FEW = 500_000, 8192, 1_000_000, 1000
+#: Slots for each hub there can be; nodes of a bucket that a join holds in memory.
+SLOTS, HELD = 8, 50_000
 #: Table, the end by which it is bucketed, the end whose row it carries.
 SIDES = (("outgoing", "source", "target"), ("incoming", "target", "source"))
 KEYS = {"nodes": "id", "outgoing": "source", "incoming": "target"}
@@ -29,12 +31,48 @@ def _row_of(nodes: DataFrame, end: str) -> DataFrame:
     return nodes.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in NODE_COLUMNS if c != "id"])
 
 
+def _in_bucket(nodes: DataFrame, per_bucket: int) -> DataFrame:
+    """Nodes as the side of a join within buckets: held in memory where they are few, so that edges need not be sorted."""
+    return nodes.hint("shuffle_hash" if per_bucket <= HELD else "merge")
+
+
+def _beside(edges: DataFrame, nodes: DataFrame, end: str, per_bucket: int) -> DataFrame:
+    """Edges that lie in buckets by ``end``, with the row of that end."""
+    return edges.join(_in_bucket(_row_of(nodes, end), per_bucket), end)
+
+
+def _beside_hubs(edges: DataFrame, nodes: DataFrame, end: str, few: DataFrame) -> DataFrame:
+    """Edges of hubs with the hub's row; ``few`` is what is broadcast."""
+    return edges.join(F.broadcast(_row_of(nodes, end).join(few, end, "left_semi")), end)
+
+
+def _hubs(edges: DataFrame, n: int, most: int) -> dict[str, tuple[DataFrame | None, int]]:
+    """By end: the nodes with more than ``most`` of ``n`` edges there, to be broadcast, and how many edges these have.
+
+    Ends are counted in slots by their hashes first, which is a small table a task; only those of a slot with more than ``most``
+    edges can be hubs, and are counted one by one.
+    """
+    slot = lambda end: F.pmod(F.xxhash64(end), F.lit(SLOTS * (n // most + 1)))
+    sides = [F.struct(F.lit(end).alias("end"), slot(end).alias("slot")) for _, end, _ in SIDES]
+    full = written(edges.select(F.explode(F.array(*sides)).alias("s")).groupBy("s.end", "s.slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most))
+    out = {}
+    for _, end, _ in SIDES:
+        slots = full.filter(F.col("end") == end).select("slot")  # at most n / most
+        out[end] = (None, 0)
+        if not slots.isEmpty():
+            hubs = written(edges.select(end, slot(end).alias("slot")).join(F.broadcast(slots), "slot", "left_semi").groupBy(end).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most))
+            out[end] = (F.broadcast(hubs.select(end)), hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])  # more than n / SMALL edges each
+    return out
+
+
 class Layout:
     """A stored graph in ``folder``; its bucketed tables are registered in the session under names of their own."""
 
     def __init__(self, spark: SparkSession, folder: str):
         about = spark.read.parquet(f"{folder}/about").first()
         self.spark, self.folder, self.buckets = spark, folder, about["buckets"]
+        rows = about.asDict().get("node_rows")  # older layouts do not say
+        self.per_bucket = HELD + 1 if rows is None else rows // self.buckets
         self._name = f"layout_{uuid.uuid4().hex}"
         for table, key in KEYS.items():
             spark.sql(f"create table {self._name}_{table} ({about[table]}) using parquet clustered by ({key}) sorted by ({key}) into {self.buckets} buckets location '{folder}/{table}'")
@@ -46,32 +84,88 @@ class Layout:
 
     @classmethod
     def write(cls, graph: Graph, folder: str | None = None, buckets: int | None = None, hub_rows: int = HUB_ROWS) -> Layout:
-        """``graph`` as a new layout; edges without a node at either end are left out."""
+        """``graph`` as a new layout; edges without a node at either end are left out.
+
+        Nodes are bucketed first and do not move again. Edges come to them by source, once, and with the source's row by target into
+        ``incoming``; from there, with the row of the target, by source into ``outgoing``.
+        """
         spark = graph.nodes.sparkSession
         folder = folder or f"{checkpoint_folder(spark)}/layout-{uuid.uuid4().hex}"
         nodes, edges = written(graph.nodes.select(*NODE_COLUMNS)), written(graph.edges.select(*EDGE_COLUMNS))
-        n = edges.count()
-        buckets = buckets or max(1, min(max(n, nodes.count()) // BUCKET_ROWS, MOST_BUCKETS))
-        most = max(hub_rows, n // SMALL)
-        columns = {"nodes": cls._bucketed(nodes, "id", buckets, f"{folder}/nodes")}
-        for table, end, other in SIDES:
-            rows = edges.join(_row_of(nodes, other), other).join(nodes.select(F.col("id").alias(end)), end, "left_semi")
-            hubs = written(edges.groupBy(end).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most))
-            total = hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-            few = F.broadcast(hubs.select(end))  # more than n / SMALL edges each
-            columns[table] = cls._bucketed(rows.join(few, end, "left_anti") if total else rows, end, buckets, f"{folder}/{table}")
-            hot = rows.join(few, end, "left_semi").repartitionByRange(total // BUCKET_ROWS + 1, end, other).sortWithinPartitions(end, other) if total else rows.limit(0)
+        n, many = edges.count(), nodes.count()
+        buckets = buckets or max(1, min(max(n, many) // BUCKET_ROWS, MOST_BUCKETS))
+        hubs = _hubs(edges, n, max(hub_rows, n // SMALL))
+        own, columns = f"layout_new_{uuid.uuid4().hex}", {}
+
+        def bucketed(table: str, rows: DataFrame) -> None:
+            rows.write.format("parquet").option("path", f"{folder}/{table}").bucketBy(buckets, KEYS[table]).sortBy(KEYS[table]).saveAsTable(f"{own}_{table}")
+            columns[table] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+        bucketed("nodes", nodes.repartition(buckets, "id"))
+        kept = spark.table(f"{own}_nodes")
+        single = kept.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+        rest = lambda rows, end: rows.join(hubs[end][0], end, "left_anti") if hubs[end][1] else rows
+        # A semi-join would be moved below the exchange, which takes one more of its own.
+        known = lambda rows, end: rows.join(_in_bucket(kept.select(F.col("id").alias(end)).distinct(), many // buckets), end)
+        for table, end, other in reversed(SIDES):
+            few, total = hubs[other]
+            if table == "outgoing" and single:
+                near, hot = spark.table(f"{own}_incoming").select(*EDGE_COLUMNS), spark.read.parquet(f"{folder}/incoming_hubs").select(*EDGE_COLUMNS)
+            else:
+                near, hot = rest(edges, other).repartition(buckets, other), edges.join(few, other, "left_semi") if total else None
+            rows = _beside(near, kept, other, many // buckets)
+            rows = rows.unionByName(_beside_hubs(hot, kept, other, few)) if total else rows
+            few, total = hubs[end]
+            bucketed(table, known(rest(rows, end).repartition(buckets, end), end))
+            hot = known(rows.join(few, end, "left_semi"), end).repartitionByRange(total // BUCKET_ROWS + 1, end, other).sortWithinPartitions(end, other) if total else spark.table(f"{own}_{table}").limit(0)
             hot.write.parquet(f"{folder}/{table}_hubs")
-        spark.createDataFrame([(buckets, *columns.values())], ", ".join(["buckets int", *[f"{t} string" for t in columns]])).write.parquet(f"{folder}/about")
+        for table in KEYS:
+            spark.sql(f"drop table {own}_{table}")  # the files stay
+        about = {"buckets": F.lit(buckets), "node_rows": F.lit(many).cast("long")} | {t: F.lit(c) for t, c in columns.items()}
+        spark.range(0, 1, 1, 1).select(*[c.alias(name) for name, c in about.items()]).write.parquet(f"{folder}/about")
         return cls(spark, folder)
 
-    @staticmethod
-    def _bucketed(rows: DataFrame, key: str, buckets: int, path: str) -> str:
-        """The files of a bucketed table; gives its columns."""
-        name = f"layout_new_{uuid.uuid4().hex}"
-        rows.repartition(buckets, key).write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-        rows.sparkSession.sql(f"drop table {name}")  # the files stay
-        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    @classmethod
+    def write(cls, graph: Graph, folder: str | None = None, buckets: int | None = None, hub_rows: int = HUB_ROWS) -> Layout:
+        """``graph`` as a new layout; edges without a node at either end are left out.
+
+        Nodes are bucketed first and do not move again. Edges come to them by source, once, and with the source's row by target into
+        ``incoming``; from there, with the row of the target, by source into ``outgoing``.
+        """
+        spark = graph.nodes.sparkSession
+        folder = folder or f"{checkpoint_folder(spark)}/layout-{uuid.uuid4().hex}"
+        nodes, edges = written(graph.nodes.select(*NODE_COLUMNS)), written(graph.edges.select(*EDGE_COLUMNS))
+        n, many = edges.count(), nodes.count()
+        buckets = buckets or max(1, min(max(n, many) // BUCKET_ROWS, MOST_BUCKETS))
+        hubs = _hubs(edges, n, max(hub_rows, n // SMALL))
+        own, columns = f"layout_new_{uuid.uuid4().hex}", {}
+
+        def bucketed(table: str, rows: DataFrame) -> None:
+            rows.write.format("parquet").option("path", f"{folder}/{table}").bucketBy(buckets, KEYS[table]).sortBy(KEYS[table]).saveAsTable(f"{own}_{table}")
+            columns[table] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+        bucketed("nodes", nodes.repartition(buckets, "id"))
+        kept = spark.table(f"{own}_nodes")
+        single = kept.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+        rest = lambda rows, end: rows.join(hubs[end][0], end, "left_anti") if hubs[end][1] else rows
+        # A semi-join would be moved below the exchange, which takes one more of its own.
+        known = lambda rows, end: rows.join(_in_bucket(kept.select(F.col("id").alias(end)).distinct(), many // buckets), end)
+        for table, end, other in reversed(SIDES):
+            few, total = hubs[other]
+            if table == "outgoing" and single:
+                near, hot = spark.table(f"{own}_incoming").select(*EDGE_COLUMNS), spark.read.parquet(f"{folder}/incoming_hubs").select(*EDGE_COLUMNS)
+            else:
+                near, hot = rest(edges, other).repartition(buckets, other), edges.join(few, other, "left_semi") if total else None
+            rows = _beside(near, kept, other, many // buckets)
+            rows = rows.unionByName(_beside_hubs(hot, kept, other, few)) if total else rows
+            few, total = hubs[end]
+            bucketed(table, known(rest(rows, end).repartition(buckets, end), end))
+            hot = known(rows.join(few, end, "left_semi"), end).repartitionByRange(total // BUCKET_ROWS + 1, end, other).sortWithinPartitions(end, other) if total else spark.table(f"{own}_{table}").limit(0)
+            hot.write.parquet(f"{folder}/{table}_hubs")
+        for table in KEYS:
+            spark.sql(f"drop table {own}_{table}")  # the files stay
+        spark.createDataFrame([(buckets, many, *[columns[t] for t in KEYS])], ", ".join(["buckets int", "node_rows long", *[f"{t} string" for t in KEYS]])).write.parquet(f"{folder}/about")
+        return cls(spark, folder)
 
     def close(self) -> None:
         """The names go from the session, the files stay."""
@@ -151,6 +245,5 @@ class Layout:
     def edges_with_endpoints(self) -> DataFrame:
         """Every edge with the rows of both ends, as ``Graph.edges_with_endpoints``: one joins within buckets, the other lies beside the edge."""
         bucketed, hubs = self._parts("incoming")
-        rows = _row_of(self.nodes(), "target")
-        own = rows.join(F.broadcast(hubs.select("target").distinct()), "target", "left_semi")
-        return bucketed.join(rows, "target").unionByName(hubs.join(F.broadcast(own), "target"))
+        few = F.broadcast(hubs.select("target").distinct())
+        return _beside(bucketed, self.nodes(), "target", self.per_bucket).unionByName(_beside_hubs(hubs, self.nodes(), "target", few))

@@ -100,3 +100,39 @@ def test_written_and_opened_again(spark, graph, tmp_path, shown):
 def test_empty(spark):
     none = layout.Layout.write(Graph.empty(spark))
     assert none.degrees().count() == 0 and none.edges_with_endpoints().count() == 0 and none.within_hops("x", 3).count() == 0 and none.detail("x")["incoming"].count() == 0
+
+
+def test_edges_move_three_times(spark, graph, monkeypatch):
+    """To the rows of their sources, with these to their targets, and with the rows of their targets to their sources; nodes move once."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, real = {}, DataFrameWriter.saveAsTable
+
+    def save(self, name, *more, **options):
+        plans[name.split("_")[-1]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return real(self, name, *more, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", save)
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        layout.Layout.write(graph, buckets=BUCKETS)
+    finally:
+        spark.conf.set(key, before)
+    assert {t: p.count("Exchange hashpartitioning") for t, p in plans.items()} == {"nodes": 1, "incoming": 2, "outgoing": 1}
+
+
+def test_hubs_at_both_ends_and_ids_twice(spark):
+    """Hubs as sources and targets at once, edges without a node, and a node that is there twice: as from the plain graph."""
+    nodes = [(f"n{i}", f"name{i}", "class", "f.py", i, False, None) for i in range(40)]
+    edges = [("n1", f"n{i}", "calls") for i in range(60)] + [(f"n{i}", "n1", "calls") for i in range(60)] + [(f"n{i}", f"n{i + 1}", "uses_type") for i in range(38)]
+    for more in ([], [("n2", "other", "class", "g.py", 1, False, None)]):
+        g = Graph(spark.createDataFrame(nodes + more, NODES), spark.createDataFrame(edges, EDGES))
+        kept = layout.Layout.write(g, buckets=4, hub_rows=30)
+        assert {r["target"] for r in kept._parts("incoming")[1].collect()} == {"n1"} == {r["source"] for r in kept._parts("outgoing")[1].collect()}
+        assert rows(kept.edges_with_endpoints()) == rows(g.edges_with_endpoints())
+        for end, table, other in (("source", "outgoing", "target"), ("target", "incoming", "source")):
+            ids = g.nodes.select("id").distinct()
+            want = g.edges.join(ids.withColumnRenamed("id", end), end).join(layout._row_of(g.nodes, other), other)
+            got = kept._parts(table)
+            assert rows(got[0].unionByName(got[1])) == rows(want)

@@ -33,3 +33,24 @@ def test_components(spark, data):
     assert {r.id: r.component_id for r in catalog.QUERIES["components"](spark, data).collect()} == name
     assert {r.component_id: r.size for r in catalog.QUERIES["component_sizes"](spark, data).collect()} == sizes
     assert {r.id for r in catalog.QUERIES["component_nth"](spark, data).collect()} == {x for x, c in name.items() if c == largest}
+
+
+def test_keyed_edges_are_the_catalogue_edges(spark, data, tmp_path):
+    """Made distinct by keys or by text: the same rows; where a nation has no region, the text decides."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from spandrel.plans import fixtures as X
+
+    for placed in (True, False):
+        folder = f"{tmp_path}/{placed}"
+        os.mkdir(folder)
+        for t in os.listdir(data):
+            os.symlink(f"{data}/{t}", f"{folder}/{t}")
+        if not placed:
+            os.remove(f"{folder}/nation.parquet")
+            nation = spark.read.parquet(f"{data}/nation.parquet")
+            nation.withColumn("n_regionkey", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey"))).write.parquet(f"{folder}/nation.parquet")
+        plain, keyed = X.sql(spark, folder, X.CATALOG_EDGES), X.catalog(spark, folder).edges
+        assert plain.exceptAll(keyed).isEmpty() and keyed.exceptAll(plain).isEmpty() and keyed.count() == plain.count()
