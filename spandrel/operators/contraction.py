@@ -59,7 +59,7 @@ def shrink(edges: DataFrame, scratch: Scratch, first: int | None = None) -> tupl
         rest, into, out = edges, _ends(edges, gone, "v", some), _ends(edges, gone, "u", some)
         for end in "uv":
             rest = rest.join(side(gone.withColumnRenamed("id", end), some), end, "left_anti")
-        ways = into.select("u", F.col("v").alias("id"), "w").join(out.select(F.col("u").alias("id"), "v", F.col("w").alias("more")), "id").filter("v is null or u <> v")
+        ways = into.select("u", F.col("v").alias("id"), "w").join(side(out.select(F.col("u").alias("id"), "v", F.col("w").alias("more")), n), "id").filter("v is null or u <> v")
         every = rest.select("u", "v", "w").unionByName(ways.select("u", "v", (F.col("w") + F.col("more")).alias("w")))
         edges = scratch.keep(fitted(every.groupBy("u", "v").agg(F.max("w").alias("w")), n))
         n = edges.count()
@@ -149,13 +149,14 @@ def cycles(edges: DataFrame) -> DataFrame:
         label = lambda df, end: df.join(side(known.select(F.col("id").alias(end), "c"), n), end, "left").withColumn("c", F.coalesce("c", end))  # noqa: B023, E731
         into = label(_ends(before, gone, "v", n), "u").select(F.col("v").alias("id"), "c").distinct()
         out = label(_ends(before, gone, "u", n), "v").select(F.col("u").alias("id"), "c").distinct()
-        known = known.unionByName(into.join(out, ["id", "c"]))
+        known = known.unionByName(into.join(side(out, n), ["id", "c"]))
     known = scratch.keep(known)
+    size = known.count()
     # A component that came down to one node has no row for it.
-    heads = known.select(F.col("c").alias("id"), "c").distinct().join(known.select("id"), "id", "left_anti")
+    heads = known.select(F.col("c").alias("id"), "c").distinct().join(side(known.select("id"), size), "id", "left_anti")
     every = known.unionByName(heads)
     names = every.groupBy("c").agg(F.min("id").alias("cycle_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return scratch.close(every.join(names, "c").select("id", "cycle_id"))
+    return scratch.close(every.join(side(names, size), "c").select("id", "cycle_id"))
 
 
 def _components(edges: pd.DataFrame) -> pd.DataFrame:
@@ -254,11 +255,12 @@ def guarded_depth(up: DataFrame) -> DataFrame:
     scratch = Scratch(up.sparkSession)
     up = scratch.keep(up)
     on = scratch.keep(cycles(up.select(F.col("u").alias("source"), F.col("v").alias("target"))))
+    n, held = up.count(), on.count()
     loops = up.filter("u = v")
-    inner = up.filter("u <> v").join(on.select(F.col("id").alias("u"), F.col("cycle_id").alias("c")), "u").join(on.select(F.col("id").alias("v"), F.col("cycle_id").alias("cv")), "v").filter("c = cv")
+    inner = up.filter("u <> v").join(side(on.select(F.col("id").alias("u"), F.col("cycle_id").alias("c")), held), "u").join(side(on.select(F.col("id").alias("v"), F.col("cycle_id").alias("cv")), held), "v").filter("c = cv")
     cut = scratch.keep(backward_edges(inner).unionByName(loops))
-    kept = up.join(cut, ["u", "v"], "left_anti")
+    kept = up.join(side(cut, cut.count()), ["u", "v"], "left_anti")
     end: Callable[[Column | str, int], list] = lambda c, w: [F.col(c).alias("u"), F.lit(None).cast("string").alias("v"), F.lit(w).cast("long").alias("w")]
-    roots = up.select(F.col("v").alias("id")).distinct().join(up.select(F.col("u").alias("id")), "id", "left_anti")
+    roots = up.select(F.col("v").alias("id")).distinct().join(side(up.select(F.col("u").alias("id")), n), "id", "left_anti")
     edges = kept.select("u", "v", F.lit(1).cast("long").alias("w")).unionByName(cut.select(*end("u", 1)).distinct()).unionByName(roots.select(*end("id", 0)))
     return scratch.close(longest(edges))

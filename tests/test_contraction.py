@@ -122,3 +122,23 @@ def test_tables_go(spark):
     before = {f for f in os.listdir(folder) if f.startswith("scratch-")}
     assert A.cycles(graph(spark, "abc", [("a", "b"), ("b", "a")])).count() == 2
     assert {f for f in os.listdir(folder) if f.startswith("scratch-")} == before
+
+
+def test_only_counted_tables_are_broadcast(spark, monkeypatch):
+    """With no table counted as small nothing is broadcast, however small its files look."""
+    from spandrel.operators import components
+
+    plans, real = [], tables.Scratch.keep
+
+    def keep(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(self, df)
+
+    monkeypatch.setattr(tables.Scratch, "keep", keep)
+    monkeypatch.setattr(components, "SMALL", 0)
+    monkeypatch.setattr(C, "CORE", 0)
+    edges = chain(6) + [("n00003", "n00001"), ("n00004", "n00004")]
+    depth = A.inheritance_depth(graph(spark, ids(edges), edges, "inherits"))
+    plans.append(depth._jdf.queryExecution().executedPlan().toString())
+    assert {x["id"]: x["depth_of_inheritance"] for x in depth.collect()} == plain_guarded_depth(edges)
+    assert len(plans) > 9 and not [p for p in plans if "BroadcastHashJoin" in p]
