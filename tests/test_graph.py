@@ -173,3 +173,16 @@ def test_random_depths(spark, seed):
     assert set(got) == set(ids)
     for i, d in plain_depth(ids, edges).items():
         assert got[i] == d
+
+
+def test_diff_groups_no_more_edges_a_task_than_counted(spark, monkeypatch):
+    """Edges are dealt before they are grouped, in as many parts as their number asks for."""
+    monkeypatch.setattr(A, "GROUP_ROWS", 10)
+    old, new = [(f"n{i}", f"n{i + 1}") for i in range(60)], [(f"n{i}", f"n{i + 1}") for i in range(20, 90)]
+    found = A.diff_summary(graph(spark, ids_of(old), old), graph(spark, ids_of(new), new))
+    assert {r["change"]: r["n"] for r in found.collect()} == {"added_nodes": 30, "removed_nodes": 20, "added_edges": 30, "removed_edges": 20}
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def ids_of(edges):
+    return sorted({x for e in edges for x in e})
