@@ -62,8 +62,8 @@ def inheritance_depth(graph: Graph) -> DataFrame:
     component, or a node that inherits from itself) a depth-first walk in the order of ids counts a parent that is on its own path as 0.
     """
     up = graph.edges.filter("kind = 'inherits'").select(F.col("source").alias("child"), F.col("target").alias("parent"))
-    depth = contraction.guarded_depth(up)
-    return graph.nodes.select("id").join(side(depth, depth.count()), "id", "left").select("id", F.coalesce("d", F.lit(0)).cast("long").alias("depth_of_inheritance"))
+    depth = contraction.merged(contraction.guarded_depth(up))
+    return graph.nodes.select("id").join(depth, "id", "left").select("id", F.coalesce("d", F.lit(0)).cast("long").alias("depth_of_inheritance"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

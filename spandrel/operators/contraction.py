@@ -11,7 +11,7 @@ follows from those of its neighbours at the time when it went.
 The rest is empty for graphs without cycles; else it is a core whose nodes all have many ways through them, which colours
 solve (``cycles``). A rest of ``CORE`` counted edges at most is solved at once in one task, larger ones never are.
 
-All rounds are joins and partial aggregates over tables in the shared folder; only counts reach the driver.
+All rounds are joins and partial aggregates over tables in the shared folder; only counts reach the driver, and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.operators.components import fitted, side
+from spandrel.operators.components import fitted
 from spandrel.operators.tables import Scratch
 
 #: Ways through a node that may go even if it has fewer edges, as long as the graph is smaller than GROWN times its first size.
@@ -50,25 +50,32 @@ def shrink(edges: DataFrame, scratch: Scratch, first: int | None = None) -> tupl
         can = scratch.keep(fitted(can, n))
         if not (few := can.count()):
             break
-        inner = edges.filter("v is not null").join(side(can.select(F.col("id").alias("u"), F.col("r").alias("ru")), few), "u").join(side(can.select(F.col("id").alias("v"), F.col("r").alias("rv")), few), "v")
+        inner = edges.filter("v is not null").join(merged(can.select(F.col("id").alias("u"), F.col("r").alias("ru"))), "u").join(merged(can.select(F.col("id").alias("v"), F.col("r").alias("rv"))), "v")
         near = inner.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("rv").alias("r")), F.struct(F.col("v").alias("id"), F.col("ru").alias("r")))).alias("e")).groupBy("e.id").agg(F.min("e.r").alias("least"))
-        gone = can.join(side(near, few), "id", "left").filter("least is null or r < least").select("id")
+        gone = can.join(merged(near), "id", "left").filter("least is null or r < least").select("id")
         gone = scratch.keep(fitted(gone, few))
-        some = gone.count()
         steps.append((edges, gone, n))
-        rest, into, out = edges, _ends(edges, gone, "v", some), _ends(edges, gone, "u", some)
+        rest, into, out = edges, _ends(edges, gone, "v"), _ends(edges, gone, "u")
         for end in "uv":
-            rest = rest.join(side(gone.withColumnRenamed("id", end), some), end, "left_anti")
-        ways = into.select("u", F.col("v").alias("id"), "w").join(side(out.select(F.col("u").alias("id"), "v", F.col("w").alias("more")), n), "id").filter("v is null or u <> v")
+            rest = rest.join(merged(gone.withColumnRenamed("id", end)), end, "left_anti")
+        ways = into.select("u", F.col("v").alias("id"), "w").join(merged(out.select(F.col("u").alias("id"), "v", F.col("w").alias("more"))), "id").filter("v is null or u <> v")
         every = rest.select("u", "v", "w").unionByName(ways.select("u", "v", (F.col("w") + F.col("more")).alias("w")))
         edges = scratch.keep(fitted(every.groupBy("u", "v").agg(F.max("w").alias("w")), n))
         n = edges.count()
     return edges, n, steps
 
 
-def _ends(edges: DataFrame, nodes: DataFrame, end: str, count: int) -> DataFrame:
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that is never a broadcast.
+
+    A broadcast of however few rows takes a whole page of the driver's memory (up to 64 MB), and there would be some in every round.
+    """
+    return df.hint("merge")
+
+
+def _ends(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
     """The edges that have one of ``nodes`` at ``end``."""
-    return edges.join(side(nodes.withColumnRenamed("id", end), count), end, "left_semi")
+    return edges.join(merged(nodes.withColumnRenamed("id", end)), end, "left_semi")
 
 
 def in_one_task(edges: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], shape: str) -> DataFrame:
@@ -92,7 +99,7 @@ def longest(edges: DataFrame) -> DataFrame:
     known = in_one_task(rest, _longest, "id string, d long")
     for before, gone, n in reversed(steps):
         known = scratch.keep(fitted(known, n))
-        out = _ends(before, gone, "u", n).join(side(known.withColumnRenamed("id", "v"), n), "v", "left")
+        out = _ends(before, gone, "u").join(merged(known.withColumnRenamed("id", "v")), "v", "left")
         known = known.unionByName(out.groupBy(F.col("u").alias("id")).agg(F.max(F.col("w") + F.when(F.col("v").isNull(), 0).otherwise(F.col("d"))).alias("d")))
     return scratch.close(known)
 
@@ -139,24 +146,23 @@ def cycles(edges: DataFrame) -> DataFrame:
         part = scratch.keep(fitted(_coloured(rest, n, scratch), n))
         found.append(part)
         for end in "uv":
-            rest = rest.join(side(part.select(F.col("id").alias(end)), n), end, "left_anti")
+            rest = rest.join(merged(part.select(F.col("id").alias(end))), end, "left_anti")
         rest = scratch.keep(fitted(rest.select("u", "v", "w"), n))
     known = in_one_task(rest, _components, "id string, c string")
     for part in found:
         known = known.unionByName(part)
     for before, gone, n in reversed(steps):
         known = scratch.keep(fitted(known, n))
-        label = lambda df, end: df.join(side(known.select(F.col("id").alias(end), "c"), n), end, "left").withColumn("c", F.coalesce("c", end))  # noqa: B023, E731
-        into = label(_ends(before, gone, "v", n), "u").select(F.col("v").alias("id"), "c").distinct()
-        out = label(_ends(before, gone, "u", n), "v").select(F.col("u").alias("id"), "c").distinct()
-        known = known.unionByName(into.join(side(out, n), ["id", "c"]))
+        label = lambda df, end: df.join(merged(known.select(F.col("id").alias(end), "c")), end, "left").withColumn("c", F.coalesce("c", end))  # noqa: B023, E731
+        into = label(_ends(before, gone, "v"), "u").select(F.col("v").alias("id"), "c").distinct()
+        out = label(_ends(before, gone, "u"), "v").select(F.col("u").alias("id"), "c").distinct()
+        known = known.unionByName(into.join(merged(out), ["id", "c"]))
     known = scratch.keep(known)
-    size = known.count()
     # A component that came down to one node has no row for it.
-    heads = known.select(F.col("c").alias("id"), "c").distinct().join(side(known.select("id"), size), "id", "left_anti")
+    heads = known.select(F.col("c").alias("id"), "c").distinct().join(merged(known.select("id")), "id", "left_anti")
     every = known.unionByName(heads)
     names = every.groupBy("c").agg(F.min("id").alias("cycle_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return scratch.close(every.join(side(names, size), "c").select("id", "cycle_id"))
+    return scratch.close(every.join(merged(names), "c").select("id", "cycle_id"))
 
 
 def _components(edges: pd.DataFrame) -> pd.DataFrame:
@@ -197,17 +203,17 @@ def _coloured(edges: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """(id, c): a component of each colour of a core of ``n`` edges."""
     colour = wave = scratch.keep(fitted(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.col("id").alias("c")), n))
     while not wave.isEmpty():
-        offer = edges.join(side(wave.select(F.col("id").alias("u"), F.col("c").alias("new")), n), "u").groupBy(F.col("v").alias("id")).agg(F.min("new").alias("new"))
-        colour = scratch.keep(fitted(colour.join(side(offer, n), "id", "left").select("id", F.least("c", F.coalesce("new", "c")).alias("c"), (F.col("new") < F.col("c")).alias("moved")), n))
+        offer = edges.join(merged(wave.select(F.col("id").alias("u"), F.col("c").alias("new"))), "u").groupBy(F.col("v").alias("id")).agg(F.min("new").alias("new"))
+        colour = scratch.keep(fitted(colour.join(merged(offer), "id", "left").select("id", F.least("c", F.coalesce("new", "c")).alias("c"), (F.col("new") < F.col("c")).alias("moved")), n))
         wave, colour = colour.filter("moved").select("id", "c"), colour.select("id", "c")
     inner = edges
     for end in "uv":
-        inner = inner.join(side(colour.select(F.col("id").alias(end), F.col("c").alias(f"c{end}")), n), end)
+        inner = inner.join(merged(colour.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))), end)
     inner = scratch.keep(fitted(inner.filter("cu = cv").select("u", "v", F.col("cu").alias("c")), n))
     reached = wave = scratch.keep(fitted(colour.filter("id = c"), n))
     while True:
-        step = inner.join(side(wave.select(F.col("id").alias("v"), "c"), n), ["v", "c"]).select(F.col("u").alias("id"), "c").distinct()
-        wave = scratch.keep(fitted(step.join(side(reached, n), ["id", "c"], "left_anti"), n))
+        step = inner.join(merged(wave.select(F.col("id").alias("v"), "c")), ["v", "c"]).select(F.col("u").alias("id"), "c").distinct()
+        wave = scratch.keep(fitted(step.join(merged(reached), ["id", "c"], "left_anti"), n))
         if wave.isEmpty():
             return reached
         reached = scratch.keep(fitted(reached.unionByName(wave), n))
@@ -255,12 +261,11 @@ def guarded_depth(up: DataFrame) -> DataFrame:
     scratch = Scratch(up.sparkSession)
     up = scratch.keep(up)
     on = scratch.keep(cycles(up.select(F.col("u").alias("source"), F.col("v").alias("target"))))
-    n, held = up.count(), on.count()
     loops = up.filter("u = v")
-    inner = up.filter("u <> v").join(side(on.select(F.col("id").alias("u"), F.col("cycle_id").alias("c")), held), "u").join(side(on.select(F.col("id").alias("v"), F.col("cycle_id").alias("cv")), held), "v").filter("c = cv")
+    inner = up.filter("u <> v").join(merged(on.select(F.col("id").alias("u"), F.col("cycle_id").alias("c"))), "u").join(merged(on.select(F.col("id").alias("v"), F.col("cycle_id").alias("cv"))), "v").filter("c = cv")
     cut = scratch.keep(backward_edges(inner).unionByName(loops))
-    kept = up.join(side(cut, cut.count()), ["u", "v"], "left_anti")
+    kept = up.join(merged(cut), ["u", "v"], "left_anti")
     end: Callable[[Column | str, int], list] = lambda c, w: [F.col(c).alias("u"), F.lit(None).cast("string").alias("v"), F.lit(w).cast("long").alias("w")]
-    roots = up.select(F.col("v").alias("id")).distinct().join(side(up.select(F.col("u").alias("id")), n), "id", "left_anti")
+    roots = up.select(F.col("v").alias("id")).distinct().join(merged(up.select(F.col("u").alias("id"))), "id", "left_anti")
     edges = kept.select("u", "v", F.lit(1).cast("long").alias("w")).unionByName(cut.select(*end("u", 1)).distinct()).unionByName(roots.select(*end("id", 0)))
     return scratch.close(longest(edges))

@@ -142,3 +142,21 @@ def test_only_counted_tables_are_broadcast(spark, monkeypatch):
     plans.append(depth._jdf.queryExecution().executedPlan().toString())
     assert {x["id"]: x["depth_of_inheritance"] for x in depth.collect()} == plain_guarded_depth(edges)
     assert len(plans) > 9 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    """Tables of few rows are not broadcast either: each would take a page of the driver's memory, some in every round."""
+    plans, real = [], tables.Scratch.keep
+
+    def keep(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(self, df)
+
+    monkeypatch.setattr(tables.Scratch, "keep", keep)
+    monkeypatch.setattr(C, "CORE", 0)
+    core = [f"x{i:02d}" for i in range(8)]
+    edges = chain(6) + [("n00003", "n00001"), ("n00004", "n00004"), ("n00002", core[0])] + [(a, b) for a in core for b in core if a != b]
+    depth = A.inheritance_depth(graph(spark, ids(edges), edges, "inherits"))
+    plans.append(depth._jdf.queryExecution().executedPlan().toString())
+    assert {x["id"]: x["depth_of_inheritance"] for x in depth.collect()} == plain_guarded_depth(edges)
+    assert sum("SortMergeJoin" in p for p in plans) > 9 and not [p for p in plans if "Broadcast" in p]
